@@ -17,6 +17,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.language import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     from leafmill.llm.packing import pack_examples
 
@@ -36,6 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
