@@ -34,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.exact_dedup import exact_dedup
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op9_licenses": op9_licenses,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
