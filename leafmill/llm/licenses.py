@@ -178,24 +178,24 @@ def _gates(rule: Rule) -> tuple[bytes, ...]:
 
 
 @lru_cache(maxsize=1)
-def _compiled() -> tuple[tuple[tuple[bytes, ...], tuple[tuple[int, Rule, re.Pattern], ...]], ...]:
-    """Rules by the literals that gate them."""
-    by_gates: dict[tuple[bytes, ...], list[tuple[int, Rule, re.Pattern]]] = {}
+def _compiled() -> tuple[tuple[bytes, tuple[tuple[frozenset[bytes], int, Rule, re.Pattern], ...]], ...]:
+    """Rules under their longest literal, each with all the literals that gate it."""
+    by_literal: dict[bytes, list[tuple[frozenset[bytes], int, Rule, re.Pattern]]] = {}
     for k, rule in enumerate(rules()):
-        by_gates.setdefault(_gates(rule), []).append((k, rule, re.compile(rule.pattern)))
-    return tuple((gates, tuple(found)) for gates, found in by_gates.items())
+        gates = _gates(rule)
+        by_literal.setdefault(gates[0], []).append((frozenset(gates), k, rule, re.compile(rule.pattern)))
+    return tuple((literal, tuple(gated)) for literal, gated in by_literal.items())
 
 
 def detect(lowered: str, data: bytes | None = None) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) in a lower-cased text, after suppression, by start."""
     data = lowered.encode("utf-8", "replace") if data is None else data
     found: list[tuple[int, int, int, Rule]] = []
-    absent: dict[bytes, bool] = {}
-    for gates, gated in _compiled():
-        if any(absent[g] if g in absent else absent.setdefault(g, g not in data) for g in gates):
-            continue
-        for k, rule, pattern in gated:
-            found += [(m.start(), m.end(), k, rule) for m in pattern.finditer(lowered)]
+    for literal, gated in _compiled():
+        if literal in data:
+            for gates, k, rule, pattern in gated:
+                if all(g in data for g in gates):
+                    found += [(m.start(), m.end(), k, rule) for m in pattern.finditer(lowered)]
     found.sort(key=lambda d: (-d[3].priority, d[0] - d[1], d[2], d[0]))
     return sorted(_maximal(found), key=lambda d: (d[0], d[1], d[2].label))
 
