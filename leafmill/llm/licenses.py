@@ -19,6 +19,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,24 +179,28 @@ def _gates(rule: Rule) -> tuple[bytes, ...]:
 
 
 @lru_cache(maxsize=1)
-def _compiled() -> tuple[tuple[bytes, tuple[tuple[frozenset[bytes], int, Rule, re.Pattern], ...]], ...]:
-    """Rules under their longest literal, each with all the literals that gate it."""
+def _compiled() -> tuple[ahocorasick.Automaton, dict[bytes, list[tuple[frozenset[bytes], int, Rule, re.Pattern]]]]:
+    """An automaton over the rules' longest literals; the rules of each, with all the literals that gate them."""
     by_literal: dict[bytes, list[tuple[frozenset[bytes], int, Rule, re.Pattern]]] = {}
     for k, rule in enumerate(rules()):
         gates = _gates(rule)
         by_literal.setdefault(gates[0], []).append((frozenset(gates), k, rule, re.compile(rule.pattern)))
-    return tuple((literal, tuple(gated)) for literal, gated in by_literal.items())
+    automaton = ahocorasick.Automaton()
+    for literal in by_literal:
+        automaton.add_word(literal.decode(), literal)
+    automaton.make_automaton()
+    return automaton, by_literal
 
 
 def detect(lowered: str, data: bytes | None = None) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) in a lower-cased text, after suppression, by start."""
     data = lowered.encode("utf-8", "replace") if data is None else data
     found: list[tuple[int, int, int, Rule]] = []
-    for literal, gated in _compiled():
-        if literal in data:
-            for gates, k, rule, pattern in gated:
-                if all(g in data for g in gates):
-                    found += [(m.start(), m.end(), k, rule) for m in pattern.finditer(lowered)]
+    automaton, by_literal = _compiled()
+    for literal in {word for _, word in automaton.iter(lowered)}:
+        for gates, k, rule, pattern in by_literal[literal]:
+            if all(g in data for g in gates):
+                found += [(m.start(), m.end(), k, rule) for m in pattern.finditer(lowered)]
     found.sort(key=lambda d: (-d[3].priority, d[0] - d[1], d[2], d[0]))
     return sorted(_maximal(found), key=lambda d: (d[0], d[1], d[2].label))
 
