@@ -34,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.licenses import scan_licenses
 
@@ -50,11 +56,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _secrets_sql() -> str:
+    """The secret scan as SQL: matches and gaps by kind, running sums, ownership counts, spans."""
+    from leafmill.llm.secrets import KINDS, MAX_LIVE_OWNERS
+
+    parts = []
+    for k, kind in enumerate(KINDS):
+        pattern = kind.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, owner, {k} AS kind, '{kind.name}' AS name, {kind.least} AS least, {str(kind.base).lower()} AS base,
+                   unnest(regexp_extract_all(text, '{pattern}', 0)) AS found, unnest(regexp_extract_all(text, '{pattern}', {kind.group})) AS value,
+                   unnest(list_transform(string_split_regex(text, '{pattern}')[1:len(regexp_extract_all(text, '{pattern}', 0))], lambda x: length(x))) AS gap,
+                   unnest(range(len(regexp_extract_all(text, '{pattern}', 0)))) AS pos
+            FROM docs""")
+    return f"""
+        WITH docs AS (SELECT doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS text FROM documents),
+        matches AS ({" UNION ALL ".join(parts)}),
+        placed AS (SELECT *, sum(gap + length(found)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS end_at FROM matches),
+        candidates AS (SELECT *, CAST(end_at - length(found) AS BIGINT) AS start, sha256(value) AS value_hash FROM placed WHERE length(value) >= least),
+        owners AS (SELECT value_hash, count(DISTINCT owner) AS n_owners FROM candidates GROUP BY value_hash),
+        judged AS (SELECT c.*, n_owners <= {MAX_LIVE_OWNERS} AS live, concat(name, ':', start, ':', CAST(end_at AS BIGINT)) AS span
+                   FROM candidates c JOIN owners USING (value_hash)),
+        kept AS (SELECT * FROM judged WHERE base OR live)
+        SELECT d.doc_id, count(*) FILTER (k.name = 'assign') AS n_assign, count(*) FILTER (k.name = 'access') AS n_access,
+               count(*) FILTER (k.name = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(k.span, ',' ORDER BY k.start, k.kind) FILTER (k.base), '')) AS base_sha256,
+               coalesce(string_agg(k.span, ',' ORDER BY k.start, k.kind), '') AS spans,
+               count(*) FILTER (k.live) AS n_live, count(*) FILTER (NOT k.live) AS n_shared
+        FROM docs d LEFT JOIN kept k USING (doc_id) GROUP BY d.doc_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_secrets": _secrets_sql(),
     "op10_exact_dedup": r"""
         WITH entries AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,
