@@ -34,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.url_filter import filter_urls
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
