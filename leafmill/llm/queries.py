@@ -34,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = N
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.embedding_dedup import embedding_near_duplicates
+
+    return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.minhash import near_duplicates
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
