@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,18 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    from leafmill.llm.sentencepiece_lattice import PieceModel, decode, encode
+
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    model = PieceModel.load(model_path)
+    decoded = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.minhash import near_duplicates
 
@@ -75,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
