@@ -165,19 +165,40 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         model = sent.value
         table = model.dense()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            margins = np.full(len(texts), model.bias)
-            for a, b in _chunks(texts):
-                ids, owner = text_features(texts[a:b], model.bits)
-                active = np.flatnonzero(table[ids])
-                keys = np.unique(owner[active].astype(np.int64) << 32 | ids[active])
-                margins[a:b] += np.bincount(keys >> 32, weights=table[keys & 0xFFFFFFFF], minlength=b - a)
+            margins = _margins(batch.column("text").to_pylist(), model, table)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(margins, -50, 50))))], names=["id", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
 
 
+def _margins(texts: list[str | None], model: ToxicityModel, table: np.ndarray) -> np.ndarray:
+    """Log-odds of whole texts: the bias and the weight of every distinct feature."""
+    margins = np.full(len(texts), model.bias)
+    for a, b in _chunks(texts):
+        ids, owner = text_features(texts[a:b], model.bits)
+        active = np.flatnonzero(table[ids])
+        keys = np.unique(owner[active].astype(np.int64) << 32 | ids[active])
+        margins[a:b] += np.bincount(keys >> 32, weights=table[keys & 0xFFFFFFFF], minlength=b - a)
+    return margins
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(model)
+    position = docs.columns.index(text_col)
+
+    def run(batches):
+        table = sent.value.dense()
+        for batch in batches:
+            margins = _margins(batch.column(position).to_pylist(), sent.value, table)
+            yield batch.filter(pa.array(1.0 / (1.0 + np.exp(-np.clip(margins, -50, 50))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: FtrlSettings = FtrlSettings()) -> DataFrame:
     """Scores of all documents by a model learnt from the documents that are not held out."""
     from leafmill.llm.session import held_out
