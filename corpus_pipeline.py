@@ -1,8 +1,63 @@
-"""The corpus pipeline (its stages are added as their operators are built)."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, secret scans and packing, one after the other.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of
+documents for the rows that they keep, so each stage works on what the one before has kept. Rows without a
+doc_id cannot be named as copies and stay.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from leafmill.llm.exact_dedup import exact_dedup
+from leafmill.llm.minhash import near_duplicates
+from leafmill.llm.packing import pack_examples
+from leafmill.llm.secrets import redact_secrets
+from leafmill.llm.session import held_out, scratch_path
+from leafmill.llm.toxicity import drop_toxic, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3; learnt from the labels of documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs, train(docs.where(~held_out()), labels.where(~held_out())))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    dropped = exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    dropped = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets that look live replaced in their texts."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 1024 tokens that hold every document."""
+    import public_tokenizers
+
+    return pack_examples(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("secrets", secrets), ("packing", packing)]
+
+#: Trained scores, signatures and tokens are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's rows written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
