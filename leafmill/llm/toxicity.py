@@ -100,16 +100,16 @@ def _distinct_features(bits: int):
 
 
 def _ftrl(settings: FtrlSettings):
-    def run(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("order")
+    def run(rows: pa.Table) -> pa.Table:
         n_features = 1 << settings.bits
         z, n = np.zeros(n_features + 1), np.zeros(n_features + 1)
-        docs = [np.append(np.frombuffer(f, np.int32), n_features) for f in rows["features"]]
-        labels = rows["label"].to_numpy(np.float64)
+        column = rows.column("features")
+        docs = [np.frombuffer(x.as_buffer(), np.int32) for x in column]  # views into the batch, no copies
+        labels = rows.column("label").to_numpy()
+        order = np.argsort(rows.column("order").to_numpy(), kind="stable")
         for _ in range(settings.epochs):
-            for ids, y in zip(docs, labels, strict=True):
+            for k in order:
+                ids, y = np.append(docs[k], n_features), labels[k]
                 w = _weights(z[ids], n[ids], settings)
                 w[-1] = -z[n_features] / ((settings.beta + np.sqrt(n[n_features])) / settings.alpha)  # no penalty on the bias
                 g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y
@@ -118,8 +118,8 @@ def _ftrl(settings: FtrlSettings):
                 z[ids] += g - (np.sqrt(n[ids]) - root) / settings.alpha * w
         w = _weights(z, n, settings)
         w[n_features] = -z[n_features] / ((settings.beta + np.sqrt(n[n_features])) / settings.alpha)
-        kept = np.flatnonzero(w)
-        return pd.DataFrame({"feature": np.append(kept[kept < n_features], n_features), "weight": np.append(w[kept[kept < n_features]], w[n_features])})
+        kept = np.append(np.flatnonzero(w[:n_features]), n_features)
+        return pa.table({"feature": kept, "weight": w[kept]})
 
     return run
 
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = FtrlSetti
     shards = max(1, round(min(settings.max_training_rows, picked.count()) / settings.rows_per_shard))
     rows = sample.select((F.pmod("order", F.lit(shards))).cast("int").alias("shard"), "order", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "text")
     features = rows.mapInArrow(_distinct_features(settings.bits), "shard int, order long, label double, features binary")
-    fitted = features.groupBy("shard").applyInPandas(_ftrl(settings), "feature long, weight double")
+    fitted = features.groupBy("shard").applyInArrow(_ftrl(settings), "feature long, weight double")
     mean = fitted.groupBy("feature").agg((F.sum("weight") / F.lit(shards)).alias("weight")).toPandas().sort_values("feature")
     bias = float(mean.loc[mean["feature"] == 1 << settings.bits, "weight"].sum()) if len(mean) else -2.0
     mean = mean[mean["feature"] < 1 << settings.bits]
