@@ -11,12 +11,16 @@ a coordinate still empty are thrown again with a later bound.
 Bands of the signature make buckets. Documents with equal shingles are one class from the start. Links
 come from exact comparisons of shingle multisets, and no bucket is ever compared all with all: in each
 round every bucket has one leader that the other components in the bucket are compared with (so rows in
-proportion to the bucket), and what is linked merges. Buckets that still hold several components after
-the leader rounds are finished by comparing the members outside their largest component with the rest.
+proportion to the bucket), and what is linked merges. Documents whose buckets still hold several components
+after the leader rounds are regrouped, without loss, by their rarest shingles: of shingles ordered from rare
+to frequent, two documents of the wanted similarity share one among the first ``1 - similarity`` of both.
+So an outlier of a large group of copies meets nobody. The groups have a leader round of their own, led by
+the member with the fewest rarer shingles; what is left is compared across components, as far as the
+places of the shared shingle and the weights allow the similarity at all.
 
 Cases: null and empty texts have no words and stay alone, linked with nothing, like all texts without a
-word; a text of one to four words is the single run of its words; repeated ids are one document (the
-first by text); equal texts are always one class. Very long texts are hashed in slices.
+word; a text of one to four words is the single run of its words; repeated ids are one document, whose
+classes are one; equal texts are always one class. Very long texts are hashed in slices.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import connected_components
@@ -38,13 +42,13 @@ _CHUNK_CHARS = 2 << 20
 
 @dataclass(frozen=True)
 class NearDupSettings:
-    """Five words and a similarity of 0.8; bands x rows coordinates; ``leader_rounds`` before pairs are listed."""
+    """Five words and a similarity of 0.8; bands x rows coordinates; ``leader_rounds`` before documents are regrouped."""
 
     shingle_words: int = 5
     similarity: float = 0.8
     bands: int = 20
     rows: int = 6
-    leader_rounds: int = 3
+    leader_rounds: int = 1
 
 
 def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,40 +191,73 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     signed = cut(signatures(docs, settings, id_col, text_col))
     classes = signed.where("weight > 0").groupBy("whole", "weight").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
     classes = cut(classes)
-    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = classes.select("node", "weight", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = cut(buckets.join(shared.select("band", "bucket"), ["band", "bucket"]).select("node", F.xxhash64("band", "bucket").alias("bucket")))
+    placed = F.xxhash64("band", "bucket").alias("bucket"), F.lit(0).cast("long").alias("place")
+    buckets = cut(buckets.join(shared.select("band", "bucket"), ["band", "bucket"]).select("node", "weight", *placed))
     wanted = buckets.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-    sets = cut(texts.mapInArrow(_shingle_rows(settings), "node long, regions binary").dropDuplicates(["node"]))
-
-    links = None
-    tried = None
-    state = buckets.withColumn("component", F.col("node"))  # who stands in which bucket, and in which component
-    for k in range(settings.leader_rounds + 1):
-        if k < settings.leader_rounds:
-            pairs = _leader_pairs(state, k)
-        else:
-            pairs = _remaining_pairs(state)
+    sets = cut(texts.mapInArrow(_shingle_rows(settings), "node long, regions binary").groupBy("node").agg(F.min("regions").alias("regions")))
+
+    links = tried = None
+    components = None
+    state = _unmerged(buckets, None)  # who stands in which bucket, and in which component
+    for k in range(settings.leader_rounds + 2):
+        if k == settings.leader_rounds:
+            buckets = cut(rare_groups(state.select("node").distinct(), sets, settings))
+            state = _unmerged(buckets, components)
+        if state.isEmpty():
+            break
+        pairs = _leader_pairs(state, settings) if k <= settings.leader_rounds else _remaining_pairs(state, settings)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(compare_pairs(pairs, sets, settings))
+        found = cut(compare_pairs(cut(pairs), sets, settings))
         tried = found.select("u", "v") if tried is None else cut(tried.union(found.select("u", "v")))
         new = found.where("linked").select("u", "v")
         links = new if links is None else cut(links.union(new))
         components = cut(connected_components(links))
-        named = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        state = cut(named.join(several, "bucket"))
-        if state.isEmpty():
-            break
-    member = signed.join(classes.select("whole", "weight", "node"), ["whole", "weight"], "left")
-    named = member.join(components, "node", "left").select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id"))
+        state = _unmerged(buckets, components)
+    member = signed.join(classes.select("whole", "weight", "node"), ["whole", "weight"], "left").withColumn("component", F.lit(None).cast("long"))
+    if components is not None:
+        member = member.drop("component").join(components, "node", "left")
+    named = member.select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id"))
     return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _unmerged(buckets: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components, with ``component``."""
+    if components is None:
+        named = buckets.withColumn("component", F.col("node"))
+    else:
+        named = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+    return cut(named.join(several, "bucket"))
+
+
+def _region_rows(batches):
+    for batch in batches:
+        data = [np.frombuffer(x, np.int64) for x in batch.column("regions").to_pylist()]
+        sizes = np.array([len(x) for x in data], dtype=np.int64)
+        node = np.repeat(batch.column("node").to_numpy(), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(data) if data else np.zeros(0, np.int64))], names=["node", "weight", "region"])
+
+
+def rare_groups(nodes: DataFrame, sets: DataFrame, settings: NearDupSettings) -> DataFrame:
+    """(bucket, node, weight, place): the shared ones among the rarest shingles of each node, and how many of it are rarer.
+
+    Shingles are ordered by how many of ``nodes`` have them. Two nodes of the wanted similarity stand
+    together in at least one bucket. Shingles that one node alone has make no bucket.
+    """
+    rows = sets.join(nodes, "node", "left_semi").mapInArrow(_region_rows, "node long, weight long, region long")
+    often = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    known = rows.join(often, "region")
+    by_node = Window.partitionBy("node")
+    unique = F.col("weight") - F.count("*").over(by_node)
+    placed = known.withColumn("place", unique + F.row_number().over(by_node.orderBy("n", "region")) - 1)
+    return placed.where(F.col("place") <= F.col("weight") * (1 - settings.similarity) + 1e-6).select(F.col("region").alias("bucket"), "node", "weight", "place")
+
+
 def compare_pairs(pairs: DataFrame, sets: DataFrame, settings: NearDupSettings) -> DataFrame:
     """(u, v, linked): whether the weighted Jaccard similarity of the two documents reaches the bound."""
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("regions").alias("left")), "u")
@@ -228,18 +265,30 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, settings: NearDupSettings)
     return full.select("u", "v", "left", "right").mapInArrow(_compare(settings), "u long, v long, linked boolean")
 
 
-def _leader_pairs(state: DataFrame, k: int) -> DataFrame:
-    """Pairs of each bucket's leader of this round with the bucket's members of other components."""
-    rank = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
-    leaders = state.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(rank, "node")).alias("leader"))
-    joined = state.join(leaders, "bucket").where("component <> leader.component")
+def _possible(x: Column, y: Column, settings: NearDupSettings) -> Column:
+    """Whether two members of a bucket can be similar enough if its shingle is the rarest that they share."""
+    needed = (x["weight"] + y["weight"]) * (settings.similarity / (1 + settings.similarity)) - 1e-6
+    return F.least(x["weight"] - x["place"], y["weight"] - y["place"]) >= needed
+
+
+def _leader_pairs(state: DataFrame, settings: NearDupSettings) -> DataFrame:
+    """Pairs of each bucket's leader with the bucket's members of other components.
+
+    The leader has the fewest rarer shingles, then the smallest rank by a hash that differs between buckets.
+    """
+    member = F.struct("node", "component", "weight", "place")
+    leaders = state.groupBy("bucket").agg(F.min_by(member, F.struct(F.col("place") / F.col("weight"), F.xxhash64("bucket", "node"), "node")).alias("leader"))
+    joined = state.withColumn("own", member).join(leaders, "bucket").where((F.col("component") != F.col("leader.component")) & _possible(F.col("own"), F.col("leader"), settings))
     return joined.select(F.least("node", "leader.node").alias("u"), F.greatest("node", "leader.node").alias("v"))
 
 
-def _remaining_pairs(state: DataFrame) -> DataFrame:
+def _remaining_pairs(state: DataFrame, settings: NearDupSettings) -> DataFrame:
     """Pairs across components, for buckets with several: all members outside the largest component with all others."""
     sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = state.join(largest, "bucket").where("component <> largest").select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    joined = state.join(outside, "bucket").where("component <> other_component")
-    return joined.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
+    member = F.struct("node", "component", "weight", "place")
+    outside = state.join(largest, "bucket").where("component <> largest").select("bucket", member.alias("other"))
+    own = state.select("bucket", member.alias("own"))
+    apart = (F.col("own.component") != F.col("other.component")) & _possible(F.col("own"), F.col("other"), settings)
+    joined = own.alias("a").join(outside.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & apart)
+    return joined.select(F.least("own.node", "other.node").alias("u"), F.greatest("own.node", "other.node").alias("v"))
