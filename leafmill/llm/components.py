@@ -33,11 +33,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour v of u is linked to the smallest node around u
         large = both.where("v > u").join(_smallest(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(_smallest(both).select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(tasks)
+        large = large.union(_smallest(both).select("u", F.col("m").alias("v"))).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         # small star: u and every smaller neighbour are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct().coalesce(tasks))
+        edges = cut(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

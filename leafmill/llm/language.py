@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import held_out, ship_package
-from leafmill.llm.wordhash import _slices, mix, span_hashes, word_edges
+from leafmill.llm.session import held_out, in_slices, ship_package
+from leafmill.llm.wordhash import SLICE_BYTES, _slices, mix, span_hashes, word_edges
 
 #: Unicode ranges of scripts (first, last, script); letters elsewhere count as "other".
 SCRIPT_RANGES = (
@@ -102,7 +102,7 @@ class Words:
 
         for doc, text in enumerate(texts):
             for piece in _slices(text.lower().encode("utf-8", "replace")) if text else ():
-                if size and size + len(piece) > 2 << 20:
+                if size and size + len(piece) > SLICE_BYTES:
                     flush()
                 group.append(piece)
                 members.append(doc)
@@ -167,7 +167,7 @@ def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), id_c
     if total > settings.max_training_rows:
         share = settings.max_training_rows / total
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * share))
-    counted = rows.select("lang", "text").mapInArrow(_count_batches(settings.bits), "lang string, bucket long, n long")
+    counted = rows.select("lang", "text").mapInArrow(in_slices(_count_batches(settings.bits), 4096), "lang string, bucket long, n long")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(sums["lang"].unique()))
     if len(languages) > settings.max_languages:
@@ -271,7 +271,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, lang_pred string, score double, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(in_slices(run), f"id {id_type}, lang_pred string, score double, spans string").withColumnRenamed("id", id_col)
 
 
 def language_report(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> DataFrame:

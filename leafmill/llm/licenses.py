@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import ship_package
+from leafmill.llm.session import in_slices, ship_package
 
 #: The base phrases and their labels.
 BASE_PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
@@ -271,4 +271,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fields = [pa.field(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")] + [pa.field("base_labels", pa.string()), pa.field("labels", pa.string()), pa.field("score", pa.float64()), pa.field("detections", pa.list_(detection))]
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, {SCAN_SCHEMA}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(in_slices(run), f"id {id_type}, {SCAN_SCHEMA}").withColumnRenamed("id", id_col)

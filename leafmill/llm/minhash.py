@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.components import connected_components
-from leafmill.llm.session import cut, ship_package
+from leafmill.llm.components import LINKS_A_TASK, connected_components
+from leafmill.llm.session import cut, in_slices, ship_package
 from leafmill.llm.wordhash import hash_words, mix, ngram_hashes
 
-_CHUNK_CHARS = 2 << 20
+_CHUNK_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame, settings: NearDupSettings, id_col: str = "doc_id
     """doc_id, weight (runs), whole (a hash of the multiset of runs) and the hashes of the bands."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sign(settings), "doc_id long, weight long, whole long, bands array<long>")
+    return rows.mapInArrow(in_slices(_sign(settings)), "doc_id long, weight long, whole long, bands array<long>")
 
 
 def _shingle_rows(settings: NearDupSettings):
@@ -197,10 +197,10 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     buckets = cut(buckets.join(shared.select("band", "bucket"), ["band", "bucket"]).select("node", "weight", *placed))
     wanted = buckets.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-    sets = cut(texts.mapInArrow(_shingle_rows(settings), "node long, regions binary").groupBy("node").agg(F.min("regions").alias("regions")))
+    sets = cut(texts.mapInArrow(in_slices(_shingle_rows(settings)), "node long, regions binary").groupBy("node").agg(F.min("regions").alias("regions")))
 
-    links = tried = None
-    components = None
+    links = tried = components = None
+    n_pairs = 0
     state = _unmerged(buckets, None)  # who stands in which bucket, and in which component
     for k in range(settings.leader_rounds + 2):
         if k == settings.leader_rounds:
@@ -212,10 +212,13 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        found = cut(compare_pairs(cut(pairs), sets, settings))
-        tried = found.select("u", "v") if tried is None else cut(tried.union(found.select("u", "v")))
-        new = found.where("linked").select("u", "v")
-        links = new if links is None else cut(links.union(new))
+        pairs = cut(pairs)
+        n_pairs += pairs.count()
+        few = max(1, math.ceil(n_pairs / LINKS_A_TASK))
+        found = cut(compare_pairs(pairs, sets, settings))
+        now, new = found.select("u", "v"), found.where("linked").select("u", "v")
+        tried = cut((now if tried is None else tried.union(now)).coalesce(few))
+        links = cut((new if links is None else links.union(new)).coalesce(few))
         components = cut(connected_components(links))
         state = _unmerged(buckets, components)
     member = signed.join(classes.select("whole", "weight", "node"), ["whole", "weight"], "left").withColumn("component", F.lit(None).cast("long"))
@@ -249,7 +252,7 @@ def rare_groups(nodes: DataFrame, sets: DataFrame, settings: NearDupSettings) ->
     Shingles are ordered by how many of ``nodes`` have them. Two nodes of the wanted similarity stand
     together in at least one bucket. Shingles that one node alone has make no bucket.
     """
-    rows = sets.join(nodes, "node", "left_semi").mapInArrow(_region_rows, "node long, weight long, region long")
+    rows = sets.join(nodes, "node", "left_semi").mapInArrow(in_slices(_region_rows, 64), "node long, weight long, region long")
     often = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     known = rows.join(often, "region")
     by_node = Window.partitionBy("node")
@@ -262,7 +265,7 @@ def compare_pairs(pairs: DataFrame, sets: DataFrame, settings: NearDupSettings)
     """(u, v, linked): whether the weighted Jaccard similarity of the two documents reaches the bound."""
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("regions").alias("left")), "u")
     full = left.join(sets.select(F.col("node").alias("v"), F.col("regions").alias("right")), "v")
-    return full.select("u", "v", "left", "right").mapInArrow(_compare(settings), "u long, v long, linked boolean")
+    return full.select("u", "v", "left", "right").mapInArrow(in_slices(_compare(settings)), "u long, v long, linked boolean")
 
 
 def _possible(x: Column, y: Column, settings: NearDupSettings) -> Column:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import ship_package
+from leafmill.llm.session import in_slices, ship_package
 
 #: Fixed: the public pattern of this vocabulary with possessive quantifiers; it splits alike and faster.
 PRETOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -196,4 +196,4 @@ def pack_examples(examples: DataFrame, tokenizer_path: str, limits: PackingLimit
     prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
     rows = examples.select(F.col(id_col).alias("id"), prompt.alias("prompt"), F.col(text_col).alias("text"))
     id_type = examples.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_pack_batches(tokenizer_path, limits, end_id), f"id {id_type}, {PIECE_SCHEMA}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(in_slices(_pack_batches(tokenizer_path, limits, end_id)), f"id {id_type}, {PIECE_SCHEMA}").withColumnRenamed("id", id_col)

@@ -46,6 +46,17 @@ def ship_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
 
 
+def in_slices(run, rows: int = 512):
+    """``run`` over slices of its Arrow batches, so that Python holds the texts of one slice and not of a batch."""
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return lambda batches: run(sliced(batches))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the documents whose labels no model may see."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == F.lit(HELD_OUT_REMAINDER)

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import ship_package
+from leafmill.llm.session import in_slices, ship_package
 from leafmill.llm.wordhash import hash_words, mix
 
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 _SALTS = {name: np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)) for k, name in enumerate(("word", "pair", "skip1", "skip2"), 1)}
 
 
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = FtrlSetti
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     shards = max(1, round(min(settings.max_training_rows, picked.count()) / settings.rows_per_shard))
     rows = sample.select((F.pmod("order", F.lit(shards))).cast("int").alias("shard"), "order", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "text")
-    features = rows.mapInArrow(_distinct_features(settings.bits), "shard int, order long, label double, features binary")
+    features = rows.mapInArrow(in_slices(_distinct_features(settings.bits)), "shard int, order long, label double, features binary")
     fitted = features.groupBy("shard").applyInArrow(_ftrl(settings), "feature long, weight double")
     mean = fitted.groupBy("feature").agg((F.sum("weight") / F.lit(shards)).alias("weight")).toPandas().sort_values("feature")
     bias = float(mean.loc[mean["feature"] == 1 << settings.bits, "weight"].sum()) if len(mean) else -2.0
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(margins, -50, 50))))], names=["id", "score"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_slices(run), f"id {id_type}, score double").withColumnRenamed("id", id_col)
 
 
 def _margins(texts: list[str | None], model: ToxicityModel, table: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, te
             margins = _margins(batch.column(position).to_pylist(), sent.value, table)
             yield batch.filter(pa.array(1.0 / (1.0 + np.exp(-np.clip(margins, -50, 50))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_slices(run), docs.schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: FtrlSettings = FtrlSettings()) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[ord("0") : ord("9") + 1] = True
