@@ -10,6 +10,9 @@ Packing is local to a task's rows, in groups of bounded size, so it needs no shu
 more than its own partition. What a partition's last groups leave over is closed at powers of two, where
 sequences need no padding; all other sequences are full unless a limit on segments or loss closes them.
 
+Ids are those of ``tokenizers`` with byte_bpe_50k.json, made by tiktoken from the same ranks; the added token
+<|endoftext|> in a text is one id, as there.
+
 Cases: null and empty texts have the single end-of-text id; very long texts are cut into many pieces;
 rows with a repeated id are packed row by row; columns other than the used ones are ignored.
 """
@@ -32,6 +35,9 @@ from leafmill.llm.session import in_slices, ship_package
 PRETOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 PIECE_SCHEMA = "doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long, loss_tokens long"
 
+#: Fixed: the added token of byte_bpe_50k.json, which ``tokenizers`` finds in any text, by the file name of its ranks.
+ADDED_TOKENS = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
+
 _encoders: dict[str, object] = {}
 
 
@@ -46,15 +52,16 @@ class PackingLimits:
 
 
 def encoder(path: str):
-    """The byte-level BPE of a ``*.tiktoken`` rank file; special strings in a text are ordinary text."""
+    """The byte-level BPE of a ``*.tiktoken`` rank file, with the added tokens that its JSON form has."""
     if path not in _encoders:
         import base64
+        from os.path import basename
 
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS.get(basename(path), {}))
     return _encoders[path]
 
 
@@ -171,8 +178,8 @@ def _pack_batches(tokenizer_path: str, limits: PackingLimits, end_id: int):
         for batch in batches:
             id_type = batch.schema.field("id").type
             for key, prompt, text in zip(batch.column("id").to_pylist(), batch.column("prompt").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                head = encode(prompt, disallowed_special=()) if prompt else np.zeros(0, np.uint32)
-                body = encode(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+                head = encode(prompt, allowed_special="all") if prompt else np.zeros(0, np.uint32)
+                body = encode(text, allowed_special="all") if text else np.zeros(0, np.uint32)
                 ids[seen] = np.concatenate([head, body, [end_id]]).astype("<u4")
                 keys[seen] = key
                 packer.add(seen, len(ids[seen]), len(head))

@@ -105,6 +105,32 @@ def test_packing_round_trip(docs):
     assert sum(r["length"] for r in rows if r["doc_id"] == 1) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 1)
 
 
+def test_packing_ids_equal_tokenizers(spark):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leafmill.llm.packing import encoder, pack_examples
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n\n z ", "<|endoftext|", "<|ENDOFTEXT|>"]
+    parts = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u0085", "\x1c", "\u200b", "it's", "'LL", "'re", "12", "\u0664", "\u00bd", "e\u0301", "\u0905\u093f", "\u4e2d", "\U0001f600", "_", "...", "Ab", "\x00"]
+    dice = random.Random(7)
+    texts += ["".join(dice.choices(parts, k=dice.randrange(1, 30))) for _ in range(2000)]
+    texts += ["".join(chr(dice.choice([dice.randrange(0x80), dice.randrange(0xD800), dice.randrange(0xE000, 0x110000)])) for _ in range(60)) for _ in range(500)]
+    encode = encoder(path).encode_to_numpy
+    assert [t for t in texts if encode(t, allowed_special="all").tolist() != tokenizer.encode(t, add_special_tokens=False).ids] == []
+    rows = pack_examples(spark.createDataFrame(list(enumerate(texts[:5])), "doc_id long, text string"), path).collect()
+    for k, text in enumerate(texts[:5]):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        pieces = [r for r in rows if r["doc_id"] == k]
+        assert {r["doc_tokens"] for r in pieces} == {len(ids)} == {sum(r["length"] for r in pieces)}
+        for r in pieces:
+            assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r["start"] : r["start"] + r["length"]]))
+
+
 def test_secrets_cases(docs):
     from leafmill.llm.secrets import redact_secrets, scan_secrets
 
