@@ -185,6 +185,61 @@ def test_licenses_base_labels(docs, spark):
     assert found[2]["n_words"] == 0 and found[3]["base_labels"] == "gpl"
 
 
+def _sample(parsed, dice):
+    """A random text that a parsed pattern matches; what lookarounds ask for is left to the caller."""
+    from re import _constants as c
+
+    out = ""
+    for op, of in parsed:
+        if op is c.LITERAL:
+            out += chr(of)
+        elif op is c.IN:
+            kind, value = dice.choice(of)
+            out += " " if kind is c.CATEGORY else chr(value if kind is c.LITERAL else dice.choice([x for x in range(value[0], min(value[1], 0x2FF) + 1) if not 65 <= x <= 90]))
+        elif op is c.SUBPATTERN:
+            out += _sample(of[-1], dice)
+        elif op is c.BRANCH:
+            out += _sample(dice.choice(of[1]), dice)
+        elif op in (c.MAX_REPEAT, c.POSSESSIVE_REPEAT):
+            out += "".join(_sample(of[2], dice) for _ in range(dice.randint(of[0], min(of[1], of[0] + 20))))
+        else:
+            assert op is c.ASSERT_NOT, op
+    return out
+
+
+def test_licenses_gates_let_every_match_through():
+    import random
+    from re._parser import parse
+
+    from leafmill.llm.licenses import _compiled, _gates, rules
+
+    dice, automaton = random.Random(5), _compiled()[0]
+    for rule in rules():
+        parsed, matched = parse(rule.pattern), 0
+        for _ in range(20):
+            text = _sample(parsed, dice)
+            if re.search(rule.pattern, text):
+                matched += 1
+                assert [g for g in _gates(rule) if g not in text.encode()] == [], (rule, text)
+                assert _gates(rule)[0] in {literal for _, literal in automaton.iter(text)}, (rule, text)
+        assert matched, rule
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("The software is provided as is, without warranty of any kind", "mit"),
+        ("Berkeley Software Distribution", "bsd"), ("ASL 2.0", "apache-2.0"), ("Unauthorized copying of this file", "proprietary"), ("Free Software Foundation", "gpl"),
+        ("either version 3 of the License, or (at your option) any later version", "gpl-3.0"), ("either version 2 of the License, or any later version", "gpl-2.0"),
+        ("Mozilla Public\n *\n * ------------------\n * License, v. 2.0", "mpl-2.0"), ("SPDX-License-Identifier:" + " " * 40 + "MIT", "mit"), ("GPL 3.0" + " " * 30 + "+", "gpl-3.0-or-later"),
+    ],
+)
+def test_licenses_phrases_alone_and_wide_gaps(text, label):
+    from leafmill.llm.licenses import scan_text
+
+    assert label in scan_text(text)["labels"].split(",")
+
+
 def test_language_and_url_cases(docs, spark):
     from leafmill.llm.language import language_report
     from leafmill.llm.url_filter import filter_urls
