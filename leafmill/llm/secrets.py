@@ -2,8 +2,9 @@
 
 Patterns find candidates in whole texts. The hash of each candidate value is then counted over the whole
 corpus: by distinct documents (repositories) and by distinct sources (owners). A value that many owners
-share is a copied example; a value held by few owners looks like a live credential. Spans of the three
-base kinds are always reported; spans of the further kinds are added where they look live.
+share is a copied example; a value held by few owners looks like a live credential, in however many
+documents: the count of documents goes along, but only owners decide. Spans of the three base kinds are
+always reported; spans of the further kinds are added where they look live.
 
 One scan reads the texts; only the matches and the lengths of what stands between them travel on. The
 place of a match is the running sum of those lengths, taken in a window over the matches of one row, so
