@@ -3,20 +3,54 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of
 documents for the rows that they keep, so each stage works on what the one before has kept. Rows without a
 doc_id cannot be named as copies and stay.
+
+Where one doc_id stands on several texts, each text is judged on its own: exact and near copies drop rows by
+id and text. Of rows that repeat both id and text, one stays. The rows that stay keep their doc_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm.exact_dedup import exact_dedup
 from leafmill.llm.minhash import near_duplicates
 from leafmill.llm.packing import pack_examples
 from leafmill.llm.secrets import redact_secrets
-from leafmill.llm.session import held_out, scratch_path
+from leafmill.llm.session import cut, held_out, scratch_path
 from leafmill.llm.toxicity import drop_toxic, train
 
 
+ROW_KEY, TEXT_HASH = "__row_key", "__text_hash"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each text: its doc_id, or a number above all ids where an id has more texts.
+
+    Rows that repeat both id and text become one row.
+    """
+    ids = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if ids.isEmpty():
+        return docs.withColumn(ROW_KEY, F.col("doc_id"))
+    repeated = docs.join(ids, "doc_id", "left_semi").withColumn(TEXT_HASH, F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = cut(repeated.select("doc_id", TEXT_HASH).distinct())
+    first = texts.groupBy("doc_id").agg(F.min(TEXT_HASH).alias("first"))
+    above = docs.agg(F.max("doc_id")).first()[0] + 1
+    keyed = texts.withColumn("number", F.lit(above) + F.monotonically_increasing_id()).join(first, "doc_id")
+    keys = keyed.select("doc_id", TEXT_HASH, F.when(F.col(TEXT_HASH) == F.col("first"), F.col("doc_id")).otherwise(F.col("number")).alias(ROW_KEY))
+    rows = cut(repeated.dropDuplicates(["doc_id", TEXT_HASH]).join(keys, ["doc_id", TEXT_HASH]).select(*docs.columns, ROW_KEY))
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias(ROW_KEY)).unionByName(rows)
+
+
+def _without_copies(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, text by text."""
+    keyed = _keyed(docs)
+    dropped = judge(keyed, id_col=ROW_KEY).where("not kept").select(F.col("doc_id").alias(ROW_KEY))
+    return keyed.join(dropped, ROW_KEY, "left_anti").select(docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3; learnt from the labels of documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -25,14 +59,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    dropped = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return _without_copies(docs, exact_dedup)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return _without_copies(docs, near_duplicates)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,3 +259,20 @@ def test_toxicity_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     judged = [(rows[k]["predicted"], v) for k, v in labels.items() if rows[k]["held_out"]]
     assert sum(p == y for p, y in judged) >= 0.9 * len(judged)
+
+
+def test_pipeline_stages_with_repeated_ids(spark):
+    from corpus_pipeline import exact_copies, near_copies
+
+    near, lone = BASE.replace("word7 ", "changed "), " ".join(WORDS[200:])
+    rows = [(1, BASE), (2, BASE), (2, lone), (3, "twice"), (3, "twice"), (4, " twice "), (5, "a  b"), (5, "a b"), (None, "no id"), (None, "no id"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = exact_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+    assert found == sorted([(1, BASE), (2, lone), (4, " twice "), (5, "a  b"), (None, "no id"), (None, "no id"), (9, "")], key=str)
+    rows = [(1, BASE), (2, near), (2, lone), (3, "of its own"), (3, "of its own"), (4, lone + " more")]
+    docs = spark.createDataFrame([(*r, "en", "a", 0) for r in rows], docs.schema)
+    found = near_copies(spark, docs, SF).select("doc_id", "text").collect()
+    groups = [{(1, BASE), (2, near)}, {(2, lone), (4, lone + " more")}, {(3, "of its own")}]
+    assert len(found) == 3 and all(len(g & {tuple(r) for r in found}) == 1 for g in groups)
