@@ -1,40 +1,60 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are normalised (a leading space, spaces as U+2581) and cut into words where no piece can reach
-across. Each distinct word is encoded once:
-
-* its substrings of bounded length are exploded and equi-joined to the piece table,
-* the edges found are grouped by word (words are already dealt by word, so this needs no shuffle),
-* a higher-order ``aggregate`` folds the edges of a word into its segmentation.
-
-Unigram models fold by Viterbi: the best score that reaches each position. The public model at hand is a
-BPE model, and the best-scoring path of a BPE vocabulary is not what BPE merging gives; for such models the
-fold merges, step by step, the neighbouring segments whose union is the earliest learnt piece.
-
-The encoded words are joined to their places in the texts. The most frequent words (at most
-``HOT_WORDS`` of at most ``HOT_CHARS`` characters, so at most about 20 MB) are broadcast, which takes the
-skew out of the join; all others are joined by shuffle. Characters outside the vocabulary become bytes.
-
-Cases: null and empty texts have no ids; repeated rows are encoded row by row; very long texts are cut
-into words like others, and only a single word without a break is folded whole; columns other than the id
-and the text are ignored.
+Texts are normalised (a leading space, spaces as U+2581) and cut into words where no piece can reach across.
+Words are encoded by relations:
+
+* their substrings of bounded length are exploded and equi-joined to the piece table (broadcast: it has the
+  vocabulary's size),
+* the edges found are grouped by word,
+* a higher-order ``aggregate`` folds the edges forward in Viterbi's way: every position keeps one arriving
+  edge, looked up among the last ``longest`` positions only; a second fold walks back from the end.
+
+So a word costs time and memory in proportion to its length, whatever that is. What differs between models is
+which arriving edge a position keeps. Unigram models keep the one of the best score. For BPE models the
+best-scoring path is not what merging by rank gives. But the merged segmentation of a prefix ends in exactly
+one piece, namely the one that the merged segmentation before it does not disturb: no piece across the border
+would have been merged while both of its halves stood alone. That is decided by the ranks at which the pieces
+along the border are made and used up (``spines``), so the same fold gives the exact merges.
+
+Words are cut further between characters that stand side by side in no piece. The most frequent of these parts (at
+most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 120 MB in any case) are encoded first and sent to all
+tasks; which parts these are changes no result. A task then writes each text as part numbers and sends on the
+other parts with it, by row. The shuffle by row is the only one over the corpus: lattice, fold and assembly of a
+row happen where the row is.
+
+Cases: null and empty texts have no ids; repeated rows are encoded row by row; an empty table gives an empty
+result; very long texts and very long words need memory in proportion to their length; ties of a unigram model
+go to the longest arriving piece; columns other than the id and the text are ignored, whatever their names.
+Characters outside the vocabulary become bytes. Rows are numbered as they are read: where rows come out of a
+shuffle without an order, write them as a table first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import cut
+from leafmill.llm.session import cut, in_slices, ship_package
 
 SPACE = "▁"
-HOT_WORDS = 100_000
+HOT_WORDS = 600_000
 HOT_CHARS = 24
+#: End positions of a block of a long word; edges of a slice of the fold; distinct words that a task holds at once.
+BLOCK, SLICE = 64, 512
+COUNTED_WORDS = 500_000
 #: Characters that stand alone in many vocabularies; those that do in a given one cut words too.
 LONERS = "\n\t\r0123456789"
+NEVER = 2**31 - 1
+#: Score of a character without a piece, below the worst piece of a unigram model.
+UNKNOWN_PENALTY = 10.0
 
 
 @dataclass(frozen=True)
@@ -43,49 +63,97 @@ class PieceModel:
 
     pieces: tuple[tuple[str, int, float], ...]
     byte_ids: tuple[int, ...]
-    unknown_id: int
     size: int
     unigram: bool
-    longest: int
-    cutters: str
 
     @staticmethod
     def load(path: str) -> PieceModel:
+        """The model of a file; it must have byte pieces for characters outside the vocabulary."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ordinary = [k for k in range(model.get_piece_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
         pieces = tuple((model.id_to_piece(k), k, float(model.get_score(k))) for k in ordinary)
         byte_ids = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in range(256))
-        inside = {c for piece, _, _ in pieces if len(piece) > 1 for c in piece}
+        if model.unk_id() in byte_ids:
+            raise ValueError("the vocabulary has no byte pieces")
         scores = [s for piece, _, s in pieces if len(piece) > 1]
-        whole = all(s == round(s) for s in scores)  # BPE scores are negative ranks
-        return PieceModel(pieces, byte_ids, model.unk_id(), model.get_piece_size(), not whole, max(len(p) for p, _, _ in pieces), "".join(c for c in LONERS if c not in inside))
+        return PieceModel(pieces, byte_ids, model.get_piece_size(), any(s != round(s) for s in scores))  # BPE scores are negative ranks
 
+    @property
+    def longest(self) -> int:
+        return max(len(piece) for piece, _, _ in self.pieces)
 
-def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """(piece, id, score, rank): rank 0 has the best score, equal scores share one; at most the vocabulary's size in rows."""
-    ranks = {score: k for k, score in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
-    return spark.createDataFrame([(*piece, ranks[piece[2]]) for piece in model.pieces], "piece string, id int, score double, rank int")
+    def cutter(self) -> re.Pattern:
+        """Finds the words of a text: a run of spaces and what follows it, up to a space or a character that stands alone."""
+        inside = {c for piece, _, _ in self.pieces if len(piece) > 1 for c in piece}
+        if any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _, _ in self.pieces):
+            raise ValueError("a piece holds a space behind another character: texts cannot be cut at spaces")
+        alone = "".join(c for c in LONERS if c not in inside)
+        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|[{alone}]|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def neighbours(self) -> frozenset[str]:
+        """All pairs of characters that stand side by side in a piece; no piece reaches across any other pair."""
+        return frozenset(piece[k : k + 2] for piece, _, _ in self.pieces for k in range(len(piece) - 1))
 
-def words_of(text: Column, cutters: str) -> Column:
-    """The words of a text: cut before a run of spaces, and around characters that stand alone."""
-    plain = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    cuts = f"(?<=[^{SPACE}])(?={SPACE})"
-    if cutters:
-        alone = "[" + "".join(f"\\x{ord(c):02x}" for c in cutters) + "]"
-        cuts += f"|(?<={alone})|(?={alone})"
-    return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.filter(F.split(plain, cuts), lambda w: w != ""))
 
+@lru_cache(maxsize=4)
+def merge_tree(model: PieceModel) -> dict[str, int]:
+    """The length of the left part of the last merge of every piece that merging by rank makes; 0 for single characters.
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word with edges: (start, n, id, score, rank) of every piece that stands in it, by start and length."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("n"))
-    parts = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("n")))
-    edges = parts.join(F.broadcast(pieces), "piece", "left")  # left: a word without any piece keeps its row
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "n", "id", "score", "rank")))).alias("edges"))
+    Pieces of one rank merge from the left. Raises where a rank is lower than that of a part, which learnt merges rule out.
+    """
+    ranks = {piece: -score for piece, _, score in model.pieces if len(piece) > 1}
+    left: dict[str, int] = {piece: 0 for piece, _, _ in model.pieces if len(piece) == 1}
+    for piece in ranks:
+        parts = list(piece)
+        while len(parts) > 1:
+            found = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+            if found is None:
+                break
+            k = found[1]
+            at = len(parts[k])
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(parts) > 1:
+            continue  # no merge order makes this piece
+        left[piece] = at
+        if any(ranks.get(part, -1) > ranks[piece] for part in (piece[:at], piece[at:])):
+            raise ValueError(f"the rank of {piece!r} is lower than that of a part of it")
+    return left
+
+
+def spines(model: PieceModel) -> list[tuple[int, list, list]]:
+    """(id, right, left) per piece: the pieces along its right and its left border, each with its length, the rank
+    that makes it (-1 for a character) and the rank that uses it up."""
+    left = merge_tree(model)
+    ranks = {piece: int(-score) if len(piece) > 1 else -1 for piece, _, score in model.pieces}
+
+    def border(piece: str, step: Callable[[str], str]) -> list[tuple[int, int, int]]:
+        out, death = [], NEVER
+        while True:
+            born = ranks.get(piece, -1)
+            out.append((len(piece), born, death))
+            if len(piece) == 1:
+                return out
+            death, piece = born, step(piece)
+
+    return [(k, border(p, lambda x: x[left[x] :]), border(p, lambda x: x[: left[x]])) for p, k, _ in model.pieces if p in left]
+
+
+def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """(piece, piece_id, value) of all pieces that can stand in a result; at most the vocabulary's size in rows."""
+    usable = {piece for piece, _, _ in model.pieces} if model.unigram else merge_tree(model)
+    pieces, ids, scores = zip(*(p for p in model.pieces if p[0] in usable), strict=True)
+    values = pa.array(scores, pa.float64()) if model.unigram else pa.array([-1 if len(p) == 1 else int(-s) for p, s in zip(pieces, scores, strict=True)], pa.int32())
+    return spark.createDataFrame(pa.table([pa.array(pieces, pa.string()), pa.array(ids, pa.int32()), values], names=["piece", "piece_id", "value"]))
+
+
+def border_table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """One row with ``borders``: by id, the right and the left border of each piece (null where there is none)."""
+    by_id = {k: (right, left) for k, right, left in spines(model)}
+    border = pa.list_(pa.struct([(name, pa.int32()) for name in ("n", "born", "death")]))
+    named = [{side: [dict(zip(("n", "born", "death"), x, strict=True)) for x in found] for side, found in zip(("right", "left"), by_id[k], strict=True)} if k in by_id else None for k in range(model.size)]
+    return spark.createDataFrame(pa.table({"borders": pa.array([named], pa.list_(pa.struct([("right", border), ("left", border)])))}))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,100 +161,295 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
-def _by_place(edges: Column, what: str, longest: int) -> Column:
-    """Map from start * (longest + 1) + length to a field of the edge there."""
-    return F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * (longest + 1) + e["n"], e[what])))
+def lattice(blocks: DataFrame, keys: list[str], model: PieceModel) -> DataFrame:
+    """The keys with ``edges`` (at, start, id, bytes, value): every piece that stands in the word, and every character.
+
+    ``blocks`` has the keys, block (number), lead (characters before the block's own) and part (lead and own
+    characters). A key whose part is null has no edges. The value is a piece's rank (BPE; -1 for characters) or
+    score (unigram). Edges are in order of their end, the longest first.
+    """
+    spark, longest = blocks.sparkSession, model.longest
+    byte_ids = F.split(F.lit(",".join(map(str, model.byte_ids))), ",").cast("array<int>")
+    ends = blocks.select(*keys, "block", "lead", "part", F.explode_outer(F.when(F.col("part").isNotNull(), F.sequence(F.col("lead") + 1, F.length("part")))).alias("end"))
+    spans = ends.select(*keys, "block", "lead", "part", "end", F.explode_outer(F.when(F.col("end").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end"))))).alias("n"))
+    at = F.col("block") * BLOCK + F.col("end") - F.col("lead")
+    pieces = spans.select(*keys, at.alias("at"), (at - F.col("n")).alias("start"), F.substring("part", F.col("end") - F.col("n") + 1, F.col("n")).alias("piece"))
+    found = pieces.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("piece_id is not null or start = at - 1 or start is null")
+    spelled = _let(F.hex(F.encode("piece", "UTF-8")), lambda code: F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(byte_ids, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int"))))
+    worst = min(score for _, _, score in model.pieces)
+    edge = F.struct("at", "start", F.coalesce("piece_id", F.lit(-1)).alias("id"), F.when(F.col("piece_id").isNull(), spelled).alias("bytes"), F.coalesce("value", F.lit(worst - UNKNOWN_PENALTY if model.unigram else -1)).alias("value"))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), edge))).alias("edges"))
+
+
+def _last(edges: Column) -> Column:
+    return F.get(edges, F.size(edges) - 1)
+
+
+def _keep_bpe(borders: Column) -> Callable:
+    """Keeps the arriving edge that the merged segmentation before it does not disturb: the longest such; a
+    character, which comes last, needs no proof, as one edge must fit."""
+    alone = F.array(F.struct(F.lit(1).alias("n"), F.lit(-1).alias("born"), F.lit(NEVER).alias("death")))
+
+    def side(id: Column, which: str) -> Column:
+        return F.when(id < 0, alone).otherwise(F.get(borders, id)[which])
+
+    def disturbed(longer: Column, before: Column, edge: Column) -> Column:
+        border = edge["start"]
+
+        def cross(right: Column, left: Column) -> Column:
+            def taken(c: Column) -> Column:
+                def beats(x: Column) -> Column:
+                    return (x["n"] == border - c["start"]) & (c["value"] < x["death"]) & F.exists(
+                        left, lambda y: (y["n"] == c["at"] - border) & (c["value"] <= y["death"]) & (x["born"] <= y["death"]) & (y["born"] < x["death"])
+                    )
+
+                return (c["start"] < border) & (c["at"] > border) & F.exists(right, beats)
+
+            return F.exists(longer, taken)
+
+        return _let(F.struct(side(before["id"], "right").alias("r"), side(edge["id"], "left").alias("l")), lambda s: cross(s["r"], s["l"]))
+
+    def reach(longer: Column, window: Column, edge: Column) -> Column:
+        before = F.get(window, edge["start"] - F.get(window, F.lit(0))["at"])
+        fits = (edge["start"] == edge["at"] - 1) | (edge["start"] == 0) | ~disturbed(longer, before, edge)
+        return F.when(_last(window)["at"] == edge["at"], window).when(fits, F.concat(window, F.array(edge))).otherwise(window)
 
+    return reach
 
-def fold_bpe(word: Column, edges: Column, longest: int) -> Column:
-    """Start offsets of the segments (with the end) after all merges, by rank of the merged piece.
 
-    A step merges the neighbours whose union has the best rank, the leftmost of equals. The ranks travel in
-    the fold's state, so that they are looked up and not rebuilt.
+def _keep_unigram(longer: Column, window: Column, edge: Column) -> Column:
+    """Keeps the arriving edge of the best total score, as its value; the longest of equals."""
+    before = F.get(window, edge["start"] - F.get(window, F.lit(0))["at"])
+    total = F.struct(edge["at"].alias("at"), edge["start"].alias("start"), edge["id"].alias("id"), edge["bytes"].alias("bytes"), (before["value"] + edge["value"]).alias("value"))
+    return F.when(_last(window)["at"] < edge["at"], F.concat(window, F.array(total))).when(
+        _last(window)["value"] < before["value"] + edge["value"], F.concat(F.slice(window, 1, F.size(window) - 1), F.array(total))
+    ).otherwise(window)
+
+
+def fold(edges: Column, model: PieceModel, reach: Callable) -> Column:
+    """The ids of a word from its edges, in order.
+
+    Forward, the edges come in slices; each position keeps an edge, and only the last ``longest`` kept edges and
+    the longer edges that end among them go on to the next slice. Backward, the kept edges from the end are the
+    segments. So a word of any length needs time in proportion to it.
     """
-    n = F.length(word)
-    start = F.struct(F.sequence(F.lit(0), n).alias("bounds"), _by_place(edges, "rank", longest).alias("ranks"), F.lit(False).alias("done"))
+    kind, longest = f"struct<at:int,start:int,id:int,bytes:array<int>,value:{'double' if model.unigram else 'int'}>", model.longest
+    root = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(-1).alias("id"), F.lit(None).alias("bytes"), F.lit(0).alias("value")).cast(kind)
+    start = F.struct(F.array(root).alias("window"), F.array().cast(f"array<{kind}>").alias("longer"), F.array().cast(f"array<array<{kind}>>").alias("out"))
 
-    def merged(state: Column) -> Column:
-        bounds = state["bounds"]
-        middles = F.slice(bounds, 2, F.size(bounds) - 2)
-        ranked = F.transform(middles, lambda middle, k: F.struct(F.try_element_at(state["ranks"], F.get(bounds, k) * (longest + 1) + F.get(bounds, k + 2) - F.get(bounds, k)).alias("rank"), middle.alias("middle")))
-        best = F.array_min(F.filter(ranked, lambda x: x["rank"].isNotNull()))
-        rest = _let(best, lambda x: F.when(x.isNull(), bounds).otherwise(F.filter(bounds, lambda at: at != x["middle"])))
-        return _let(rest, lambda x: F.struct(x.alias("bounds"), state["ranks"].alias("ranks"), (F.size(x) == F.size(bounds)).alias("done")))
+    def forward(state: Column, k: Column) -> Column:
+        def sliced(some: Column, longer: Column) -> Column:
+            def closed(window: Column) -> Column:
+                since, until = _last(state["window"])["at"], _last(window)["at"]
+                return F.struct(
+                    F.slice(window, F.greatest(F.lit(1), F.size(window) - longest), F.lit(longest + 1)).alias("window"),
+                    F.filter(longer, lambda e: e["at"] > until - longest).alias("longer"),
+                    F.concat(state["out"], F.array(F.filter(window, lambda e: (e["at"] >= since) & (e["at"] < until) & (e["at"] > 0)))).alias("out"),
+                )
 
-    def step(state: Column, _: Column) -> Column:
-        return F.when(state["done"] | (F.size(state["bounds"]) <= 2), state).otherwise(merged(state))
+            return _let(F.aggregate(some, state["window"], lambda window, edge: reach(longer, window, edge)), closed)
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["bounds"])
+        def with_longer(some: Column) -> Column:
+            return _let(F.concat(state["longer"], F.filter(some, lambda e: e["at"] - e["start"] > 1)), lambda longer: sliced(some, longer))
 
+        return _let(F.slice(edges, k * SLICE + 1, F.lit(SLICE)), with_longer)
 
-def fold_viterbi(word: Column, edges: Column) -> Column:
-    """Start offsets of the best-scoring path (with the end); a character without a piece costs 100."""
-    n = F.length(word)
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("path")))
+    def backward(kept: Column) -> Column:
+        at_end = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<array<int>>>").alias("out"))
 
-    def reach(done: Column, end: Column) -> Column:
-        arriving = F.transform(
-            F.filter(edges, lambda e: e["start"] + e["n"] == end),
-            lambda e: F.struct((F.get(done, e["start"])["score"] + e["score"]).alias("score"), F.concat(F.get(done, e["start"])["path"], F.array(end)).alias("path")),
-        )
-        before = F.get(done, end - 1)
-        alone = F.struct((before["score"] - 100.0).alias("score"), F.concat(before["path"], F.array(end)).alias("path"))
-        return F.concat(done, F.array(F.array_max(F.concat(arriving, F.array(alone)))))
+        def slice_back(state: Column, some: Column) -> Column:
+            inner = F.struct(state["skip"].alias("skip"), F.array().cast("array<array<int>>").alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), n), first, reach, lambda done: F.get(done, n)["path"])
+            def one(s: Column, edge: Column) -> Column:
+                segment = F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(edge["bytes"])
+                taken = F.struct((edge["at"] - edge["start"] - 1).alias("skip"), F.concat(s["out"], F.array(segment)).alias("out"))
+                return F.when(s["skip"] > 0, F.struct((s["skip"] - 1).alias("skip"), s["out"].alias("out"))).otherwise(taken)
 
+            return _let(F.aggregate(F.reverse(some), inner, one), lambda d: F.struct(d["skip"].alias("skip"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+        return F.aggregate(F.reverse(kept), at_end, slice_back, lambda s: F.flatten(F.reverse(F.flatten(s["out"]))))
+
+    slices = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / SLICE).cast("int"))
+    return F.aggregate(slices, start, forward, lambda state: backward(F.concat(state["out"], F.array(F.array(_last(state["window"]))))))
+
+
+def encode_blocks(blocks: DataFrame, keys: list[str], model: PieceModel) -> DataFrame:
+    """The keys with ``ids`` (null where the key has no edges)."""
+    words = lattice(blocks, keys, model)
+    some = F.size("edges") > 0
+    if model.unigram:
+        return words.select(*keys, F.when(some, fold(F.col("edges"), model, _keep_unigram)).alias("ids"))
+    # borders is referred to once and stands above a filter, so the optimiser folds it into the last projection as one
+    # value; folded into the aggregation instead, every row would carry a copy
+    folded = _let(F.col("borders"), lambda borders: fold(F.col("edges"), model, _keep_bpe(borders)))
+    grouped = words.where(F.size("edges") >= 0).withColumn("borders", border_table(blocks.sparkSession, model).scalar())
+    return grouped.select(*keys, F.when(some, folded).alias("ids"))
+
+
+class _Splitter:
+    """Cuts texts into words, and words into parts where no piece reaches across."""
+
+    def __init__(self, model: PieceModel):
+        self.cutter, self.neighbours = model.cutter(), model.neighbours()
+
+    def words(self, text: str | None) -> list[str]:
+        return self.cutter.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def parts(self, word: str) -> list[str]:
+        pairs = self.neighbours
+        cuts = [k for k, (a, b) in enumerate(zip(word, word[1:], strict=False), 1) if a + b not in pairs]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
+
+def frequent_parts(texts: DataFrame, splitter: _Splitter) -> DataFrame:
+    """part: frequent parts of words, at most HOT_WORDS; a task reports what it met at least twice.
+
+    Counts share a bin by the eighth of their binary logarithm, so the choice needs no sort.
+    """
+
+    def run(batches):
+        words: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            counts: Counter[str] = Counter()
+            for word, n in words.items():
+                for part in splitter.parts(word):
+                    counts[part] += n
+            words.clear()
+            some = [(part, n) for part, n in counts.items() if n > 1 and len(part) <= HOT_CHARS]
+            parts, ns = zip(*some, strict=True) if some else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(ns, pa.int64())], names=["part", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words.update(splitter.words(text))
+            if len(words) > COUNTED_WORDS:
+                yield told()
+        yield told()
+
+    ship_package(texts.sparkSession)
+    counted = cut(texts.mapInArrow(in_slices(run), "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
+    size = F.floor(F.log2("n") * 8)
+    bins = sorted(((r["bin"], r["parts"]) for r in counted.groupBy(size.alias("bin")).agg(F.count("*").alias("parts")).collect()), reverse=True)  # at most 512
+    total, least = 0, 1 << 20
+    for at, parts in bins:
+        total += parts
+        if total > HOT_WORDS:
+            break
+        least = at
+    return counted.where(size >= least).select("part")
+
+
+class _Hot:
+    """The frequent parts by number and their ids, end to end."""
+
+    def __init__(self, words: list[str], ids: pa.Array):
+        self.words, self.offsets = words, np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self._number: dict[str, int] | None = None
+
+    def number(self) -> dict[str, int]:
+        if self._number is None:
+            self._number = {w: k for k, w in enumerate(self.words)}
+        return self._number
 
-def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) for distinct words."""
-    longest = model.longest
-    edges = lattice(words, piece_table(words.sparkSession, model), longest)
-    bounds = fold_viterbi(F.col("word"), F.col("edges")) if model.unigram else fold_bpe(F.col("word"), F.col("edges"), longest)
-    byte_ids = F.split(F.lit(",".join(map(str, model.byte_ids))), ",").cast("array<int>")
-    word = F.col("word")
 
-    def spelled(part: Column) -> Column:
-        return _let(F.hex(F.encode(part, "UTF-8")), lambda code: F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda at: F.get(byte_ids, F.conv(F.substring(code, at, F.lit(2)), 16, 10).cast("int"))))
+def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``flat[offsets[k]:offsets[k + 1]]`` for every k of ``which``, end to end."""
+    lengths = offsets[which + 1] - offsets[which]
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(offsets[which] - before, lengths) + np.arange(int(lengths.sum()))]
 
-    def one(ids: Column, at: Column, n: Column) -> Column:
-        piece = F.try_element_at(ids, at * (longest + 1) + n)
-        return F.when(piece.isNotNull(), F.array(piece)).otherwise(spelled(F.substring(word, at + 1, n)))
 
-    spans = _let(bounds, lambda found: F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found) - 1), lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"))))
-    ids = _let(_by_place(F.col("edges"), "id", longest), lambda known: F.flatten(F.transform(spans, lambda x: one(known, x["at"], x["n"]))))
-    return edges.select("word", ids.alias("ids"))
+_ROW = "row_id long, word int, block int, lead int, part string, id {id}, numbers binary"
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and ``ids`` of the whole text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), words_of(F.col(text_col), model.cutters).alias("words"))
-    counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    vocabulary = cut(counted)
-    table = cut(encode_words(vocabulary.repartition("word"), model))
-    hot = vocabulary.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word")
-    hot_table = cut(table.join(F.broadcast(hot), "word"))
-    each = rows.select("row_id", F.posexplode("words").alias("pos", "word")).join(F.broadcast(hot_table), "word", "left")
-    frequent = each.where("ids is not null").select("row_id", "pos", "ids")
-    rare = each.where("ids is null").select("row_id", "pos", "word").join(table, "word").select("row_id", "pos", "ids")
-    found = frequent.unionByName(rare).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    full = rows.select("row_id", "id").join(found, "row_id", "left")
-    ids = F.coalesce(F.flatten(F.transform("found", lambda x: x["ids"])), F.array().cast("array<int>"))
-    return full.select(F.col("id").alias(id_col), ids.alias("ids"))
+    spark = docs.sparkSession
+    ship_package(spark)
+    splitter, longest = _Splitter(model), model.longest
+    id_type = docs.schema[id_col].dataType.simpleString()
+    hot_parts = frequent_parts(docs.select(F.col(text_col).alias("text")), splitter)
+    table = encode_blocks(hot_parts.select(F.col("part").alias("text"), F.lit(0).alias("block"), F.lit(0).alias("lead"), "part"), ["text"], model).toArrow()  # at most HOT_WORDS short rows
+    sent = spark.sparkContext.broadcast(_Hot(table.column("text").to_pylist(), table.column("ids").combine_chunks()))
+
+    def number_words(batches):
+        number, n_hot = sent.value.number(), len(sent.value.words)
+        known: dict[str, list[str]] = {}  # parts of words that are no frequent parts
+
+        def parts(word: str) -> list[str]:
+            if word not in known:
+                if len(known) > COUNTED_WORDS:
+                    known.clear()
+                known[word] = splitter.parts(word)
+            return known[word]
+
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            for row_id, key, text in zip(batch.column("row_id").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own: dict[str, int] = {}
+                codes: list[int] = []
+                for word in splitter.words(text):
+                    if word in number:
+                        codes.append(number[word])
+                    else:
+                        codes += [number[p] if p in number else n_hot + own.setdefault(p, len(own)) for p in parts(word)]
+                planes = np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()  # equal bytes side by side compress
+                rows = [(row_id, -1, 0, 0, None, key, planes)]
+                for word, k in own.items():
+                    for block, at in enumerate(range(0, len(word), BLOCK)):
+                        lead = min(at, longest)
+                        rows.append((row_id, k, block, lead, word[at - lead : at + BLOCK], None, None))
+                for column, values in zip(columns, zip(*rows, strict=True), strict=True):
+                    column += values
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), batch.schema.field("id").type, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row_id", "word", "block", "lead", "part", "id", "numbers"])
+
+    def assemble(batches):
+        hot = sent.value
+        for batch in batches:
+            out = []
+            for numbers, own in zip(batch.column("numbers").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                which = np.frombuffer(numbers, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+                flat = np.concatenate([hot.ids, *(np.array(x["ids"], np.int32) for x in own)]) if own else hot.ids
+                offsets = np.concatenate([hot.offsets, hot.offsets[-1] + np.cumsum([len(x["ids"]) for x in own])]) if own else hot.offsets
+                out.append(gather(flat, offsets, which).astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = numbered.mapInArrow(in_slices(number_words), _ROW.format(id=id_type)).repartition("row_id")
+    encoded = encode_blocks(rows, ["row_id", "word", "id", "numbers"], model)
+    own = F.sort_array(F.collect_list(F.when(F.col("word") >= 0, F.struct("word", "ids"))))
+    whole = encoded.groupBy("row_id").agg(F.max("id").alias("id"), F.max("numbers").alias("numbers"), own.alias("own"))
+    return whole.select("id", "numbers", "own").mapInArrow(in_slices(assemble), f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model: PieceModel, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The rows with the text of their ids; bytes are joined to characters, the leading space goes.
 
-    The vocabulary's bytes are one array of fixed size, looked up by id inside the row. Null or empty ids
-    give an empty text.
+    The vocabulary's bytes, of fixed size, travel with the task. Null or empty ids give an empty text; an id
+    outside the vocabulary spells nothing; bytes that are no UTF-8 become U+FFFD.
     """
-    spelled = ["" for _ in range(model.size)]
+    spelled = [b""] * (model.size + 1)
     for piece, k, _ in model.pieces:
-        spelled[k] = piece.replace(SPACE, " ").encode().hex()
+        spelled[k] = piece.replace(SPACE, " ").encode()
     for value, k in enumerate(model.byte_ids):
-        spelled[k] = f"{value:02x}"
-    table = F.split(F.lit(",".join(spelled)), ",")
-    code = F.array_join(F.transform(F.col(ids_col), lambda k: F.get(table, k)), "")
-    text = F.decode(F.unhex(code), "UTF-8")
-    return encoded.withColumn(text_col, F.coalesce(F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2_147_483_647)).otherwise(text), F.lit("")))
+        spelled[k] = bytes([value])
+    flat, offsets = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum([0, *map(len, spelled)])
+    at = encoded.columns.index(ids_col)
+    ship_package(encoded.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for ids in batch.column(at):
+                which = np.array([], np.int64) if not ids.is_valid else ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                which = np.where((which >= 0) & (which < model.size), which, model.size)
+                text = gather(flat, offsets, which).tobytes().decode("utf-8", "replace")
+                texts.append(text[1:] if text.startswith(" ") else text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(in_slices(run), f"{schema}, `{text_col}` string")
