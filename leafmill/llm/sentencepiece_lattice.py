@@ -17,7 +17,7 @@ would have been merged while both of its halves stood alone. That is decided by
 along the border are made and used up (``spines``), so the same fold gives the exact merges.
 
 Words are cut further between characters that stand side by side in no piece. The most frequent of these parts (at
-most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 120 MB in any case) are encoded first and sent to all
+most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 60 MB in any case) are encoded first and sent to all
 tasks; which parts these are changes no result. A task then writes each text as part numbers and sends on the
 other parts with it, by row. The shuffle by row is the only one over the corpus: lattice, fold and assembly of a
 row happen where the row is.
@@ -45,11 +45,11 @@ from pyspark.sql import functions as F
 from leafmill.llm.session import cut, in_slices, ship_package
 
 SPACE = "▁"
-HOT_WORDS = 600_000
+HOT_WORDS = 300_000
 HOT_CHARS = 24
 #: End positions of a block of a long word; edges of a slice of the fold; distinct words that a task holds at once.
 BLOCK, SLICE = 64, 512
-COUNTED_WORDS = 500_000
+COUNTED_WORDS = 150_000
 #: Characters that stand alone in many vocabularies; those that do in a given one cut words too.
 LONERS = "\n\t\r0123456789"
 NEVER = 2**31 - 1
@@ -412,9 +412,17 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             out = []
             for numbers, own in zip(batch.column("numbers").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 which = np.frombuffer(numbers, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-                flat = np.concatenate([hot.ids, *(np.array(x["ids"], np.int32) for x in own)]) if own else hot.ids
-                offsets = np.concatenate([hot.offsets, hot.offsets[-1] + np.cumsum([len(x["ids"]) for x in own])]) if own else hot.offsets
-                out.append(gather(flat, offsets, which).astype(np.int32))
+                if not own:
+                    out.append(gather(hot.ids, hot.offsets, which))
+                    continue
+                flat = np.concatenate([np.array(x["ids"], np.int32) for x in own])
+                offsets = np.cumsum([0, *(len(x["ids"]) for x in own)])
+                frequent = which < len(hot.words)
+                lengths = np.empty(len(which), np.int64)
+                lengths[frequent], lengths[~frequent] = hot.offsets[which[frequent] + 1] - hot.offsets[which[frequent]], np.diff(offsets)[which[~frequent] - len(hot.words)]
+                ids, is_hot = np.empty(int(lengths.sum()), np.int32), np.repeat(frequent, lengths)
+                ids[is_hot], ids[~is_hot] = gather(hot.ids, hot.offsets, which[frequent]), gather(flat, offsets, which[~frequent] - len(hot.words))
+                out.append(ids)
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
 
