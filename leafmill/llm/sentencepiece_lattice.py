@@ -17,7 +17,7 @@ would have been merged while both of its halves stood alone. That is decided by
 along the border are made and used up (``spines``), so the same fold gives the exact merges.
 
 Words are cut further between characters that stand side by side in no piece. The most frequent of these parts (at
-most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 60 MB in any case) are encoded first and sent to all
+most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 80 MB in any case) are encoded first and sent to all
 tasks; which parts these are changes no result. A task then writes each text as part numbers and sends on the
 other parts with it, by row. The shuffle by row is the only one over the corpus: lattice, fold and assembly of a
 row happen where the row is.
@@ -45,16 +45,18 @@ from pyspark.sql import functions as F
 from leafmill.llm.session import cut, in_slices, ship_package
 
 SPACE = "▁"
-HOT_WORDS = 300_000
+HOT_WORDS = 400_000
 HOT_CHARS = 24
 #: End positions of a block of a long word; edges of a slice of the fold; distinct words that a task holds at once.
 BLOCK, SLICE = 64, 512
-COUNTED_WORDS = 150_000
+COUNTED_WORDS = 200_000
 #: Characters that stand alone in many vocabularies; those that do in a given one cut words too.
 LONERS = "\n\t\r0123456789"
 NEVER = 2**31 - 1
 #: Score of a character without a piece, below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
+#: Added to the code point of a character without a piece, where ids stand; ids are below.
+UNKNOWN = 1 << 29
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,8 @@ class PieceModel:
         byte_ids = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in range(256))
         if model.unk_id() in byte_ids:
             raise ValueError("the vocabulary has no byte pieces")
+        if max(len(piece) for piece, _, _ in pieces) > 63:
+            raise ValueError("a piece has over 63 characters")
         scores = [s for piece, _, s in pieces if len(piece) > 1]
         return PieceModel(pieces, byte_ids, model.get_piece_size(), any(s != round(s) for s in scores))  # BPE scores are negative ranks
 
@@ -141,19 +145,29 @@ def spines(model: PieceModel) -> list[tuple[int, list, list]]:
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """(piece, piece_id, value) of all pieces that can stand in a result; at most the vocabulary's size in rows."""
+    """(piece, piece_id) of all pieces that can stand in a result; at most the vocabulary's size in rows."""
     usable = {piece for piece, _, _ in model.pieces} if model.unigram else merge_tree(model)
-    pieces, ids, scores = zip(*(p for p in model.pieces if p[0] in usable), strict=True)
-    values = pa.array(scores, pa.float64()) if model.unigram else pa.array([-1 if len(p) == 1 else int(-s) for p, s in zip(pieces, scores, strict=True)], pa.int32())
-    return spark.createDataFrame(pa.table([pa.array(pieces, pa.string()), pa.array(ids, pa.int32()), values], names=["piece", "piece_id", "value"]))
+    pieces, ids, _ = zip(*(p for p in model.pieces if p[0] in usable), strict=True)
+    return spark.createDataFrame(pa.table([pa.array(pieces, pa.string()), pa.array(ids, pa.int32())], names=["piece", "piece_id"]))
 
 
-def border_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """One row with ``borders``: by id, the right and the left border of each piece (null where there is none)."""
-    by_id = {k: (right, left) for k, right, left in spines(model)}
+def vocabulary(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """One row with ``known``: by id, the value of each piece, its rank (BPE; -1 for characters) or score, and for BPE
+    its right and its left border. The last entry is that of a character without a piece."""
     border = pa.list_(pa.struct([(name, pa.int32()) for name in ("n", "born", "death")]))
-    named = [{side: [dict(zip(("n", "born", "death"), x, strict=True)) for x in found] for side, found in zip(("right", "left"), by_id[k], strict=True)} if k in by_id else None for k in range(model.size)]
-    return spark.createDataFrame(pa.table({"borders": pa.array([named], pa.list_(pa.struct([("right", border), ("left", border)])))}))
+    fields = [("value", pa.float64())] if model.unigram else [("value", pa.int32()), ("right", border), ("left", border)]
+    known: list[dict | None] = [None] * model.size
+    if model.unigram:
+        for _, k, score in model.pieces:
+            known[k] = {"value": score}
+        unknown = {"value": min(score for _, _, score in model.pieces) - UNKNOWN_PENALTY}
+    else:
+        for k, right, left in spines(model):
+            sides = [[dict(zip(("n", "born", "death"), x, strict=True)) for x in side] for side in (right, left)]
+            known[k] = {"value": right[0][1], "right": sides[0], "left": sides[1]}
+        alone = [{"n": 1, "born": -1, "death": NEVER}]
+        unknown = {"value": -1, "right": alone, "left": alone}
+    return spark.createDataFrame(pa.table({"known": pa.array([[*known, unknown]], pa.list_(pa.struct(fields)))}))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -162,36 +176,35 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lattice(blocks: DataFrame, keys: list[str], model: PieceModel) -> DataFrame:
-    """The keys with ``edges`` (at, start, id, bytes, value): every piece that stands in the word, and every character.
+    """The keys with ``edges``: every piece that stands in the word, and every character, by end, the longest first.
 
     ``blocks`` has the keys, block (number), lead (characters before the block's own) and part (lead and own
-    characters). A key whose part is null has no edges. The value is a piece's rank (BPE; -1 for characters) or
-    score (unigram). Edges are in order of their end, the longest first.
+    characters). A key whose part is null has no edges. An edge is one number: its end, 63 less its length (6 bits)
+    and its piece's id, or UNKNOWN and its code point (30 bits), so that many are grouped in little memory.
     """
-    spark, longest = blocks.sparkSession, model.longest
-    byte_ids = F.split(F.lit(",".join(map(str, model.byte_ids))), ",").cast("array<int>")
+    longest = model.longest
     ends = blocks.select(*keys, "block", "lead", "part", F.explode_outer(F.when(F.col("part").isNotNull(), F.sequence(F.col("lead") + 1, F.length("part")))).alias("end"))
     spans = ends.select(*keys, "block", "lead", "part", "end", F.explode_outer(F.when(F.col("end").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(longest), F.col("end"))))).alias("n"))
-    at = F.col("block") * BLOCK + F.col("end") - F.col("lead")
-    pieces = spans.select(*keys, at.alias("at"), (at - F.col("n")).alias("start"), F.substring("part", F.col("end") - F.col("n") + 1, F.col("n")).alias("piece"))
-    found = pieces.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("piece_id is not null or start = at - 1 or start is null")
-    spelled = _let(F.hex(F.encode("piece", "UTF-8")), lambda code: F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(byte_ids, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int"))))
-    worst = min(score for _, _, score in model.pieces)
-    edge = F.struct("at", "start", F.coalesce("piece_id", F.lit(-1)).alias("id"), F.when(F.col("piece_id").isNull(), spelled).alias("bytes"), F.coalesce("value", F.lit(worst - UNKNOWN_PENALTY if model.unigram else -1)).alias("value"))
-    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("start").isNotNull(), edge))).alias("edges"))
+    at = (F.col("block") * BLOCK + F.col("end") - F.col("lead")).cast("long")
+    place = at * (1 << 36) + (63 - F.col("n")) * F.lit(1 << 30).cast("long")
+    pieces = spans.select(*keys, "n", place.alias("place"), F.substring("part", F.col("end") - F.col("n") + 1, F.col("n")).alias("piece"))
+    found = pieces.join(F.broadcast(piece_table(blocks.sparkSession, model)), "piece", "left").where("piece_id is not null or n = 1 or n is null")
+    edge = F.col("place") + F.coalesce("piece_id", F.ascii("piece") + UNKNOWN)
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _last(edges: Column) -> Column:
     return F.get(edges, F.size(edges) - 1)
 
 
-def _keep_bpe(borders: Column) -> Callable:
+def _known(known: Column, id: Column) -> Column:
+    """The vocabulary's entry of an id; the last one for a character without a piece."""
+    return F.get(known, F.when(id >= UNKNOWN, F.size(known) - 1).otherwise(id))
+
+
+def _keep_bpe(known: Column) -> Callable:
     """Keeps the arriving edge that the merged segmentation before it does not disturb: the longest such; a
     character, which comes last, needs no proof, as one edge must fit."""
-    alone = F.array(F.struct(F.lit(1).alias("n"), F.lit(-1).alias("born"), F.lit(NEVER).alias("death")))
-
-    def side(id: Column, which: str) -> Column:
-        return F.when(id < 0, alone).otherwise(F.get(borders, id)[which])
 
     def disturbed(longer: Column, before: Column, edge: Column) -> Column:
         border = edge["start"]
@@ -207,7 +220,7 @@ def _keep_bpe(borders: Column) -> Callable:
 
             return F.exists(longer, taken)
 
-        return _let(F.struct(side(before["id"], "right").alias("r"), side(edge["id"], "left").alias("l")), lambda s: cross(s["r"], s["l"]))
+        return _let(F.struct(_known(known, before["id"])["right"].alias("r"), _known(known, edge["id"])["left"].alias("l")), lambda s: cross(s["r"], s["l"]))
 
     def reach(longer: Column, window: Column, edge: Column) -> Column:
         before = F.get(window, edge["start"] - F.get(window, F.lit(0))["at"])
@@ -220,21 +233,22 @@ def _keep_bpe(borders: Column) -> Callable:
 def _keep_unigram(longer: Column, window: Column, edge: Column) -> Column:
     """Keeps the arriving edge of the best total score, as its value; the longest of equals."""
     before = F.get(window, edge["start"] - F.get(window, F.lit(0))["at"])
-    total = F.struct(edge["at"].alias("at"), edge["start"].alias("start"), edge["id"].alias("id"), edge["bytes"].alias("bytes"), (before["value"] + edge["value"]).alias("value"))
+    total = F.struct(edge["at"].alias("at"), edge["start"].alias("start"), edge["id"].alias("id"), (before["value"] + edge["value"]).alias("value"))
     return F.when(_last(window)["at"] < edge["at"], F.concat(window, F.array(total))).when(
         _last(window)["value"] < before["value"] + edge["value"], F.concat(F.slice(window, 1, F.size(window) - 1), F.array(total))
     ).otherwise(window)
 
 
-def fold(edges: Column, model: PieceModel, reach: Callable) -> Column:
-    """The ids of a word from its edges, in order.
+def fold(edges: Column, model: PieceModel, known: Column) -> Column:
+    """The ids of a word from its edges, in order; a character without a piece is UNKNOWN and its code point.
 
     Forward, the edges come in slices; each position keeps an edge, and only the last ``longest`` kept edges and
     the longer edges that end among them go on to the next slice. Backward, the kept edges from the end are the
     segments. So a word of any length needs time in proportion to it.
     """
-    kind, longest = f"struct<at:int,start:int,id:int,bytes:array<int>,value:{'double' if model.unigram else 'int'}>", model.longest
-    root = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(-1).alias("id"), F.lit(None).alias("bytes"), F.lit(0).alias("value")).cast(kind)
+    kind, longest = f"struct<at:int,start:int,id:int,value:{'double' if model.unigram else 'int'}>", model.longest
+    reach = _keep_unigram if model.unigram else _keep_bpe(known)
+    root = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("id"), F.lit(0).alias("value")).cast(kind)
     start = F.struct(F.array(root).alias("window"), F.array().cast(f"array<{kind}>").alias("longer"), F.array().cast(f"array<array<{kind}>>").alias("out"))
 
     def forward(state: Column, k: Column) -> Column:
@@ -252,38 +266,55 @@ def fold(edges: Column, model: PieceModel, reach: Callable) -> Column:
         def with_longer(some: Column) -> Column:
             return _let(F.concat(state["longer"], F.filter(some, lambda e: e["at"] - e["start"] > 1)), lambda longer: sliced(some, longer))
 
-        return _let(F.slice(edges, k * SLICE + 1, F.lit(SLICE)), with_longer)
+        def unpacked(code: Column) -> Column:
+            at, n = F.shiftright(code, 36).cast("int"), 63 - F.shiftright(code, 30).bitwiseAND(F.lit(63)).cast("int")
+            return _let(code.bitwiseAND(F.lit((1 << 30) - 1)).cast("int"), lambda id: F.struct(at.alias("at"), (at - n).alias("start"), id.alias("id"), _known(known, id)["value"].alias("value")))
+
+        return _let(F.transform(F.slice(edges, k * SLICE + 1, F.lit(SLICE)), unpacked), with_longer)
 
     def backward(kept: Column) -> Column:
-        at_end = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<array<int>>>").alias("out"))
+        at_end = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("out"))
 
         def slice_back(state: Column, some: Column) -> Column:
-            inner = F.struct(state["skip"].alias("skip"), F.array().cast("array<array<int>>").alias("out"))
+            inner = F.struct(state["skip"].alias("skip"), F.array().cast("array<int>").alias("out"))
 
             def one(s: Column, edge: Column) -> Column:
-                segment = F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(edge["bytes"])
-                taken = F.struct((edge["at"] - edge["start"] - 1).alias("skip"), F.concat(s["out"], F.array(segment)).alias("out"))
+                taken = F.struct((edge["at"] - edge["start"] - 1).alias("skip"), F.concat(s["out"], F.array(edge["id"])).alias("out"))
                 return F.when(s["skip"] > 0, F.struct((s["skip"] - 1).alias("skip"), s["out"].alias("out"))).otherwise(taken)
 
             return _let(F.aggregate(F.reverse(some), inner, one), lambda d: F.struct(d["skip"].alias("skip"), F.concat(state["out"], F.array(d["out"])).alias("out")))
 
-        return F.aggregate(F.reverse(kept), at_end, slice_back, lambda s: F.flatten(F.reverse(F.flatten(s["out"]))))
+        return F.aggregate(F.reverse(kept), at_end, slice_back, lambda s: F.reverse(F.flatten(s["out"])))
 
     slices = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / SLICE).cast("int"))
     return F.aggregate(slices, start, forward, lambda state: backward(F.concat(state["out"], F.array(F.array(_last(state["window"]))))))
 
 
 def encode_blocks(blocks: DataFrame, keys: list[str], model: PieceModel) -> DataFrame:
-    """The keys with ``ids`` (null where the key has no edges)."""
-    words = lattice(blocks, keys, model)
-    some = F.size("edges") > 0
-    if model.unigram:
-        return words.select(*keys, F.when(some, fold(F.col("edges"), model, _keep_unigram)).alias("ids"))
-    # borders is referred to once and stands above a filter, so the optimiser folds it into the last projection as one
+    """The keys with ``ids`` (null where the key has no edges) as ``fold`` gives them."""
+    # known is referred to once and stands above a filter, so the optimiser folds it into the last projection as one
     # value; folded into the aggregation instead, every row would carry a copy
-    folded = _let(F.col("borders"), lambda borders: fold(F.col("edges"), model, _keep_bpe(borders)))
-    grouped = words.where(F.size("edges") >= 0).withColumn("borders", border_table(blocks.sparkSession, model).scalar())
-    return grouped.select(*keys, F.when(some, folded).alias("ids"))
+    grouped = lattice(blocks, keys, model).where(F.size("edges") >= 0).withColumn("known", vocabulary(blocks.sparkSession, model).scalar())
+    folded = _let(F.col("known"), lambda known: fold(F.col("edges"), model, known))
+    return grouped.select(*keys, F.when(F.size("edges") > 0, folded).alias("ids"))
+
+
+def expand(ids: np.ndarray, offsets: np.ndarray, byte_ids: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets with characters without a piece as the ids of their bytes."""
+    odd = np.flatnonzero(ids >= UNKNOWN)
+    if not len(odd):
+        return ids, offsets
+    spelled = [[byte_ids[b] for b in chr(k - UNKNOWN).encode()] for k in ids[odd].tolist()]
+    more = np.zeros(len(ids) + 1, np.int64)
+    more[odd + 1] = [len(x) - 1 for x in spelled]
+    shift = np.cumsum(more)
+    out = np.empty(len(ids) + int(shift[-1]), np.int32)
+    plain = np.ones(len(ids), bool)
+    plain[odd] = False
+    out[(np.arange(len(ids)) + shift[:-1])[plain]] = ids[plain]
+    for k, x in zip(odd.tolist(), spelled, strict=True):
+        out[k + shift[k] : k + shift[k] + len(x)] = x
+    return out, offsets + shift[offsets]
 
 
 class _Splitter:
@@ -302,7 +333,7 @@ class _Splitter:
 
 
 def frequent_parts(texts: DataFrame, splitter: _Splitter) -> DataFrame:
-    """part: frequent parts of words, at most HOT_WORDS; a task reports what it met at least twice.
+    """part: frequent parts of words, at most HOT_WORDS.
 
     Counts share a bin by the eighth of their binary logarithm, so the choice needs no sort.
     """
@@ -316,7 +347,7 @@ def frequent_parts(texts: DataFrame, splitter: _Splitter) -> DataFrame:
                 for part in splitter.parts(word):
                     counts[part] += n
             words.clear()
-            some = [(part, n) for part, n in counts.items() if n > 1 and len(part) <= HOT_CHARS]
+            some = [(part, n) for part, n in counts.items() if len(part) <= HOT_CHARS]
             parts, ns = zip(*some, strict=True) if some else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(ns, pa.int64())], names=["part", "n"])
 
@@ -343,9 +374,9 @@ def frequent_parts(texts: DataFrame, splitter: _Splitter) -> DataFrame:
 class _Hot:
     """The frequent parts by number and their ids, end to end."""
 
-    def __init__(self, words: list[str], ids: pa.Array):
-        self.words, self.offsets = words, np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    def __init__(self, words: list[str], ids: pa.Array, byte_ids: tuple[int, ...]):
+        offsets = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.words, (self.ids, self.offsets) = words, expand(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), offsets, byte_ids)
         self._number: dict[str, int] | None = None
 
     def number(self) -> dict[str, int]:
@@ -371,8 +402,10 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     splitter, longest = _Splitter(model), model.longest
     id_type = docs.schema[id_col].dataType.simpleString()
     hot_parts = frequent_parts(docs.select(F.col(text_col).alias("text")), splitter)
-    table = encode_blocks(hot_parts.select(F.col("part").alias("text"), F.lit(0).alias("block"), F.lit(0).alias("lead"), "part"), ["text"], model).toArrow()  # at most HOT_WORDS short rows
-    sent = spark.sparkContext.broadcast(_Hot(table.column("text").to_pylist(), table.column("ids").combine_chunks()))
+    hot_blocks = hot_parts.repartition("part").select(F.col("part").alias("text"), F.lit(0).alias("block"), F.lit(0).alias("lead"), "part")
+    table = encode_blocks(hot_blocks, ["text"], model).toArrow()  # at most HOT_WORDS short rows
+    sent = spark.sparkContext.broadcast(_Hot(table.column("text").to_pylist(), table.column("ids").combine_chunks(), model.byte_ids))
+    byte_ids = model.byte_ids
 
     def number_words(batches):
         number, n_hot = sent.value.number(), len(sent.value.words)
@@ -415,8 +448,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
                 if not own:
                     out.append(gather(hot.ids, hot.offsets, which))
                     continue
-                flat = np.concatenate([np.array(x["ids"], np.int32) for x in own])
-                offsets = np.cumsum([0, *(len(x["ids"]) for x in own)])
+                flat, offsets = expand(np.concatenate([np.array(x["ids"], np.int32) for x in own]), np.cumsum([0, *(len(x["ids"]) for x in own)]), byte_ids)
                 frequent = which < len(hot.words)
                 lengths = np.empty(len(which), np.int64)
                 lengths[frequent], lengths[~frequent] = hot.offsets[which[frequent] + 1] - hot.offsets[which[frequent]], np.diff(offsets)[which[~frequent] - len(hot.words)]
