@@ -26,9 +26,17 @@ def log_page(log: DataFrame, order: tuple[str, ...], where: Column, descending:
 
 
 def trailing_count(log: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """The rows with ``n_recent``: rows of the key in the ``seconds`` up to the row, itself included."""
-    span = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumn("n_recent", F.count("*").over(span))
+    """The rows with ``n_recent``: rows of the key in the ``seconds`` up to the row, itself included.
+
+    Time is cut into slices of that length. A slice counts its own rows and those lent by the slice before, so a
+    frequent key is spread over its slices. Rows of a null time count those of a null time.
+    """
+    length = seconds * 1_000_000
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    own = log.withColumn("__at", micros).withColumn("__slice", F.floor(F.col("__at") / length)).withColumn("__lent", F.lit(False))
+    lent = own.where("__at is not null").withColumn("__slice", F.col("__slice") + 1).withColumn("__lent", F.lit(True))
+    span = Window.partitionBy(key, "__slice").orderBy("__at").rangeBetween(-length, 0)
+    return own.unionByName(lent).withColumn("n_recent", F.count("*").over(span)).where("not __lent").drop("__at", "__slice", "__lent")
 
 
 def durations(log: DataFrame, key: str, order: tuple[str, ...], at: str) -> DataFrame:
@@ -60,3 +68,54 @@ def strongest_status(changes: DataFrame, key: str, status: str, order: tuple[str
     place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(status))
     best = F.min(F.when(place > 0, place))
     return changes.groupBy(key).agg(F.get(F.array(*[F.lit(s) for s in order]), (best - 1).cast("int")).alias("status"), F.count("*").alias("n_rows"))
+
+
+def active_dedupe(calls: DataFrame, drive: str, kind: str, payload: str, order: str, ended: str) -> DataFrame:
+    """Calls that schedule a job: of calls of one drive, kind and payload, those made when no scheduled one is active.
+
+    A call is active from its order to its ``ended``; a dropped call blocks nothing. Groups are one drive's calls of
+    one kind and payload, folded in order.
+    """
+    row = F.struct(F.col(order).alias("at"), F.col(ended).alias("ended"))
+    grouped = calls.groupBy(drive, kind, payload).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.lit(None).cast(calls.schema[ended].dataType).alias("until"), F.array().cast(f"array<{calls.schema[order].dataType.simpleString()}>").alias("taken"))
+
+    def step(state: Column, x: Column) -> Column:
+        free = state["until"].isNull() | (x["at"] >= state["until"])
+        return F.when(free, F.struct(x["ended"].alias("until"), F.concat(state["taken"], F.array(x["at"])).alias("taken"))).otherwise(state)
+
+    taken = F.aggregate("rows", start, step, lambda s: s["taken"])
+    return grouped.select(drive, kind, payload, F.explode(taken).alias(order))
+
+
+def last_finished(jobs: DataFrame, key: str, order: str, state: str, started: str, finished: str) -> DataFrame:
+    """Per key the first done or failed job in stored order: its state and its seconds, to a tenth."""
+    done = jobs.where(F.col(state).isin("done", "failed"))
+    return done.groupBy(key).agg(F.min_by(state, order).alias("state"), F.min_by(job_seconds(F.col(started), F.col(finished)), order).alias("seconds"))
+
+
+def job_seconds(started: Column, finished: Column) -> Column:
+    """Seconds between epoch milliseconds, to a tenth."""
+    return F.round((finished - started) / 100) / 10
+
+
+def progress(jobs: DataFrame, updates: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Jobs with the counters of their updates where there are any."""
+    new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    return jobs.join(new, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in jobs.columns])
+
+
+def trigger_chain(triggers: DataFrame, first: str) -> DataFrame:
+    """job and distance of all jobs that a trigger sets off: ``triggers`` has on and job; a finished job is a trigger itself."""
+    edges = triggers.select(F.col("on").alias("target"), F.col("job").alias("source"))
+    from leafmill.operators.links import closure
+
+    reached = closure(edges, triggers.sparkSession.createDataFrame([(first,)], "node string"))
+    return reached.where("distance > 0").select(F.col("node").alias("job"), "distance")
+
+
+def keyset_page(log: DataFrame, order: tuple[str, ...], bound: tuple, older: bool, limit: int) -> DataFrame:
+    """The page before or after a row, by its order values, in ascending order."""
+    here, there = F.struct(*order), F.struct(*[F.lit(b).alias(c) for b, c in zip(bound, order, strict=True)])
+    part = log.where(here < there).orderBy(*[F.desc(c) for c in order]) if older else log.where(here > there).orderBy(*order)
+    return part.limit(limit).orderBy(*order)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import without_hash
+from leafmill.functions.paths import LINK_SCHEME, relative_document_path
+from leafmill.functions.text import url_hash, without_hash
+from leafmill.operators.running import cut
 
 HREF = 'href="([^"]*)"'
 
@@ -33,24 +33,51 @@ def latest_links(links: DataFrame, key: str, order: str, values: tuple[str, ...]
 def closure(links: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """node and distance of all nodes from which a seed can be reached; ``links`` has source and target.
 
-    Each round follows the frontier's back links and drops visited nodes, so cycles end it. Rounds are cut
-    by checkpoints in the session's folder, as a lost executor must not replay all rounds before.
+    Each round follows the frontier's back links and drops visited nodes, so cycles end it. Edges and frontiers are
+    checkpointed once each, as a lost executor must not replay all rounds before; what was seen is their union.
     """
-    context = links.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-links-"))
-    edges = links.select("source", "target").distinct()
-    seen = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("distance", F.lit(0).cast("long")).checkpoint()
-    frontier = seen
+    edges = cut(links.select("source", "target").distinct())
+    frontier = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("distance", F.lit(0).cast("long")))
+    seen = frontier
     for distance in range(1, max_rounds + 1):
         reached = edges.join(frontier.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
-        frontier = reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(distance).cast("long")).checkpoint()
+        frontier = cut(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(distance).cast("long")))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = seen.unionByName(frontier)
+        if distance % 16 == 0:
+            seen = cut(seen)  # else the plan would grow with the rounds
     raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
 
 
+def document_links(links: DataFrame) -> DataFrame:
+    """source, target and n_target_links of links (source, target) between documents: the scheme and the hash are taken off.
+
+    Repeated links stay; n_target_links counts the links of the target, 0 for none.
+    """
+    own = links.where(F.col("target").startswith(LINK_SCHEME)).select("source", F.regexp_replace(F.expr(f"substring(target, {len(LINK_SCHEME) + 1})"), "#.*", "").alias("target"))
+    counts = links.groupBy(F.col("source").alias("target")).agg(F.count("*").alias("n_target_links"))
+    return own.join(counts, "target", "left").select("source", "target", F.coalesce("n_target_links", F.lit(0)).alias("n_target_links"))
+
+
+def rewritten_links(links: DataFrame, log: DataFrame, headers: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """source, position, target and link: links between documents as relative paths.
+
+    ``links`` has source, position, base (the path of the document they stand in) and target (``gdoc:id#hash``);
+    ``log`` has id, path, event and the order columns; ``headers`` maps a link with a hash to the one it means.
+    A target goes to the path of its id's last log row unless that is removed; else to the address that opens
+    it. Headers without an entry keep their hash.
+    """
+    mapped = links.join(headers.select(F.col("link").alias("target"), "means"), "target", "left").withColumn("full", F.coalesce("means", "target"))
+    named = mapped.withColumn("id", F.regexp_replace(F.substring_index("full", "#", 1), f"^{LINK_SCHEME}", "")).withColumn("hash", url_hash(F.col("full")))
+    last = log.groupBy("id").agg(F.max_by(F.struct("path", "event"), F.struct(*order)).alias("last"))
+    found = named.join(last, "id", "left")
+    live = F.col("last").isNotNull() & (F.col("last.event") != "removed")
+    inside = F.concat(relative_document_path(F.col("last.path"), F.col("base")), F.col("hash"))
+    outside = F.concat(F.lit("https://drive.google.com/open?id="), F.col("id"), F.replace(F.col("hash"), F.lit("#_"), F.lit("#heading=h.")))
+    return found.select("source", "position", "target", F.when(live, inside).otherwise(outside).alias("link"))
+
+
 def top_with_ties(counts: DataFrame, n: str, limit: int = 20) -> DataFrame:
     """Rows by count, descending, whole groups of equal counts at a time, until more than ``limit`` rows are in.
 

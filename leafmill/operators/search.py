@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.running import cut
+
 SEPARATORS = r"[\s\-_@#,.]+"
 
 
@@ -35,12 +37,40 @@ def search(index: DataFrame, key: str, query: str, ids: DataFrame | None = None)
         return index.where(fits).groupBy(key).agg(F.sum("tf").alias("score"))
 
     terms = query_terms(query)
-    found = hits(terms)
+    found = cut(hits(terms))
     if "*" in query or not found.isEmpty():
         return found
-    found = hits([t + "*" if len(t) > 2 else t for t in terms])
+    found = cut(hits([t + "*" if len(t) > 2 else t for t in terms]))
     bare = query.strip().replace("_", "").replace("-", "").lower()
     if ids is None or len(bare) <= 10 or not found.isEmpty():
         return found
     plain = F.translate(F.lower("id_text"), "_-", "")
     return ids.where(plain == bare).select(key, F.lit(1).cast("long").alias("score"))
+
+
+def field_postings(nodes: DataFrame, ref: str, id_col: str, title: str) -> DataFrame:
+    """term, field (id, id2, title), ref and tf: the id as it is and without ``_`` and ``-``, and the title's tokens."""
+    fields = F.array(
+        F.struct(F.lit("id").alias("field"), F.col(id_col).cast("string").alias("text")),
+        F.struct(F.lit("id2").alias("field"), F.translate(F.col(id_col).cast("string"), "_-", "").alias("text")),
+        F.struct(F.lit("title").alias("field"), F.col(title).alias("text")),
+    )
+    each = nodes.select(F.col(ref).alias("ref"), F.inline(fields)).where("text is not null")
+    return each.select("ref", "field", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "field", "ref").agg(F.count("*").alias("tf"))
+
+
+def bm25(index: DataFrame, key: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key and score of the documents that have a term, by BM25 over the postings (term, key, tf)."""
+    lengths = index.groupBy(key).agg(F.sum("tf").alias("length"))
+    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
+    hits = index.where(F.col("term").isin(terms))
+    often = hits.groupBy("term").agg(F.count("*").alias("df"))
+    joined = hits.join(F.broadcast(often), "term").join(lengths, key).crossJoin(F.broadcast(totals))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return joined.groupBy(key).agg(F.sum(score).alias("score"))
+
+
+def with_store(found: DataFrame, store: DataFrame, key: str, prefix: str) -> DataFrame:
+    """The hits with the columns of the store, and the path under a prefix, best first."""
+    return found.join(store, key).withColumn("path", F.concat(F.lit(prefix), F.col("path"))).orderBy(F.desc("score"), key)

@@ -1,39 +1,72 @@
-"""Hierarchies as flat rows (id, parent, name): paths, ancestors, contents and menus."""
+"""Hierarchies as flat rows (id, parent, name): paths, ancestors, contents, look-ups and menus.
+
+Paths and ancestors are found by pointer doubling: each round joins every open row with the row it points to, so
+rounds grow with the logarithm of the depth, whatever that is. Rows on a cycle never end; the rounds do.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import path_parts
+from leafmill.operators.running import cut
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
-    """id, path and depth (from 0) of every node that a root (null parent) reaches; nodes are id, parent, name."""
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(id, path, depth) AS (
-            SELECT id, name, 0 FROM {nodes} WHERE parent IS NULL
-            UNION ALL
-            SELECT n.id, concat(w.path, '/', n.name), w.depth + 1 FROM walk w JOIN {nodes} n ON n.parent = w.id
-        ) SELECT id, path, CAST(depth AS BIGINT) AS depth FROM walk
-        """,
-        nodes=nodes,
-    )
+    """id, path and depth (from 0) of every node that a root (null parent) reaches; nodes are id, parent, name.
+
+    Nodes of a cycle, below one, or below a parent that is no node, are reached by no root and have no row.
+    """
+    state = cut(nodes.select("id", F.col("parent").alias("up"), F.col("name").alias("path"), F.lit(0).cast("long").alias("depth")))
+    done, ahead = state.where("up is null"), state.where("up is not null")
+    for _ in range(math.ceil(math.log2(state.count() + 1)) + 1):
+        if ahead.isEmpty():
+            break
+        above = done.unionByName(ahead).select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth"))
+        moved = ahead.join(above, "up")
+        moved = cut(moved.select("id", F.col("__up").alias("up"), F.concat("__path", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("__depth") + 1).alias("depth")))
+        done, ahead = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+    return done.select("id", "path", "depth")
 
 
 def ancestors(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """leaf, ancestor and distance, upward from each leaf (a table with id), itself left out."""
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE up(leaf, ancestor, distance) AS (
-            SELECT l.id, n.parent, 1 FROM {leaves} l JOIN {nodes} n ON n.id = l.id WHERE n.parent IS NOT NULL
-            UNION ALL
-            SELECT u.leaf, n.parent, u.distance + 1 FROM up u JOIN {nodes} n ON n.id = u.ancestor WHERE n.parent IS NOT NULL
-        ) SELECT leaf, ancestor, CAST(distance AS BIGINT) AS distance FROM up
-        """,
-        nodes=nodes, leaves=leaves,
-    )
+    """leaf, ancestor and distance, upward from each leaf (a table with id), itself left out.
+
+    On a cycle each ancestor counts once, with its smallest distance.
+    """
+    jumps = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("up")))
+    rounds = math.ceil(math.log2(jumps.count() + 1)) + 1
+    pairs = cut(leaves.select(F.col("id").alias("leaf")).distinct().join(jumps.select(F.col("id").alias("leaf"), "up"), "leaf").select("leaf", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
+    for k in range(rounds):
+        farther = pairs.join(jumps.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("leaf", F.col("up").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
+        farther = cut(farther.join(pairs, ["leaf", "ancestor"], "left_anti").groupBy("leaf", "ancestor").agg(F.min("distance").alias("distance")))
+        if farther.isEmpty():
+            break
+        pairs = cut(pairs.unionByName(farther))
+        jumps = cut(jumps.join(jumps.select(F.col("id").alias("up"), F.col("up").alias("__up")), "up").select("id", F.col("__up").alias("up")))
+    return pairs
+
+
+def top_folders(nodes: DataFrame) -> DataFrame:
+    """id and top: the root above every node that has one (itself for a root)."""
+    pairs = ancestors(nodes, nodes.where("parent is not null").select("id"))
+    roots = nodes.where("parent is null").select(F.col("id").alias("ancestor"))
+    below = pairs.join(roots, "ancestor").select(F.col("leaf").alias("id"), F.col("ancestor").alias("top"))
+    return below.unionByName(roots.select(F.col("ancestor").alias("id"), F.col("ancestor").alias("top")))
+
+
+def pruned_listing(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes that are wanted (a table with id) or lie above one: the folders that a partial listing must open."""
+    above = ancestors(nodes, wanted).select(F.col("ancestor").alias("id"))
+    return nodes.join(above.unionByName(wanted.select("id")).distinct(), "id", "left_semi")
+
+
+def find_by_path(nodes: DataFrame, path: str) -> DataFrame:
+    """The rows (id, path, depth) at a path."""
+    return tree_paths(nodes).where(F.col("path") == path)
 
 
 def contents(nodes: DataFrame) -> DataFrame:
@@ -41,15 +74,55 @@ def contents(nodes: DataFrame) -> DataFrame:
     return tree_paths(nodes).select("path", F.concat(F.repeat(F.lit("   "), F.col("depth").cast("int")), F.lit("* "), F.substring_index("path", "/", -1)).alias("line"))
 
 
+def contents_page(nodes: DataFrame) -> DataFrame:
+    """place and line of a table of contents: nodes have id, parent, name and kind (directory, md or other).
+
+    Directories come before documents, by lower-cased name, each followed by what it holds; a document is a link
+    to its id, other kinds are left out. ``place`` is the sort key: order by it to write the page.
+    """
+    mark = F.concat(F.when(F.col("kind") == "directory", "0").otherwise("1"), F.lower("name"), F.lit("\u0001"), F.col("id").cast("string"))
+    walked = tree_paths(nodes.select("id", "parent", mark.alias("name")))
+    shown = walked.join(nodes.select("id", "name", "kind"), "id").where("kind in ('directory', 'md')")
+    text = F.when(F.col("kind") == "directory", F.col("name")).otherwise(F.concat(F.lit("["), "name", F.lit("](gdoc:"), F.col("id").cast("string"), F.lit(")")))
+    return shown.select(F.replace("path", F.lit("/"), F.lit("\u0002")).alias("place"), F.concat(F.repeat(F.lit("   "), F.col("depth").cast("int") + 1), F.lit("* "), text).alias("line"))
+
+
 def menu(nodes: DataFrame, start: int = 30, step: int = 10) -> DataFrame:
     """id, parent and weight; weights rise in steps by (parent, id), per parent."""
     place = F.row_number().over(Window.partitionBy("parent").orderBy("id")).cast("long")
     return nodes.select("id", "parent", (F.lit(start) + step * (place - 1)).alias("weight"))
 
 
+def bullet_menu(lines: DataFrame, doc: str, line_no: str, line: str, start: int = 10, step: int = 10) -> DataFrame:
+    """doc, identifier, name, weight and parent of the linked bullets of Markdown navigation documents.
+
+    A bullet's level is its indent in threes; its parent is the last linked bullet before it one level up. Weights
+    rise over the linked bullets of a document. A document is one group: navigation pages are short.
+    """
+    level = F.floor(F.length(F.regexp_extract(line, r"^( *)\* ", 1)) / 3).cast("int")
+    link = F.regexp_extract(line, r"^ *\* \[([^\]]*)\]\(([^)]*)\)", 2)
+    name = F.regexp_extract(line, r"^ *\* \[([^\]]*)\]\(([^)]*)\)", 1)
+    rows = lines.select(doc, line_no, level.alias("level"), link.alias("identifier"), name.alias("name")).where("identifier <> ''")
+    by_doc = Window.partitionBy(doc).orderBy(line_no)
+    before = F.collect_list(F.struct("level", "identifier")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    up = F.filter(before, lambda x: x["level"] < F.col("level"))
+    nearest = F.get(up, F.size(up) - 1)
+    weight = (F.lit(start) + step * (F.row_number().over(by_doc) - 1)).cast("long")
+    return rows.withColumn("weight", weight).withColumn("parent", F.when(nearest["level"] == F.col("level") - 1, nearest["identifier"])).select(doc, "identifier", "name", "weight", "parent")
+
+
 def change_tree(paths: DataFrame, path: str) -> DataFrame:
     """node and n_paths: every prefix of the paths, and how many paths go through it."""
     parts = path_parts(F.col(path))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     each = paths.where(F.size(parts) > 0).select(F.explode(prefixes).alias("node"))
     return each.groupBy("node").agg(F.count("*").alias("n_paths"))
+
+
+def checked_folders(files: DataFrame, path: str, checked: Column) -> DataFrame:
+    """node, n_files, n_checked and all_checked of every folder above the files (folders only, not the files)."""
+    parts = path_parts(F.col(path))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    each = files.where(F.size(parts) > 1).select(F.explode(prefixes).alias("node"), checked.alias("checked"))
+    summed = each.groupBy("node").agg(F.count("*").alias("n_files"), F.count_if("checked").alias("n_checked"))
+    return summed.withColumn("all_checked", F.col("n_files") == F.col("n_checked"))

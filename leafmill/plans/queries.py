@@ -261,9 +261,9 @@ def job_counts(spark, sf_dir):
     return _table(spark, sf_dir, "nation").join(counts, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n_jobs"))
 
 
-@_query("SELECT user_id, count(*) AS n_lines FROM events GROUP BY user_id HAVING bool_and(value < 60)")
+@_query("SELECT user_id, count(*) AS n_lines FROM events GROUP BY user_id HAVING bool_and(value < 4 * user_id)")
 def change_all_pass(spark, sf_dir):
-    return events.all_pass(_table(spark, sf_dir, "events"), "user_id", F.col("value") < 60)
+    return events.all_pass(_table(spark, sf_dir, "events"), "user_id", F.col("value") < 4 * F.col("user_id"))
 
 
 @_query("""
@@ -356,11 +356,11 @@ def search_prefix(spark, sf_dir):
 
 
 @_query("""
-    SELECT event_id, value, CASE (event_id % 5) WHEN 0 THEN 7 WHEN 1 THEN 420 WHEN 2 THEN 25200 WHEN 3 THEN 604800 ELSE 4233600 END AS seconds FROM events
+    SELECT event_id, value, CASE WHEN event_id % 7 = 0 THEN 0 ELSE (event_id % 60) * CASE (event_id % 5) WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 ELSE 604800 END END AS seconds FROM events
 """)
 def text_interval(spark, sf_dir):
     unit = F.element_at(F.array(*[F.lit(u) for u in T.UNIT_SECONDS]), (F.col("event_id") % 5 + 1).cast("int"))
-    return _table(spark, sf_dir, "events").select("event_id", "value", T.interval_seconds(F.concat(F.lit("7"), unit)).cast("long").alias("seconds"))
+    return _table(spark, sf_dir, "events").select("event_id", "value", T.interval_seconds(F.concat((F.col("event_id") % 60).cast("string"), F.when(F.col("event_id") % 7 == 0, "y").otherwise(unit))).cast("long").alias("seconds"))
 
 
 @_query("SELECT page_id, split_part(url, '#', 1) AS bare, replace(regexp_extract(url, '#.+$', 0), '#heading=h.', '#_') AS hash FROM pages")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from leafmill.operators.snapshots import pending_changes
+
 
 def read_changes(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """Parquet files that arrive in a folder, as a stream."""
@@ -14,11 +16,41 @@ def read_changes(spark: SparkSession, path: str, schema: StructType, files_per_b
 
 
 def latest_changes(changes: DataFrame, key: str, order: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
-    """One row per key with the values of its last change; state grows with keys, not with changes."""
+    """One row per key with the values of its last change."""
     last = F.struct(*order)
     return changes.groupBy(key).agg(*[F.max_by(v, last).alias(v) for v in values])
 
 
-def start_latest(changes: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Run the aggregate into a memory table until the input is used up."""
-    return changes.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _state_path(path: str, batch: int) -> str:
+    return f"{path.rstrip('/')}/state-{batch:08d}"
+
+
+def start_latest(changes: DataFrame, key: str, order: tuple[str, ...], path: str, checkpoint: str, tree: DataFrame | None = None, version: str | None = None) -> StreamingQuery:
+    """Merge each batch into the last change of every key, a table in ``path``, until the input is used up.
+
+    A batch writes the whole state to a folder of its own, named after the batch, so a batch that is run again
+    writes the same. With ``tree`` (a batch table of key and version), changes that it holds already are pruned.
+    """
+    columns = changes.columns
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(_state_path(path, number - 1)).select(*columns) if number else batch.limit(0)
+        both = before.unionByName(batch)
+        rest = [c for c in columns if c != key]
+        now = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, "row.*")
+        if tree is not None:
+            now = pending_changes(now, tree, key, version)
+        now.select(*columns).write.mode("overwrite").parquet(_state_path(path, number))
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The state after a batch."""
+    return spark.read.parquet(_state_path(path, batch))
+
+
+def sync_jobs(pending: DataFrame, drive: str, key: str) -> DataFrame:
+    """drive and payload: one job per drive for all its pending keys, in order and joined by commas."""
+    return pending.groupBy(drive).agg(F.array_join(F.transform(F.array_sort(F.collect_set(key)), lambda k: k.cast("string")), ",").alias("payload"))

@@ -1,9 +1,17 @@
+import gzip
+import json
+from datetime import UTC, datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import paths as P
 from leafmill.functions import text as T
-from leafmill.operators import links, naming, search, snapshots
-from leafmill.streaming.changes import latest_changes, read_changes, start_latest
+from leafmill.operators import links, naming, search, snapshots, trees
+from leafmill.sinks import files as sinks
+from leafmill.sources import files as sources
+from leafmill.sources import git
+from leafmill.streaming.changes import latest_changes, read_changes, read_latest, start_latest
 
 
 def value(spark, column):
@@ -54,6 +62,157 @@ def test_search_falls_back(spark):
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.range(200).select((F.col("id") % 7).alias("k"), F.col("id").alias("seq"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = latest_changes(read_changes(spark, str(tmp_path / "in"), rows.schema), "k", ("seq",), ("v",))
-    start_latest(stream, "latest_out", str(tmp_path / "ck")).awaitTermination()
-    assert {tuple(r) for r in spark.table("latest_out").collect()} == {tuple(r) for r in latest_changes(rows, "k", ("seq",), ("v",)).collect()}
+    start_latest(read_changes(spark, str(tmp_path / "in"), rows.schema), "k", ("seq",), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    found = read_latest(spark, str(tmp_path / "out"), 3).select("k", "v")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in latest_changes(rows, "k", ("seq",), ("v",)).collect()}
+
+
+def test_stream_prunes_what_the_tree_holds(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, False), (2, 5, False), (3, 5, True), (4, 5, False)], "k long, version long, trashed boolean")
+    rows.write.parquet(str(tmp_path / "in"))
+    tree = spark.createDataFrame([(1, 5), (2, 4)], "k long, version long")
+    start_latest(read_changes(spark, str(tmp_path / "in"), rows.schema), "k", ("version",), str(tmp_path / "out"), str(tmp_path / "ck"), tree, "version").awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out") + "/state-*")
+    assert {r["k"] for r in found.collect()} == {2, 4}
+
+
+RELATIVE = [
+    ("https://example.com/path", "https://example.com/path", "./"), ("https://example.com/path", "https://example.com/path.md", "../path.md"),
+    ("https://example.com/path", "https://example2.com/path.md", "https://example2.com/path.md"), ("/etc/http", "/var/log", "../../var/log"), ("/etc/http", "/etc/log", "../log"),
+    ("content/functions/a/b/c.md", "content/functions/a/d/e.md", "../d/e.md"), ("somefile.md", "https://youtube.be/v/xxx", "https://youtube.be/v/xxx"),
+    ("somefile.md", "https://youtube.be/v/xxx?que&r=y", "https://youtube.be/v/xxx?que&r=y"), ("/a/b", "/", "/"), ("/a/b.md", "/a/c.md", "c.md"),
+]
+
+
+@pytest.mark.parametrize(("start", "target", "want"), RELATIVE)
+def test_relate_url(spark, start, target, want):
+    assert value(spark, P.relate_url(F.lit(start), F.lit(target))) == want
+
+
+ABSOLUTE = [
+    ("https://example.com/path", "", "https://example.com/path"), ("https://example.com/path", ".", "https://example.com/path"), ("https://example.com/path", "..", "https://example.com/"),
+    ("https://example.com/path", "../..", "https://example.com/"), ("https://example.com/path", "path2", "https://example.com/path/path2"), ("https://example.com/path/path2", "../..", "https://example.com/"),
+    ("https://example.com/path/path2", "../../path3", "https://example.com/path3"), ("https://example.com/path/path2", "../../../path3", "https://example.com/path3"),
+    ("https://example.com/aaa/bbb/ccc.odt", "./doc1.svg", "https://example.com/aaa/bbb/doc1.svg"), ("https://example.com/aaa/bbb/ccc.odt", "doc2.svg", "https://example.com/aaa/bbb/doc2.svg"),
+]
+
+
+@pytest.mark.parametrize(("full", "relative", "want"), ABSOLUTE)
+def test_absolutize_url(spark, full, relative, want):
+    assert value(spark, P.absolutize_url(F.lit(full), F.lit(relative))) == want
+
+
+@pytest.mark.parametrize(("base", "relative", "want"), [("/aaa/bbb/ccc.odt", "./doc1.svg", "/aaa/bbb/doc1.svg"), ("/aaa/bbb/ccc.odt", "../subdir/diagram.svg", "/aaa/subdir/diagram.svg"), ("a", "http://x", "")])
+def test_absolute_document_path(spark, base, relative, want):
+    assert value(spark, P.absolute_document_path(F.lit(base), F.lit(relative))) == want
+
+
+@pytest.mark.parametrize(("ms", "want"), [(100, ""), (300, "300ms"), (1000, "1000ms"), (1234, "1.2s"), (2000, "2s")])
+def test_elapsed(spark, ms, want):
+    assert value(spark, P.elapsed(F.lit(ms), 200)) == want
+
+
+def test_conflict_first_run_then_renamed(spark):
+    """Two files of one name, then both renamed: the numbers go."""
+    files = spark.createDataFrame([("id1", "test-file.md"), ("id2", "test-file.md")], "id string, name string")
+    first = naming.resolve_conflicts(files, "name", "id")
+    assert {r["id"]: r["real_name"] for r in first.collect()} == {"id1": "test-file@1.md", "id2": "test-file@2.md"}
+    renamed = spark.createDataFrame([("id1", "example-1.md"), ("id2", "example-2.md")], "id string, name string")
+    second = naming.resolve_conflicts(renamed, "name", "id", (), first.select("id", "real_name"))
+    assert {r["id"]: r["real_name"] for r in second.collect()} == {"id1": "example-1.md", "id2": "example-2.md"}
+
+
+def test_conflicts_never_share_a_name(spark):
+    rows = [(1, "a.md"), (2, "a.md"), (3, "a@1.md"), (4, "a.md"), (5, "b"), (6, None), (7, "a.md")]
+    files = spark.createDataFrame(rows, "id long, name string")
+    stored = spark.createDataFrame([(4, "a@3.md"), (7, "other.md"), (1, "a.md")], "id long, real_name string")
+    found = {r["id"]: r["real_name"] for r in naming.resolve_conflicts(files, "name", "id", (), stored).collect()}
+    assert found == {1: "a@2.md", 2: "a@4.md", 3: "a@1.md", 4: "a@3.md", 5: "b", 7: "a@5.md"}
+    assert naming.resolve_conflicts(files.limit(0), "name", "id").count() == 0
+
+
+def test_conflict_group_of_half_the_files(spark):
+    files = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("name"))
+    found = naming.resolve_conflicts(files, "name", "id").where("name = 'same'").orderBy("id").collect()
+    assert [r["real_name"] for r in found] == [f"same@{k}" for k in range(1, 1501)]
+
+
+def test_deep_trees_and_cycles(spark):
+    chain = [(k, k - 1 if k else None, f"n{k}") for k in range(1000)] + [(5000, 5001, "x"), (5001, 5000, "y"), (5002, 5001, "below"), (6000, 9999, "orphan")]
+    nodes = spark.createDataFrame(chain, "id long, parent long, name string")
+    found = {r["id"]: (r["depth"], len(r["path"].split("/"))) for r in trees.tree_paths(nodes).collect()}
+    assert found == {k: (k, k + 1) for k in range(1000)}
+    above = trees.ancestors(nodes, spark.createDataFrame([(999,), (5002,)], "id long")).collect()
+    assert {(r["ancestor"], r["distance"]) for r in above if r["leaf"] == 999} == {(k, 999 - k) for k in range(999)}
+    assert {(r["ancestor"], r["distance"]) for r in above if r["leaf"] == 5002} == {(5001, 1), (5000, 2)}
+
+
+def test_bullet_menu_levels(spark):
+    lines = ["* [A](a)", "   * [B](b)", "      * [C](c)", "   * no link", "   * [D](d)", "* [E](e)"]
+    found = trees.bullet_menu(spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc int, no int, line string"), "doc", "no", "line")
+    assert {r["identifier"]: (r["weight"], r["parent"]) for r in found.collect()} == {"a": (10, None), "b": (20, "a"), "c": (30, "b"), "d": (40, "a"), "e": (50, None)}
+
+
+def test_links_and_events_round_trip(spark, tmp_path):
+    rows = [("1", "a;b", "gdoc:2"), ("1", "a;b", "gdoc:3#x"), ("2", "c", "http://x")]
+    sinks.write_links(spark.createDataFrame(rows, "source string, name string, dest string"), str(tmp_path / "l"))
+    assert sorted(tuple(r) for r in sources.read_links(spark, str(tmp_path / "l")).collect()) == sorted(rows)
+    log = [(f"p{k}", k, f"id{k % 3}", "md", "touched", k) for k in range(20)]
+    sinks.write_events(spark.createDataFrame(log, "filePath string, mtime long, id string, type string, event string, seq long"), str(tmp_path / "e"))
+    found = sources.read_events(spark, str(tmp_path / "e")).orderBy("seq").collect()
+    assert [r["filePath"] for r in found] == [r[0] for r in log]
+
+
+def test_listings_and_trees(spark, tmp_path):
+    (tmp_path / "files.json").write_text('[{"id": "1", "name": "a", "parents": ["p"], "size": "3"}, {"id": "2", "name": "b", "extra": 1}]')
+    assert {(r["id"], r["size"]) for r in sources.read_listing(spark, str(tmp_path / "files.json")).collect()} == {("1", "3"), ("2", None)}
+    (tmp_path / "tree.json").write_text('[{"id": "1", "name": "a", "children": [{"id": "2", "name": "b", "children": [{"id": "3", "name": "c"}]}]}, {"id": "4", "name": "d"}]')
+    assert {(r["id"], r["parent"]) for r in sources.read_tree(spark, str(tmp_path / "tree.json")).collect()} == {("1", None), ("2", "1"), ("3", "2"), ("4", None)}
+
+
+def test_rotated_logs(spark, tmp_path):
+    def line(day, level="info", **more):
+        return json.dumps({"level": level, "message": "m", "timestamp": f"2024-03-{day:02d}T00:00:00Z", **more})
+
+    (tmp_path / "2024-03-10-combined.log").write_text(line(10) + "\nnot json\n" + line(11, "error") + "\n")
+    with gzip.open(tmp_path / "2024-03-12-combined.log.gz", "wt") as out:
+        out.write(line(12) + "\n")
+    (tmp_path / "2024-03-25-combined.log").write_text(line(11) + "\n")  # too far from the range to be opened
+    since, until = datetime(2024, 3, 10, tzinfo=UTC), datetime(2024, 3, 12, tzinfo=UTC)
+    found = sources.read_logs(spark, str(tmp_path), since, until)
+    assert sorted(r["timestamp"][8:10] for r in found.collect()) == ["10", "11", "12"]
+    assert sources.read_logs(spark, str(tmp_path), since, until, "error").count() == 1
+    sinks.write_logs(found.withColumn("jobId", F.when(F.col("level") == "error", "j1")), str(tmp_path / "jobs"), str(tmp_path / "days"))
+    assert sources.read_job_log(spark, str(tmp_path / "jobs"), "j1").count() == 1 and spark.read.json(str(tmp_path / "days")).count() == 2
+
+
+def test_front_matter_cases(spark):
+    texts = ["---\nid: 'a'\ntitle: \"T\"\n---\nbody\n---\nmore", "no header", "---\n---\nx", "---\nid: b\n", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", sources.split_front_matter(F.col("t")).alias("s")).select("k", "s.*", sources.header_field(F.col("s.header"), "title").alias("title"))
+    found = {r["k"]: (r["header"], r["body"], r["title"]) for r in rows.collect()}
+    assert found[0] == ("id: 'a'\ntitle: \"T\"", "body\n---\nmore", "T") and found[1] == (None, "no header", None)
+    assert found[2][1] == "x" and found[3] == (None, "---\nid: b\n", None) and found[4] == (None, None, None)
+
+
+def test_directory_scan(spark):
+    rows = [("d/a.md", False, "---\nid: '1'\n---\nx"), ("d/b.md", False, "---\nid: '2'\ntype: 'conflict'\n---\n"), ("d/c.svg", False, None), ("d/c.assets/", True, None), ("d/.private", False, None), ("d/x.debug.xml", False, None), ("d/sub/", True, None)]
+    found = sources.scan_directory(spark.createDataFrame(rows, "path string, is_dir boolean, text string"), (".private",))
+    assert {r["real_name"]: (r["kind"], r["id"]) for r in found.collect()} == {"a.md": ("md", "1"), "b.md": ("conflict", "2"), "c.svg": ("drawing", "TO_FILL"), "sub": ("directory", "TO_FILL")}
+
+
+def test_redirect_needs_a_target(spark):
+    assert "redirectTo: 'x'" in value(spark, sinks.redirect_page(F.lit("t"), F.lit("x")))
+    with pytest.raises(Exception, match="a redirect needs a target"):
+        value(spark, sinks.redirect_page(F.lit("t"), F.lit(None).cast("string")))
+
+
+def test_changed_files_without_a_tree(spark):
+    changes = spark.createDataFrame([(1, 2)], "k long, version long")
+    assert snapshots.changed_files(changes, changes.limit(0), "k", "version").count() == 1
+
+
+def test_git_diff_order_and_statuses(spark):
+    paths = spark.createDataFrame([("b.md",), ("a.assets/1.png",), ("a.md",), ("c.txt",)], "path string")
+    assert [r["path"] for r in paths.orderBy(*git.diff_order(F.col("path"))).collect()] == ["a.md", "a.assets/1.png", "b.md", "c.txt"]
+    lines = spark.createDataFrame([("x", ' M "a b.md"'), ("x", "?? new.md"), ("x", " D gone.md"), ("x", "")], "doc string, line string")
+    assert {(r["path"], r["state"]) for r in git.short_status(lines).collect()} >= {("new.md", "N"), ("gone.md", "D")}
