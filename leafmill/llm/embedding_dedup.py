@@ -12,9 +12,13 @@ and each pair of blocks is one cell, so no task gathers a bucket. A pair that me
 belongs to the first of them, hence counts of links need no shuffle of pairs. A cell reports per class the
 links it found and one spanning edge, never the pairs.
 
+What is known of a class goes back to the rows by a hash of the vector, with the vectors compared. Classes of over
+a ``HEAVY_PARTS``-th of all rows are broadcast for that, so no task gathers the copies of one vector.
+
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-vectors of different lengths; equal vectors link with each other; repeated ids are vectors of their own;
-columns other than the id and the vector are ignored.
+vectors of different lengths; equal vectors link with each other; repeated ids are vectors of their own; a null
+id links with nothing; an empty table gives an empty result; columns other than the id and the vector are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ from leafmill.llm.components import connected_components
 from leafmill.llm.session import cut, ship_package
 
 
+#: A class of over one such part of all rows is broadcast when it goes back to the rows: fewer than so many classes.
+HEAVY_PARTS = 1000
+
+
 @dataclass(frozen=True)
 class PStableSettings:
     similarity: float = 0.95
@@ -63,7 +71,7 @@ def _hash_vectors(settings: PStableSettings, k: int, tables: int):
             column = batch.column("vector")
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
             flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(lengths)])
-            signs = np.zeros((len(column), tables), dtype=np.int32)
+            signs, dims = np.zeros((len(column), tables), dtype=np.int32), np.zeros(len(column), dtype=np.int32)
             data: list[bytes] = [b""] * len(column)
             for dim in np.unique(lengths):
                 if dim not in planes:
@@ -79,8 +87,9 @@ def _hash_vectors(settings: PStableSettings, k: int, tables: int):
                 cells = np.floor((x @ a + b) / settings.width).astype(np.int64).reshape(len(rows), tables, k)
                 hashed = (cells * mixers).sum(axis=2) + int(dim) * 1_000_003
                 signs[rows] = ((hashed ^ (hashed >> 31)) * 0x7FB5D329728EA185 >> 32).astype(np.int32)
+                dims[rows] = dim
             signs_column = pa.array(list(signs), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array(data, pa.binary()), signs_column], names=["node", "size", "vector", "signs"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array(dims), pa.array(data, pa.binary()), signs_column], names=["node", "size", "dim", "vector", "signs"])
 
     return run
 
@@ -131,7 +140,7 @@ def _compare_cells(settings: PStableSettings):
             bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
             out: list[tuple[np.ndarray, ...]] = []
             for a, b in zip(bounds, bounds[1:], strict=False):
-                if b - a < 2 or len({len(v) for v in vectors[a:b]}) > 1:
+                if b - a < 2:
                     continue
                 x = np.frombuffer(b"".join(vectors[a:b]), np.float64).reshape(b - a, -1)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -163,22 +172,29 @@ def _compare_cells(settings: PStableSettings):
     return run
 
 
+def _vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+
+
 def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Distinct usable vectors: node (smallest id), size and vector."""
+    """Distinct usable vectors: node (a number of its own), first (smallest id), size and vector."""
     v = F.col("vector")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     usable = v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null")
-    return rows.where(usable).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
+    rows = _vectors(vectors, id_col, vector_col).where("vec_id is not null")
+    classes = rows.where(usable).groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"))
+    return cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers hold once they are written
 
 
 def embedding_near_duplicates(vectors: DataFrame, settings: PStableSettings = PStableSettings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable) and kept."""
     ship_package(vectors.sparkSession)
-    classes = cut(vector_classes(vectors, id_col, vector_col))
-    k, tables = settings.shape(classes.count())
-    hashed = cut(classes.select("node", "size", "vector").mapInArrow(_hash_vectors(settings, k, tables), "node long, size long, vector binary, signs array<int>"))
-    buckets = hashed.select("node", F.posexplode("signs").alias("table", "bucket"))
+    classes = vector_classes(vectors, id_col, vector_col)
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    k, tables = settings.shape(n_classes)
+    hashed = cut(classes.select("node", "size", "vector").mapInArrow(_hash_vectors(settings, k, tables), "node long, size long, dim int, vector binary, signs array<int>"))
+    # the length is part of a bucket, so vectors of different lengths never share one
+    buckets = hashed.select("node", "dim", F.posexplode("signs").alias("table", "sign")).select("node", "table", (F.col("dim").cast("long") * (1 << 32) + F.col("sign")).alias("bucket"))
     shared = buckets.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = buckets.join(shared, ["table", "bucket"])
     blocks = met.withColumn("blocks", F.ceil(F.col("n") / settings.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -188,8 +204,17 @@ def embedding_near_duplicates(vectors: DataFrame, settings: PStableSettings = PS
     found = cut(full.select(*columns).mapInArrow(_compare_cells(settings), "node long, links long, label long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("label <> node").select(F.col("node").alias("u"), F.col("label").alias("v")))
-    known = classes.join(links, "node", "left").join(components, "node", "left").select("vector", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    known = known.where("n_links > 0")
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    joined = rows.join(known, "vector", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = components.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = components.join(first, "component").select("node", "component_id")
+    known = classes.join(links, "node", "left").join(named, "node", "left")
+    known = known.select("vector", "size", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")).where("n_links > 0")
+    known = cut(known.withColumn("hash", F.xxhash64("vector")))
+    rows = _vectors(vectors, id_col, vector_col).withColumn("hash", F.xxhash64("vector")).withColumn("named", F.col("vec_id").isNotNull())
+    least = n_rows // HEAVY_PARTS + 1
+    heavy = F.broadcast(known.where(F.col("size") >= least).select(F.col("hash").alias("h"), F.col("vector").alias("v"), F.col("n_links").alias("heavy_links"), F.col("component_id").alias("heavy_id")))
+    some = rows.join(heavy, F.col("named") & (F.col("hash") == F.col("h")) & (F.col("vector") == F.col("v")), "left")
+    done = some.where("heavy_links is not null").select("vec_id", F.col("heavy_links").alias("n_links"), F.col("heavy_id").alias("component_id"))
+    light = known.where(F.col("size") < least).select(F.col("hash").alias("h2"), F.col("vector").alias("v2"), "n_links", "component_id")
+    rest = some.where("heavy_links is null").select("vec_id", "vector", "hash", "named").join(light, F.col("named") & (F.col("hash") == F.col("h2")) & (F.col("vector") == F.col("v2")), "left")
+    joined = done.unionByName(rest.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
+    return joined.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
