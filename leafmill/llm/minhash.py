@@ -19,8 +19,11 @@ the member with the fewest rarer shingles; what is left is compared across compo
 places of the shared shingle and the weights allow the similarity at all.
 
 Cases: null and empty texts have no words and stay alone, linked with nothing, like all texts without a
-word; a text of one to four words is the single run of its words; repeated ids are one document, whose
-classes are one; equal texts are always one class. Very long texts are hashed in slices.
+word; a text of one to four words is the single run of its words; repeated ids are one document: each of its
+texts is compared, and the classes of all its texts with words are one; equal texts are always one class; a row
+without an id is compared like others and is in the class of what it resembles, or in none (null). An empty
+table gives an empty result; columns other than the id and the text are ignored, whatever their names; ties
+(of leaders, of shingles equally rare) are broken by hash. Very long texts are hashed in slices.
 """
 
 from __future__ import annotations
@@ -121,6 +124,11 @@ def unit_regions(runs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(runs + (np.arange(len(runs)) - first).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def multiset_hash(regions: np.ndarray) -> int:
+    """A signed 64-bit hash of a document's regions, whatever their order: equal for equal multisets of runs."""
+    return int(mix(np.bitwise_xor.reduce(mix(regions), initial=0).reshape(1) + np.uint64(len(regions)))[0].astype(np.int64))
+
+
 def _sign(settings: NearDupSettings):
     def run(batches):
         k = settings.bands * settings.rows
@@ -138,7 +146,7 @@ def _sign(settings: NearDupSettings):
                 band = np.zeros(signature.shape[:2], dtype=np.uint64)
                 for r in range(settings.rows):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, r])
-                whole = [int(mix(np.bitwise_xor.reduce(mix(regions[a:b])).reshape(1) + np.uint64(b - a))[0].astype(np.int64)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                whole = [multiset_hash(regions[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band.astype(np.int64).ravel()), settings.bands).cast(pa.list_(pa.int64()))
                 weights = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays([ids.slice(start, at + 1 - start), pa.array(weights), pa.array(whole, pa.int64()), bands], names=["doc_id", "weight", "whole", "bands"])
@@ -157,7 +165,7 @@ def signatures(docs: DataFrame, settings: NearDupSettings, id_col: str = "doc_id
 def _shingle_rows(settings: NearDupSettings):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("node"), batch.column("text").to_pylist()
+            texts = batch.column("text").to_pylist()
             start = size = 0
             for at, text in enumerate(texts):
                 size += len(text or "")
@@ -165,8 +173,8 @@ def _shingle_rows(settings: NearDupSettings):
                     continue
                 runs, offsets = shingles(texts[start : at + 1], settings.shingle_words)
                 regions = unit_regions(runs, offsets)
-                sets = [np.sort(regions[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, at + 1 - start), pa.array(sets, pa.binary())], names=["node", "regions"])
+                parts = [regions[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([multiset_hash(x) for x in parts], pa.int64()), pa.array([np.sort(x).tobytes() for x in parts], pa.binary())], names=["node", "regions"])
                 start, size = at + 1, 0
 
     return run
@@ -189,17 +197,22 @@ def _compare(settings: NearDupSettings):
 def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id reachable by links) and kept (it is its own class id)."""
     signed = cut(signatures(docs, settings, id_col, text_col))
-    classes = signed.where("weight > 0").groupBy("whole", "weight").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
+    # a class is known by the hash of its runs, so that texts under one id stay apart
+    classes = signed.where("weight > 0").groupBy(F.col("whole").alias("node")).agg(F.min("doc_id").alias("doc"), F.min("weight").alias("weight"), F.any_value("bands").alias("bands"))
     classes = cut(classes)
     buckets = classes.select("node", "weight", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     placed = F.xxhash64("band", "bucket").alias("bucket"), F.lit(0).cast("long").alias("place")
     buckets = cut(buckets.join(shared.select("band", "bucket"), ["band", "bucket"]).select("node", "weight", *placed))
     wanted = buckets.select("node").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node", "left_semi")
-    sets = cut(texts.mapInArrow(in_slices(_shingle_rows(settings)), "node long, regions binary").groupBy("node").agg(F.min("regions").alias("regions")))
-
-    links = tried = components = None
+    docs_wanted = wanted.join(classes.select("node", "doc"), "node").select("doc").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = rows.join(docs_wanted, "doc", "left_semi").unionByName(rows.where("doc is null"))
+    sets = cut(texts.mapInArrow(in_slices(_shingle_rows(settings)), "node long, regions binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("regions").alias("regions")))
+
+    same_id = signed.where("weight > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("whole").alias("u"), F.max("whole").alias("last")).where("u <> last")
+    links = cut(signed.where("weight > 0").join(same_id, "doc_id").select("u", F.col("whole").alias("v")).where("u <> v").distinct())
+    tried = components = None
     n_pairs = 0
     state = _unmerged(buckets, None)  # who stands in which bucket, and in which component
     for k in range(settings.leader_rounds + 2):
@@ -218,13 +231,15 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
         found = cut(compare_pairs(pairs, sets, settings))
         now, new = found.select("u", "v"), found.where("linked").select("u", "v")
         tried = cut((now if tried is None else tried.union(now)).coalesce(few))
-        links = cut((new if links is None else links.union(new)).coalesce(few))
+        links = cut(links.union(new).coalesce(few))
         components = cut(connected_components(links))
         state = _unmerged(buckets, components)
-    member = signed.join(classes.select("whole", "weight", "node"), ["whole", "weight"], "left").withColumn("component", F.lit(None).cast("long"))
-    if components is not None:
-        member = member.drop("component").join(components, "node", "left")
-    named = member.select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id"))
+    if components is None:
+        components = connected_components(links)
+    first = components.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("first"))
+    by_node = components.join(first, "component").select("node", "first")
+    member = signed.where("weight > 0").select("doc_id", F.col("whole").alias("node")).join(classes.select("node", "doc"), "node").join(by_node, "node", "left")
+    named = member.select("doc_id", F.coalesce("first", "doc").alias("class_id")).unionByName(signed.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
