@@ -97,12 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _secrets_sql() -> str:
-    """The secret scan as SQL: matches and gaps by kind, running sums, ownership counts, spans."""
-    from leafmill.llm.secrets import KINDS, MAX_LIVE_OWNERS
+    """The secret scan as SQL: matches and gaps by kind, running sums, ownership counts, spans.
 
+    The base kinds have the contract's patterns, whose short matches the length condition drops.
+    """
+    from leafmill.llm.secrets import KINDS, MAX_LIVE_DOCS, MAX_LIVE_OWNERS
+
+    contract = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     parts = []
     for k, kind in enumerate(KINDS):
-        pattern = kind.pattern.replace("'", "''")
+        pattern = contract.get(kind.name, kind.pattern).replace("'", "''")
         parts.append(f"""
             SELECT doc_id, owner, {k} AS kind, '{kind.name}' AS name, {kind.least} AS least, {str(kind.base).lower()} AS base,
                    unnest(regexp_extract_all(text, '{pattern}', 0)) AS found, unnest(regexp_extract_all(text, '{pattern}', {kind.group})) AS value,
@@ -114,8 +118,11 @@ def _secrets_sql() -> str:
         matches AS ({" UNION ALL ".join(parts)}),
         placed AS (SELECT *, sum(gap + length(found)) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS end_at FROM matches),
         candidates AS (SELECT *, CAST(end_at - length(found) AS BIGINT) AS start, sha256(value) AS value_hash FROM placed WHERE length(value) >= least),
-        owners AS (SELECT value_hash, count(DISTINCT owner) AS n_owners FROM candidates GROUP BY value_hash),
-        judged AS (SELECT c.*, n_owners <= {MAX_LIVE_OWNERS} AS live, concat(name, ':', start, ':', CAST(end_at AS BIGINT)) AS span
+        owners AS (
+            SELECT value_hash, count(DISTINCT owner) AS n_owners, count(DISTINCT concat(owner, chr(2), coalesce(CAST(doc_id AS VARCHAR), ''))) AS n_docs
+            FROM candidates GROUP BY value_hash
+        ),
+        judged AS (SELECT c.*, n_owners <= {MAX_LIVE_OWNERS} AND n_docs <= {MAX_LIVE_DOCS} AS live, concat(name, ':', start, ':', CAST(end_at AS BIGINT)) AS span
                    FROM candidates c JOIN owners USING (value_hash)),
         kept AS (SELECT * FROM judged WHERE base OR live)
         SELECT d.doc_id, count(*) FILTER (k.name = 'assign') AS n_assign, count(*) FILTER (k.name = 'access') AS n_access,

@@ -1,18 +1,20 @@
 """Secret scans by corpus-wide ownership frequency, with DataFrame functions only.
 
 Patterns find candidates in whole texts. The hash of each candidate value is then counted over the whole
-corpus: by distinct documents (repositories) and by distinct sources (owners). A value that many owners
-share is a copied example; a value held by few owners looks like a live credential, in however many
-documents: the count of documents goes along, but only owners decide. Spans of the three base kinds are
-always reported; spans of the further kinds are added where they look live.
+corpus: by distinct documents of an owner (a document stands for a repository) and by distinct sources (owners).
+A value that many owners share, or that stands in many documents even of one owner, is a copied example; a value
+held by few of both looks like a live credential. Spans of the three base kinds are always reported; spans of
+the further kinds are added where they look live.
 
 One scan reads the texts; only the matches and the lengths of what stands between them travel on. The
 place of a match is the running sum of those lengths, taken in a window over the matches of one row, so
 a text may hold any number of matches. Counts are pre-aggregated before their shuffle, and a value that a
-third of all rows share costs one row per task there.
+third of all rows share costs one row per task and document there.
 
 Cases: null text counts as empty; texts without matches have counts 0 and empty spans; a null owner is an
-owner of its own; repeated rows are scanned row by row; columns other than the three used are ignored.
+owner of its own, and a null id a document of its own; repeated rows are scanned row by row; spans that begin
+at one place are in the order of their kinds; an empty table gives an empty result; very long texts are scanned
+whole; other columns are ignored by the scan and kept by the redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,24 +41,20 @@ class Kind:
 #: The base kinds, in their order, then the kinds that the method adds.
 KINDS = (
     Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 18, True),
-    Kind("hex", r"[0-9a-f]+", 0, 16, True),
+    Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18, True),  # a shorter run of these characters holds no match either
+    Kind("hex", r"[0-9a-f]{16,}", 0, 16, True),
     Kind("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]+)", 1, 20),
     Kind("prefixed", r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|npm_|pypi-|AIza)[A-Za-z0-9_-]+", 0, 24),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32),
     Kind("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----[A-Za-z0-9+/=\s]+", 0, 48),
     Kind("url_login", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._-]+:([A-Za-z0-9._~!$&*+=-]+)@", 1, 8),
 )
-#: A value held by at most so many owners looks live.
+#: A value held by at most so many owners, in at most so many documents of them, looks live.
 MAX_LIVE_OWNERS = 4
+MAX_LIVE_DOCS = 50
 MATCH_FIELDS = "array<struct<kind:int,pos:int,gap:int,found:string>>"
 
 
-def _gate(kind: Kind) -> str:
-    """A cheaper pattern that every text with a long enough match has."""
-    return r"[0-9a-f]{16}" if kind.name == "hex" else kind.pattern
-
-
 def _matches(text: Column, number: int, kind: Kind) -> Column:
     """All leftmost non-overlapping matches with the code points since the match before; else an empty array."""
     pieces = F.split(text, kind.pattern, -1)
@@ -65,7 +63,7 @@ def _matches(text: Column, number: int, kind: Kind) -> Column:
         F.arrays_zip(found.alias("found"), F.transform(pieces, F.length).alias("gap")),
         lambda x, k: F.struct(F.lit(number).alias("kind"), k.cast("int").alias("pos"), x["gap"].alias("gap"), x["found"].alias("found")),
     )
-    return F.when(text.rlike(_gate(kind)), F.filter(rows, lambda x: x["found"].isNotNull())).otherwise(F.array().cast(MATCH_FIELDS))
+    return F.when(text.rlike(kind.pattern), F.filter(rows, lambda x: x["found"].isNotNull())).otherwise(F.array().cast(MATCH_FIELDS))
 
 
 def find_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -91,14 +89,15 @@ def candidates(rows: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per value hash: how many distinct documents and distinct owners hold it."""
+    """Per value hash: how many distinct documents of owners and how many distinct owners hold it."""
     per_owner = found.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("docs"))
     return per_owner.groupBy("value_hash").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("n_owners"))
 
 
-def judge_candidates(found: DataFrame, max_live_owners: int = MAX_LIVE_OWNERS) -> DataFrame:
+def judge_candidates(found: DataFrame, max_live_owners: int = MAX_LIVE_OWNERS, max_live_docs: int = MAX_LIVE_DOCS) -> DataFrame:
     """The candidates with n_docs, n_owners and ``live`` of their values."""
-    return found.join(ownership(found), "value_hash").withColumn("live", F.col("n_owners") <= max_live_owners)
+    live = (F.col("n_owners") <= max_live_owners) & (F.col("n_docs") <= max_live_docs)
+    return found.join(ownership(found), "value_hash").withColumn("live", live)
 
 
 def _joined(spans: Column, kinds: tuple[Kind, ...]) -> Column:
@@ -110,12 +109,12 @@ def _count_of(kind: int) -> Column:
     return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, max_live_docs: int = MAX_LIVE_DOCS, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """One row per input row: doc_id, counts of base kinds, base_sha256, spans, and counts of live and shared values."""
     rows = cut(find_matches(docs, id_col, text_col, owner_col, kinds))
     found = cut(candidates(rows, kinds))
     base = [k for k, kind in enumerate(kinds) if kind.base]
-    kept = judge_candidates(found, max_live_owners).where(F.col("kind").isin(base) | F.col("live"))
+    kept = judge_candidates(found, max_live_owners, max_live_docs).where(F.col("kind").isin(base) | F.col("live"))
     per_row = kept.groupBy("row_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end_at", "live"))).alias("found"),
     )
@@ -128,24 +127,26 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_live_owners: int = MAX_LIVE_OWNERS, max_live_docs: int = MAX_LIVE_DOCS, mark: str = "[SECRET]", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The input rows, all of them, with every live-looking span of the text replaced by ``mark``.
 
-    Rows that repeat an id share the spans of all of them only where their texts are equal, as spans are
-    joined by id and text hash. Columns and their order stay.
+    Spans of overlapping kinds are replaced as one. Spans go back to the rows by id, owner and text, so rows that
+    repeat all three share them. Columns, whatever their names, and their order stay.
     """
-    keyed = docs.withColumn("__secret_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    scanned = keyed.select(F.col("__secret_key").alias("doc_id"), F.col(owner_col).alias("owner") if owner_col in docs.columns else F.lit(None).cast("string").alias("owner"), F.col(text_col).alias("text"))
-    found = cut(candidates(cut(find_matches(scanned, "doc_id", "text", "owner", kinds)), kinds))
-    live = judge_candidates(found, max_live_owners).where("live").groupBy(F.col("doc_id").alias("__secret_key")).agg(F.sort_array(F.collect_set(F.struct("start", "end_at"))).alias("__secret_spans"))
+    owner = F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
+    key = F.sha2(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), owner.alias("o"), F.col(text_col).alias("t"))), 256)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), owner.alias("owner"), F.col(text_col).alias("text"), key.alias("key"))
+    matches = find_matches(keyed.withColumn("both", F.struct("key", "id")), "both", "text", "owner", kinds)
+    found = cut(candidates(cut(matches.where(F.size("matches") > 0)), kinds))
+    judged = judge_candidates(found.withColumn("key", F.col("doc_id.key")).withColumn("doc_id", F.col("doc_id.id")), max_live_owners, max_live_docs)
+    live = judged.where("live").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end_at"))).alias("spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
-        since = F.substring(F.col(text_col), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
+        since = F.substring("text", (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
         ahead = span["start"] >= done["at"]
         return F.struct(F.greatest(done["at"], span["end_at"]).alias("at"), F.when(ahead, F.concat(done["out"], since, F.lit(mark))).otherwise(done["out"]).alias("out"))
 
-    text = F.aggregate("__secret_spans", start, step, lambda x: F.concat(x["out"], F.substring(F.col(text_col), (x["at"] + 1).cast("int"), F.lit(2_147_483_647))))
-    joined = keyed.join(live, "__secret_key", "left")
-    cleaned = F.when(F.col("__secret_spans").isNull(), F.col(text_col)).otherwise(text)
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("spans", start, step, lambda x: F.concat(x["out"], F.substring("text", (x["at"] + 1).cast("int"), F.lit(2_147_483_647))))
+    joined = keyed.join(live, "key", "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+    return joined.select(*[(F.col("clean") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
