@@ -2,23 +2,27 @@
 
 Two texts are equal when they are identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted.
 
-1. One scan turns each row into an index entry: a 64-bit key of the normalised text, its SHA-256, its
-   length and the row's id. Entries are written to the shared folder; texts are not.
-2. Equal (key, digest, length) entries are pre-aggregated, so a group of copies, however large, is one
-   entry of the index. A histogram of key prefixes drives the directory: it doubles until no bucket is
-   over its capacity, and buckets that need no split share directory cells. The index is written once
-   more, sorted inside its buckets, so that a later corpus can be probed against it.
-3. Entries with one key form a chain. Texts of chained entries are compared byte for byte: only texts
-   whose key occurs more than once are read again, grouped by key and the normalised bytes themselves. A
-   chain may hold any number of texts with one key; each of its entries must be one text.
+1. One scan turns each row into an entry: a 64-bit key of the normalised text, its SHA-256 and the row's id.
+   Texts are not written.
+2. A histogram of key prefixes drives the directory of an extendible hash: it doubles until no bucket is over its
+   capacity, and buckets that need no split share directory cells. Entries, counted by key, are written to the
+   shared folder by bucket; each owner task has a range of buckets, in the order of their keys.
+3. Keys with one entry are done. The entries of a key with more form a chain, and only their texts are read
+   again. They go to the owners of their buckets, where texts of one chain are told apart by comparing the
+   normalised bytes themselves: these decide what is equal. Copies are combined before they are sent, so a group
+   of any size costs one text a task.
+4. The classes so found go back to the rows. Classes with over a 100,000th of all rows, of which there are fewer
+   than 100,000, are broadcast, so no task gathers the copies of one text.
 
 Cases: null text counts as empty, and all such rows are one group; ties on length go to the smallest
-id; repeated ids are rows of their own within their group; an empty table gives an empty result; columns
-other than the id and the text are ignored, whatever their names.
+id, then to no id; repeated ids are rows of their own within their group; an empty table gives an empty result;
+columns other than the id and the text are ignored, whatever their names; very long texts are compared whole.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ BUCKET_CAPACITY = 100_000
 MAX_DEPTH = 16
 #: Bound of the broadcast side when texts of chained keys are looked up: 8 bytes a key, 16 MB in all.
 BROADCAST_KEYS = 2_000_000
+#: A class with over one such part of all rows is broadcast: fewer than so many classes, of about 100 bytes each.
+HEAVY_PARTS = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -36,73 +42,62 @@ def normalised(text: Column) -> Column:
 
 
 def index_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One entry per row: id, code points of the original text, key, digest and normalised length."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), normalised(F.col(text_col)).alias("norm"))
-    return base.select("doc_id", "n_points", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"), F.length("norm").cast("long").alias("n_norm"))
+    """One entry per row: id, key and digest."""
+    base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    return base.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"))
 
 
 def grow_directory(prefix_counts: dict[int, int], capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> list[int]:
     """Bucket numbers of the cells of an extendible-hash directory, by doubling.
 
-    ``prefix_counts`` counts entries by the first ``max_depth`` bits of their keys. A bucket over its
-    capacity is split by its next bit; where that bit is beyond the directory's depth, the directory
-    doubles. A bucket of a single prefix stays overfull: its keys chain.
+    ``prefix_counts`` counts entries by the first ``max_depth`` bits of their keys; sums of ranges of prefixes come
+    from running sums. A bucket over its capacity is split by its next bit; where that bit is beyond the
+    directory's depth, the directory doubles. A bucket of a single prefix stays overfull: its keys chain.
     """
-    depth = 0
-    directory = [0]
-    local = {0: 0}
-    totals = {0: sum(prefix_counts.values())}
-    todo = [0]
+    sums = list(accumulate((prefix_counts.get(p, 0) for p in range(1 << max_depth)), initial=0))
+    leaves: list[tuple[int, int]] = []  # (first prefix, bits that are fixed), in order of prefixes
+    todo = [(0, 0)]
     while todo:
-        bucket = todo.pop()
-        if totals[bucket] <= capacity or local[bucket] >= max_depth:
-            continue
-        if local[bucket] == depth:
-            directory = [b for b in directory for _ in range(2)]
-            depth += 1
-        cells = [k for k, b in enumerate(directory) if b == bucket]
-        new, upper = len(local), cells[len(cells) // 2 :]
-        for k in upper:
-            directory[k] = new
-        local[bucket] += 1
-        local[new] = local[bucket]
-        width = max_depth - depth
-        low, high = upper[0] << width, (upper[-1] + 1) << width
-        totals[new] = sum(n for p, n in prefix_counts.items() if low <= p < high)
-        totals[bucket] -= totals[new]
-        todo += [bucket, new]
-    return directory
-
-
-def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index of classes: one row per distinct (key, digest, length), in buckets, on shared files."""
+        first, bits = todo.pop()
+        width = 1 << (max_depth - bits)
+        if bits < max_depth and sums[first + width] - sums[first] > capacity:
+            todo += [(first + width // 2, bits + 1), (first, bits + 1)]
+        else:
+            leaves.append((first, bits))
+    depth = max(bits for _, bits in leaves)
+    return [bucket for bucket, (_, bits) in enumerate(leaves) for _ in range(1 << (depth - bits))]
+
+
+def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, Column]:
+    """The index (bucket, key, n_rows) on shared files, and the bucket of a ``key`` as an expression."""
     spark = entries.sparkSession
-    classes = (
-        entries.groupBy("key", "text_sha256", "n_norm")
-        .agg(F.count("*").alias("group_size"), F.max_by("doc_id", F.struct("n_points", (-F.col("doc_id")).alias("small"))).alias("keep_id"))
-    )
+    keys = cut(entries.groupBy("key").agg(F.count("*").alias("n_rows")))
     prefix = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
-    classes = cut(classes)
-    histogram = classes.groupBy(prefix.alias("prefix")).count().collect()  # at most 2 ** max_depth counts
+    histogram = keys.groupBy(prefix.alias("prefix")).count().collect()  # at most 2 ** max_depth counts
     directory = grow_directory({r["prefix"]: r["count"] for r in histogram}, capacity, max_depth)
     depth = (len(directory) - 1).bit_length()
     cell = F.shiftrightunsigned("key", 64 - depth).cast("int") + 1 if depth else F.lit(1)
     cells = F.split(F.lit(",".join(map(str, directory))), ",").cast("array<int>")  # folds to one literal of at most 2 ** max_depth ints
     bucket = F.element_at(cells, cell)
     path = scratch_path(spark, "exact-index")
-    placed = classes.withColumn("bucket", bucket)
+    placed = keys.withColumn("bucket", bucket)
     placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(path)
-    return spark.read.schema(placed.schema).parquet(path)
+    return spark.read.schema(placed.schema).parquet(path), bucket
+
 
+def compare_chains(docs: DataFrame, index: DataFrame, bucket: Column, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """One row per distinct text under the keys of several rows: key, text_sha256, keep_id and group_size.
 
-def compare_chains(docs: DataFrame, index: DataFrame, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(key, digest) pairs under which texts of different bytes are chained; compares the bytes."""
-    chained = index.groupBy("key").agg(F.sum("group_size").alias("n")).where("n > 1").select("key")
+    Texts are grouped by bucket, key and their normalised bytes. The row of the most code points stays.
+    """
+    chained = index.where("n_rows > 1").select("key")
     if chained.limit(broadcast_keys + 1).count() <= broadcast_keys:
         chained = F.broadcast(chained)
-    texts = docs.select(normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    distinct = texts.join(chained, "key", "left_semi").groupBy("key", "norm").agg(F.count("*").alias("n"))
-    return distinct.groupBy("key", F.sha2("norm", 256).alias("text_sha256")).agg(F.count("*").alias("texts")).where("texts > 1")
+    n_points = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    texts = docs.select(F.col(id_col).alias("doc_id"), n_points.alias("n_points"), normalised(F.col(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    best = F.struct("n_points", F.col("doc_id").isNotNull().alias("named"), (-F.col("doc_id")).alias("small"), "doc_id")
+    owned = texts.join(chained, "key", "left_semi").withColumn("bucket", bucket).groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.max(best).alias("best"))
+    return owned.select("key", F.sha2("norm", 256).alias("text_sha256"), F.col("best.doc_id").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> DataFrame:
@@ -113,9 +108,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one SHA-256 end the job: no answer is better than a merged one.
     """
     entries = cut(index_entries(docs, id_col, text_col))
-    index = build_index(entries, capacity)
-    clashes = compare_chains(docs, index, text_col).limit(1).collect()
+    index, bucket = build_index(entries, capacity)
+    classes = cut(compare_chains(docs, index, bucket, id_col, text_col))
+    clashes = classes.groupBy("key", "text_sha256").count().where("count > 1").limit(1).collect()
     if clashes:
         raise RuntimeError(f"two texts of different bytes share SHA-256 {clashes[0]['text_sha256']}")
-    classes = index.select("key", "text_sha256", "keep_id", "group_size")
-    return entries.join(classes, ["key", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    least = entries.count() // HEAVY_PARTS + 1
+    heavy = F.broadcast(classes.where(F.col("group_size") >= least).select("key", "text_sha256", F.col("keep_id").alias("heavy_id"), F.col("group_size").alias("heavy_size")))
+    some = entries.join(heavy, ["key", "text_sha256"], "left")
+    done = some.where("heavy_size is not null").select("doc_id", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size"), "text_sha256")
+    rest = some.where("heavy_size is null").join(classes.where(F.col("group_size") < least), ["key", "text_sha256"], "left")
+    alone = F.col("group_size").isNull()
+    rest = rest.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
+    return done.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
