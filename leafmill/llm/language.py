@@ -5,21 +5,24 @@ that were seen to write words in that script. Each word is scored per language b
 inside the word (with its ends marked), and Viterbi with a switching penalty labels every word, so spans
 of mixed-language text come out with their ends. The predicted language holds most words of the path.
 
-Counts for the model come from at most ``max_training_rows`` labelled rows (chosen by a hash of the id);
-the model has ``languages x 2 ** bits`` numbers, at most ``max_languages`` languages.
-
-Cases: ``und`` with score 0 for a null text, a text without a letter, and all texts when nothing could be
-learnt; rows of a null language teach nothing; repeated rows are predicted row by row; ties go to the
-language first in order; very long texts are hashed in slices and keep a byte per word and language.
+Counts for the model come from at most ``max_training_rows`` labelled rows (chosen by a hash of the id), so it
+has no more languages than that. It has ``4 * 2 ** bits`` numbers a language and ``MAX_NUMBERS`` in all: from 33
+languages on, the buckets of each are halved as their number doubles.
+
+Cases: ``und`` with score 0 for a null text, a text without a letter (Unicode category L; ``½`` is none), and
+all texts when nothing could be learnt; rows of a null language teach nothing; repeated rows are predicted row
+by row; ties go to the language first in order; an empty table gives an empty result; columns other than the
+three used are ignored, whatever their names; very long texts are hashed in slices and keep a byte per word and
+language.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,9 @@ SCRIPT_RANGES = (
 )
 SCRIPTS = ["none", "latin", "other", *dict.fromkeys(s for _, _, s in SCRIPT_RANGES if s != "latin")]
 ORDERS = (1, 2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Numbers in a model; with more languages each gets fewer buckets, so that no language is left out.
+MAX_NUMBERS = 1 << 23
 _CHUNK_CHARS = 6 << 20
 
 
@@ -46,7 +51,6 @@ class LanguageSettings:
     switch_penalty: float = 9.0
     script_share: float = 0.002
     max_training_rows: int = 20_000
-    max_languages: int = 256
 
 
 @dataclass(frozen=True)
@@ -167,11 +171,11 @@ def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), id_c
     if total > settings.max_training_rows:
         share = settings.max_training_rows / total
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * share))
+    n_languages = rows.select("lang").distinct().count()
+    settings = replace(settings, bits=min(settings.bits, max(1, int(np.log2(MAX_NUMBERS / len(ORDERS) / max(1, n_languages))))))
     counted = rows.select("lang", "text").mapInArrow(in_slices(_count_batches(settings.bits), 4096), "lang string, bucket long, n long")
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_NUMBERS counts
     languages = tuple(sorted(sums["lang"].unique()))
-    if len(languages) > settings.max_languages:
-        raise ValueError(f"{len(languages)} languages; max_languages is {settings.max_languages}")
     table = np.zeros((len(ORDERS) << settings.bits, len(languages)), dtype=np.float64)
     scripts = np.zeros((len(SCRIPTS), len(languages)))
     column = sums["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(np.int64)
@@ -241,6 +245,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     sent = spark.sparkContext.broadcast(model)
 
     def one_chunk(texts: list[str | None], model: LanguageModel):
+        if not model.languages:
+            yield from (("und", 0.0, "") for _ in texts)
+            return
         words = Words(texts)
         scores, script = word_scores(words, model)
         path = viterbi(scores, words.place, words.offsets, model.settings.switch_penalty)
@@ -248,7 +255,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         n_langs = len(model.languages)
         for k, text in enumerate(texts):
             a, b = words.offsets[k], words.offsets[k + 1]
-            if not text or a == b or not _LETTER.search(text) or not n_langs:
+            if not text or a == b or not _LETTER.search(text):
                 yield "und", 0.0, ""
                 continue
             own, real = path[a:b], lettered[a:b]
