@@ -1,17 +1,21 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Training runs on a bounded sample of labelled documents (``FtrlSettings.max_training_rows``), dealt to
-shards that each run FTRL with per-coordinate learning rates and L1; the shards' weights are averaged.
+shards of bounded rows and characters that each run FTRL with per-coordinate learning rates and L1; the shards'
+weights are averaged.
 L1 keeps only a few thousand non-zero weights, and never more than ``2**bits``, so the model is small
 enough to travel to every task. Scoring reads whole texts in one pass without a shuffle.
 
-Cases: a null or empty text has no features and gets the score of the bias; with no labelled rows
-(or only one class) the model is that class's smoothed rate; repeated rows are scored row by row;
-columns of the input other than the id and the text are left alone.
+Cases: a null or empty text has no features and gets the score of the bias; without labelled rows every score
+is that of the bias ``UNTAUGHT_BIAS`` (0.119); labels of one class alone drive the bias to it, and nearly all
+scores with it; of several labels of one id the toxic one counts; a null label or id teaches nothing; repeated
+rows are scored row by row; an empty table gives an empty result; very long texts are hashed in slices; columns
+other than the id and the text are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +28,7 @@ from leafmill.llm.session import in_slices, ship_package
 from leafmill.llm.wordhash import hash_words, mix
 
 _CHUNK_BYTES = 1 << 20
+UNTAUGHT_BIAS = -2.0
 _SALTS = {name: np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)) for k, name in enumerate(("word", "pair", "skip1", "skip2"), 1)}
 
 
@@ -39,6 +44,7 @@ class FtrlSettings:
     epochs: int = 4
     max_training_rows: int = 40_000
     rows_per_shard: int = 20_000
+    chars_per_shard: int = 100_000_000
 
 
 @dataclass(frozen=True)
@@ -145,12 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = FtrlSetti
         .orderBy("order", "id").limit(settings.max_training_rows)
     )
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    shards = max(1, round(min(settings.max_training_rows, picked.count()) / settings.rows_per_shard))
-    rows = sample.select((F.pmod("order", F.lit(shards))).cast("int").alias("shard"), "order", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "text")
+    n_rows, n_chars = sample.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(1, round(n_rows / settings.rows_per_shard), math.ceil(n_chars / settings.chars_per_shard))
+    rows = sample.select(F.pmod("order", F.lit(shards)).cast("int").alias("shard"), "order", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "text")
     features = rows.mapInArrow(in_slices(_distinct_features(settings.bits)), "shard int, order long, label double, features binary")
     fitted = features.groupBy("shard").applyInArrow(_ftrl(settings), "feature long, weight double")
     mean = fitted.groupBy("feature").agg((F.sum("weight") / F.lit(shards)).alias("weight")).toPandas().sort_values("feature")
-    bias = float(mean.loc[mean["feature"] == 1 << settings.bits, "weight"].sum()) if len(mean) else -2.0
+    bias = float(mean.loc[mean["feature"] == 1 << settings.bits, "weight"].sum()) if len(mean) else UNTAUGHT_BIAS
     mean = mean[mean["feature"] < 1 << settings.bits]
     return ToxicityModel(settings.bits, mean["feature"].to_numpy(np.int64), mean["weight"].to_numpy(np.float32), bias)
 
