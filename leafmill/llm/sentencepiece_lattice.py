@@ -17,7 +17,7 @@ would have been merged while both of its halves stood alone. That is decided by
 along the border are made and used up (``spines``), so the same fold gives the exact merges.
 
 Words are cut further between characters that stand side by side in no piece. The most frequent of these parts (at
-most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 80 MB in any case) are encoded first and sent to all
+most ``HOT_WORDS`` of at most ``HOT_CHARS`` characters, under 50 MB in any case) are encoded first and sent to all
 tasks; which parts these are changes no result. A task then writes each text as part numbers and sends on the
 other parts with it, by row. The shuffle by row is the only one over the corpus: lattice, fold and assembly of a
 row happen where the row is.
@@ -45,11 +45,11 @@ from pyspark.sql import functions as F
 from leafmill.llm.session import cut, in_slices, ship_package
 
 SPACE = "▁"
-HOT_WORDS = 400_000
+HOT_WORDS = 250_000
 HOT_CHARS = 24
 #: End positions of a block of a long word; edges of a slice of the fold; distinct words that a task holds at once.
 BLOCK, SLICE = 64, 512
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 150_000
 #: Characters that stand alone in many vocabularies; those that do in a given one cut words too.
 LONERS = "\n\t\r0123456789"
 NEVER = 2**31 - 1
@@ -413,7 +413,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
 
         def parts(word: str) -> list[str]:
             if word not in known:
-                if len(known) > COUNTED_WORDS:
+                if len(known) > COUNTED_WORDS // 4:
                     known.clear()
                 known[word] = splitter.parts(word)
             return known[word]
