@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +13,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, materialised in the folder that the session names in ``spark.checkpoint.dir``, without its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))  # one machine: any folder is shared
     return df.checkpoint()
 
 
