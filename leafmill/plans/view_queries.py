@@ -223,3 +223,34 @@ def text_payload(spark, sf_dir):
     name = F.get(F.map_keys(input_keys(F.create_map(F.concat("event_type", F.lit(" name")), F.lit("1")))), F.lit(0))
     rows = _table(spark, sf_dir, "events").select("event_id", views.payload_variables(payload).alias("v"), name.alias("variable"))
     return rows.select("event_id", "v.branch", "v.files", "variable")
+
+
+@_query(r"""
+    SELECT doc_id, regexp_replace(lower(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(head), '&+', ' and ', 'g'), '[/,:()]+', ' ', 'g'), '[^\P{P}._]', ' ', 'g')), '\s+', '-', 'g')), '[#*+~()''"!:@]', '', 'g') AS slug
+    FROM (SELECT doc_id, replace(replace(replace(replace(replace(replace(substr(coalesce(text, ''), 1, 60), 'ß', 'ss'), '$', 'dollar'), '%', 'percent'), '|', 'or'), '<', 'less'), '>', 'greater') AS head FROM documents)
+""")
+def name_slug_unicode(spark, sf_dir):
+    from leafmill.functions.unicode import slug_unicode
+
+    head = F.substring(F.coalesce("text", F.lit("")), 1, 60)
+    return _table(spark, sf_dir, "documents").select("doc_id", slug_unicode(head).alias("slug"))
+
+
+@_query("SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_type = 'view'")
+def event_find(spark, sf_dir):
+    return _table(spark, sf_dir, "events").where((F.col("user_id") == 7) & (F.col("event_type") == "view")).select("event_id", "event_type")
+
+
+@_query("SELECT event_id FROM (SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 25)")
+def event_second_page(spark, sf_dir):
+    """Without bounds a descending page ends now; here now is given."""
+    from leafmill.operators.events import log_page
+
+    return log_page(_table(spark, sf_dir, "events"), ("ts", "event_id"), F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"), True, 25, 50).select("event_id")
+
+
+@_query(f"WITH {_LINKS} SELECT source, string_agg(target, ' ' ORDER BY first) AS targets FROM (SELECT source, target, min(position) AS first FROM links GROUP BY source, target) GROUP BY source")
+def link_distinct(spark, sf_dir):
+    """The distinct links of each document, in the order of their first place."""
+    first = _links(spark, sf_dir).groupBy("source", "target").agg(F.min("position").alias("first"))
+    return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "target"))), lambda x: x["target"]), " ").alias("targets"))

@@ -112,3 +112,8 @@ def scan_directory(files: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
     document = F.col("real_name").endswith(".md")
     kind = F.when(F.col("is_dir"), "directory").when(document, F.coalesce(document_kind(header), F.lit("binary"))).when(F.col("real_name").endswith(".svg"), "drawing").otherwise("binary")
     return rows.select("real_name", kind.alias("kind"), F.when(document & ~F.col("is_dir"), F.coalesce(header_field(header, "id"), F.lit("TO_FILL"))).otherwise("TO_FILL").alias("id"))
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and modified of the files under a folder; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

@@ -216,3 +216,16 @@ def test_git_diff_order_and_statuses(spark):
     assert [r["path"] for r in paths.orderBy(*git.diff_order(F.col("path"))).collect()] == ["a.md", "a.assets/1.png", "b.md", "c.txt"]
     lines = spark.createDataFrame([("x", ' M "a b.md"'), ("x", "?? new.md"), ("x", " D gone.md"), ("x", "")], "doc string, line string")
     assert {(r["path"], r["state"]) for r in git.short_status(lines).collect()} >= {("new.md", "N"), ("gone.md", "D")}
+
+
+@pytest.mark.parametrize(("name", "locale", "want"), [("Größe & Maß", None, "grosse-and-mass"), ("Größe", "de", "groesse"), ("Łódź: café", None, "lodz-cafe"), ("日本 ガ", None, "日本-ガ"), (None, None, None)])
+def test_slug_of_other_letters(spark, name, locale, want):
+    from leafmill.functions.unicode import slug_unicode
+
+    found = value(spark, slug_unicode(F.lit(name).cast("string"), locale))
+    assert found == (want.replace("ガ", "カ") if want else None)
+
+
+def test_file_metadata(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("12345")
+    assert [r["size"] for r in sources.read_metadata(spark, str(tmp_path)).collect()] == [5]
