@@ -6,6 +6,11 @@ doc_id cannot be named as copies and stay.
 
 Where one doc_id stands on several texts, each text is judged on its own: exact and near copies drop rows by
 id and text. Of rows that repeat both id and text, one stays. The rows that stay keep their doc_id.
+
+Cases: null and empty texts are equal texts to exact dedup, and clean, unlike any other and without secrets to the
+other stages; very long texts are read whole; an empty table gives empty tables; extra columns, whatever their names,
+go through all stages but the last. Ties: of equal texts the one of most code points stays, then of the smallest id;
+of near copies the smallest id.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from leafmill.llm.exact_dedup import exact_dedup
 from leafmill.llm.minhash import near_duplicates
 from leafmill.llm.packing import pack_examples
 from leafmill.llm.secrets import redact_secrets
-from leafmill.llm.session import cut, held_out, scratch_path
+from leafmill.llm.session import cut, drop_scratch, held_out, scratch_path
 from leafmill.llm.toxicity import drop_toxic, train
 
 
@@ -52,7 +57,7 @@ def _without_copies(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFra
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3; learnt from the labels of documents that are not held out."""
+    """Documents that score below 0.3; learnt from the labels of documents that are not held out. Nulls score as empty texts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, train(docs.where(~held_out()), labels.where(~held_out())))
 
@@ -68,7 +73,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that look live replaced in their texts."""
+    """All documents, with the secrets that look live replaced in their texts. Null texts stay null."""
     return redact_secrets(docs)
 
 
@@ -86,10 +91,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each stage's rows written to the shared folder and read again.
+
+    A table goes when the next one is written; the last stays, as the result reads it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            drop_scratch(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import cut, scratch_path
+from leafmill.llm.session import cut, drop_scratch, scratch_path
 
 BUCKET_CAPACITY = 100_000
 MAX_DEPTH = 16
@@ -68,8 +68,8 @@ def grow_directory(prefix_counts: dict[int, int], capacity: int = BUCKET_CAPACIT
     return [bucket for bucket, (_, bits) in enumerate(leaves) for _ in range(1 << (depth - bits))]
 
 
-def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, Column]:
-    """The index (bucket, key, n_rows) on shared files, and the bucket of a ``key`` as an expression."""
+def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, Column, str]:
+    """The index (bucket, key, n_rows) on shared files, the bucket of a ``key`` as an expression, and the files' path."""
     spark = entries.sparkSession
     keys = cut(entries.groupBy("key").agg(F.count("*").alias("n_rows")))
     prefix = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
@@ -82,7 +82,7 @@ def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth:
     path = scratch_path(spark, "exact-index")
     placed = keys.withColumn("bucket", bucket)
     placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.parquet(path)
-    return spark.read.schema(placed.schema).parquet(path), bucket
+    return spark.read.schema(placed.schema).parquet(path), bucket, path
 
 
 def compare_chains(docs: DataFrame, index: DataFrame, bucket: Column, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -108,8 +108,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one SHA-256 end the job: no answer is better than a merged one.
     """
     entries = cut(index_entries(docs, id_col, text_col))
-    index, bucket = build_index(entries, capacity)
+    index, bucket, path = build_index(entries, capacity)
     classes = cut(compare_chains(docs, index, bucket, id_col, text_col))
+    drop_scratch(docs.sparkSession, path)
     clashes = classes.groupBy("key", "text_sha256").count().where("count > 1").limit(1).collect()
     if clashes:
         raise RuntimeError(f"two texts of different bytes share SHA-256 {clashes[0]['text_sha256']}")

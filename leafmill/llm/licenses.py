@@ -9,7 +9,8 @@ Words are runs of characters outside the ASCII ranges ``[\\x00-\\x2F\\x3A-\\x60\
 lower-cased, so every non-ASCII character belongs to a word.
 
 Cases: null text counts as empty (no words, no labels, score 0); repeated rows are scanned row by row;
-equal intervals of equal priority keep the rule that stands first; texts of any length are read whole.
+equal intervals of equal priority keep the rule that stands first; texts of any length are read whole; an empty
+table gives an empty result; columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Ids are those of ``tokenizers`` with byte_bpe_50k.json, made by tiktoken from th
 <|endoftext|> in a text is one id, as there.
 
 Cases: null and empty texts have the single end-of-text id; very long texts are cut into many pieces;
-rows with a repeated id are packed row by row; columns other than the used ones are ignored.
+rows with a repeated or null id are packed row by row; of pieces that point alike the first in the group is taken;
+an empty table gives an empty result; columns other than the used ones are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ HELD_OUT_REMAINDER = 2
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) is a local one made and set.
+    Only where the session names none and all runs on one machine (tests, a laptop) is a local one made and set.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if named is None and context.getCheckpointDir() is None and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if named is None:
         named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="leafmill-checkpoint-")
     if context.getCheckpointDir() is None:
@@ -36,6 +39,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing will read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver process was started."""
     import os

@@ -12,8 +12,9 @@ judged URLs that took no part in the counts (a quarter of them, by hash of the U
 
 Cases: a null URL or one without ``://`` has an empty host and path and no rule, and its text (null:
 empty) is scored; a URL with an empty path fits no rule whose path is ``/``; without accepted or without
-rejected examples every score is 0 and the verdict is allow; repeated rows are judged row by row;
-columns other than the id and the URL are ignored.
+rejected examples every score is 0 and the verdict is allow; repeated rows are judged row by row; of rules of
+one length the later in the list wins; an empty table gives an empty result; URLs of any length are read whole;
+columns other than the id and the URL are ignored, whatever their names.
 """
 
 from __future__ import annotations
