@@ -204,7 +204,8 @@ def embedding_near_duplicates(vectors: DataFrame, settings: PStableSettings = PS
     found = cut(full.select(*columns).mapInArrow(_compare_cells(settings), "node long, links long, label long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("label <> node").select(F.col("node").alias("u"), F.col("label").alias("v")))
-    first = components.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    # written first, as a join with an aggregate's own output could not be split for a component of many nodes
+    first = cut(components.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id")))
     named = components.join(first, "component").select("node", "component_id")
     known = classes.join(links, "node", "left").join(named, "node", "left")
     known = known.select("vector", "size", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")).where("n_links > 0")
