@@ -20,19 +20,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running_sum(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: Column, name: str) -> DataFrame:
-    """The rows with ``name``: the sum of ``value`` over the rows of the group up to the row, itself included.
+def running_sums(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], values: dict[str, Column]) -> DataFrame:
+    """The rows with one more column per value: its sum over the rows of the group up to the row, itself included.
 
     Rows are dealt by ranges of (keys, order) and summed inside their range; what earlier ranges of the group hold
     is added from a table of one row per group and range. So a group is spread over as many tasks as its size
     asks for. The order must be unique inside a group. Nulls among keys and order count as values.
     """
-    dealt = cut(df.withColumn("__value", value).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
-    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__value").alias("__sum"))
+    number = {name: f"__value{i}" for i, name in enumerate(values)}
+    dealt = cut(df.select("*", *[values[n].alias(c) for n, c in number.items()]).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "__part").agg(*[F.sum(c).alias(c) for c in number.values()])
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inside = F.sum("__value").over(Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    offsets = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before{c}") for c in number.values()])
+    upto = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return dealt.withColumn("__inside", inside).join(offsets, same).select(*df.columns, (F.col("__inside") + F.col("__offset")).alias(name))
+    inside = dealt.select("*", *[F.sum(c).over(upto).alias(f"__inside{c}") for c in number.values()])
+    return inside.join(offsets, same).select(*df.columns, *[(F.col(f"__inside{c}") + F.col(f"__before{c}")).alias(n) for n, c in number.items()])
+
+
+def running_sum(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: Column, name: str) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, keys, order, {name: value})
