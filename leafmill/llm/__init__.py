@@ -1 +1 @@
-"""Operators for building training corpora (ten numbered operators and their queries)."""
+"""Operators for building training corpora (thirteen numbered operators and their queries)."""

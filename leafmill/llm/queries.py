@@ -83,6 +83,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.bit_sliced import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.prefix_trie import rebuilt_conversation_trie
+
+    return rebuilt_conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.suffix_trees import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -94,8 +112,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
+
 def _secrets_sql() -> str:
     """The secret scan as SQL: matches and gaps by kind, running sums, ownership counts, spans.
 
@@ -149,4 +171,67 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), totals AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+        ), tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL
+        ), w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, n_docs
+        ), i AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), scored AS (
+            SELECT i.item_id, d.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(terms) * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM i JOIN tf USING (term) JOIN w USING (term) JOIN d USING (r), totals GROUP BY i.item_id, d.r, d.doc_id
+        ), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
+    "op12_prefix_trie": r"""
+        WITH base AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos FROM base
+        ), convs AS (
+            SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS family,
+                   xor(4294967295, list_reduce(list_prepend(4294967295, range(8 * length(CAST(conv_id AS VARCHAR)))),
+                       lambda crc, j: xor(xor(crc, if(j % 8 = 0, ascii(substr(CAST(conv_id AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)), 0)) >> 1,
+                           3988292384 * (xor(crc, if(j % 8 = 0, ascii(substr(CAST(conv_id AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)), 0)) & 1)))) % 9 AS h
+            FROM base GROUP BY conv_id
+        ), plan AS (
+            SELECT c.conv_id, c.n, c.h, c.family, least(c.h, coalesce(f.n, 0)) AS lent FROM convs c LEFT JOIN convs f ON f.conv_id = c.family
+        ), turns AS (
+            SELECT p.conv_id, t.pos, t.digest, t.text FROM plan p JOIN placed t ON t.conv_id = p.family AND t.pos < p.lent
+            UNION ALL
+            SELECT p.conv_id, t.pos - p.h + p.lent, t.digest, t.text FROM plan p JOIN placed t ON t.conv_id = p.conv_id AND t.pos >= p.h
+        ), prefixes AS (
+            SELECT conv_id, 0 AS depth, '' AS path, 0 AS n_bytes FROM convs
+            UNION ALL
+            SELECT conv_id, pos + 1, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos), strlen(text) FROM turns
+        ), lengths AS (SELECT conv_id, max(depth) AS length FROM prefixes GROUP BY conv_id
+        ), nodes AS (
+            SELECT r.path, any_value(depth) AS depth, min(r.conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+                   sha256(coalesce(string_agg(CAST(r.conv_id AS VARCHAR), ',' ORDER BY r.conv_id) FILTER (r.depth = l.length), '')) AS ends_sha256
+            FROM prefixes r JOIN lengths l USING (conv_id) GROUP BY r.path
+        ), children AS (SELECT p.path, count(c.path) AS n_children FROM nodes p LEFT JOIN nodes c ON c.depth = p.depth + 1 AND c.path[:64 * p.depth] = p.path GROUP BY p.path
+        ), below AS (
+            SELECT a.path, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n_bytes) AS saved_tokens
+            FROM nodes a JOIN nodes b ON starts_with(b.path, a.path) JOIN children k ON k.path = b.path GROUP BY a.path
+        )
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, k.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN children k USING (path) JOIN below b USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:64 * (n.depth - 1)]
+    """,
+    "op13_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ), windows AS (SELECT r, doc_id, start, array_to_string(words[start + 1:start + 20], ' ') AS window_words FROM (SELECT *, unnest(range(len(words) - 19)) AS start FROM d WHERE len(words) >= 20)
+        ), firsts AS (SELECT window_words, min({'d': doc_id, 's': start}) AS first FROM windows GROUP BY window_words
+        ), gone AS (
+            SELECT r, list(DISTINCT start + k ORDER BY start + k) AS places FROM windows JOIN firsts USING (window_words), range(1, 21) AS t(k)
+            WHERE {'d': doc_id, 's': start} > first GROUP BY r
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_where(words, list_transform(range(1, len(words) + 1), lambda i: NOT list_contains(coalesce(places, []), i))), ' ')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (r)
+    """,
 }

@@ -45,6 +45,27 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables of a loop in the shared folder. Unlike a checkpoint, a table's size is known to the planner by its files,
+    not as a product of the sizes of all joins before it, whose digits double in each round."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df``, written and to be read again."""
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path, table
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for table in tables:
+            drop_scratch(self.spark, self.paths.pop(id(table))[0])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver process was started."""
     import os
