@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import path_parts
-from leafmill.operators.running import cut
+from leafmill.operators.running import Rounds, cut, running_sum
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
@@ -69,6 +69,68 @@ def find_by_path(nodes: DataFrame, path: str) -> DataFrame:
     return tree_paths(nodes).where(F.col("path") == path)
 
 
+def tour(nodes: DataFrame, order: tuple[str, ...] = ("name",)) -> DataFrame:
+    """id, parent, place, pre, last and depth of every node that a root reaches: its depth-first numbers.
+
+    Siblings are visited in ``order``, then by id; ``place`` counts them from 1. ``pre`` counts nodes from 0 in the
+    order of entering them and ``last`` is the greatest number below, so a subtree is ``pre between a.pre and a.last``.
+
+    Each node is entered and left once, and each such step of the Euler tour knows the next: the first child or its
+    own leaving, then the next sibling or the parent's leaving. Ranks on this list come from pointer doubling: a
+    round joins every step with the one it points to, and each is pointed to once, so no key is frequent whatever
+    the shape of the tree; rounds grow with the logarithm of the number of nodes. Steps that never end, on cycles
+    and below parents that are no nodes, have no row. Hot parents are ordered by running sums over ranges.
+    """
+    spark = nodes.sparkSession
+    rounds = Rounds(spark, "tour")
+    placed = rounds.put(running_sum(nodes.select("id", "parent", *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]), ("parent",), (*[f"__o{i}" for i in range(len(order))], "id"), F.lit(1).cast("long"), "place").select("id", "parent", "place"))
+    first = placed.where("place = 1 and parent is not null").select(F.col("parent").alias("id"), F.col("id").alias("child"))
+    sibling = placed.select(F.col("parent").alias("__parent"), (F.col("place") - 1).alias("__place"), F.col("id").alias("sibling"))
+    enter = placed.join(first, "id", "left").select("id", F.lit(False).alias("out"), F.coalesce("child", "id").alias("to"), F.col("child").isNull().alias("to_out"))
+    following = placed.join(sibling, F.col("parent").eqNullSafe(F.col("__parent")) & (F.col("place") == F.col("__place")), "left")
+    leave = following.select("id", F.lit(True).alias("out"), F.coalesce("sibling", "parent").alias("to"), F.col("sibling").isNull().alias("to_out"))
+    steps = rounds.put(enter.unionByName(leave).select("*", (~F.col("out")).cast("long").alias("entered"), F.col("out").cast("long").alias("left")))
+    for _ in range(math.ceil(math.log2(2 * placed.count() + 1)) + 1):
+        ahead = steps.where("to is not null")
+        if ahead.isEmpty():
+            break
+        target = steps.select(F.col("id").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("__to"), F.col("to_out").alias("__to_out"), F.col("entered").alias("__entered"), F.col("left").alias("__left"))
+        moved = ahead.join(target, ["to", "to_out"]).select("id", "out", F.col("__to").alias("to"), F.col("__to_out").alias("to_out"), (F.col("entered") + F.col("__entered")).alias("entered"), (F.col("left") + F.col("__left")).alias("left"))
+        moved = rounds.put(steps.where("to is null").unionByName(moved))
+        rounds.drop(steps)
+        steps = moved
+    ranks = steps.where("to is null")
+    total = F.broadcast(ranks.where("not out").agg(F.count("*").alias("__n")))  # one row
+    both = ranks.groupBy("id").agg(F.max(F.when(~F.col("out"), F.col("entered"))).alias("__from"), F.max(F.when(~F.col("out"), F.col("left"))).alias("__open"), F.max(F.when(F.col("out"), F.col("entered"))).alias("__to"))
+    numbers = both.crossJoin(total).select("id", (F.col("__n") - F.col("__from")).alias("pre"), (F.col("__n") - F.col("__to") - 1).alias("last"), (F.col("__open") - F.col("__from")).alias("depth"))
+    return numbers.join(placed, "id").select("id", "parent", "place", "pre", "last", "depth")
+
+
+def visits(walk: DataFrame) -> DataFrame:
+    """A tour with ``visit``, from 0: all children of a folder are looked at in order, before what is below the first.
+
+    Folders are opened in the order of the tour, so a node's turn follows from its parent's number and its place.
+    """
+    opened = walk.join(walk.select(F.col("id").alias("parent"), F.col("pre").alias("__opened")), "parent", "left")
+    rows = opened.select(*walk.columns, F.coalesce("__opened", F.lit(-1)).alias("__opened"))
+    return running_sum(rows, (), ("__opened", "place"), F.lit(1).cast("long"), "__visit").select(*walk.columns, (F.col("__visit") - 1).alias("visit"))
+
+
+def find_first(walk: DataFrame, found: DataFrame, wanted: str) -> DataFrame:
+    """``wanted`` and id: of the nodes that fit each wanted value (``found`` has it and id), the one that is looked at
+    first, siblings before what is below them."""
+    opened = walk.select(F.col("id").alias("parent"), F.col("pre").alias("__opened"))
+    turn = F.struct(F.coalesce("__opened", F.lit(-1)), "place")
+    rows = found.select(wanted, "id").join(walk.select("id", "parent", "place"), "id").join(opened, "parent", "left")
+    return rows.groupBy(wanted).agg(F.min_by("id", turn).alias("id"))
+
+
+def below(walk: DataFrame, id_: str) -> DataFrame:
+    """The rows of a tour in the subtree of a node, itself included."""
+    top = F.broadcast(walk.where(F.col("id") == id_).select(F.col("pre").alias("__from"), F.col("last").alias("__to")))  # one row
+    return walk.join(top, F.col("pre").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
+
+
 def contents(nodes: DataFrame) -> DataFrame:
     """path and line: a bullet per node, three spaces per level; order by path to read them."""
     return tree_paths(nodes).select("path", F.concat(F.repeat(F.lit("   "), F.col("depth").cast("int")), F.lit("* "), F.substring_index("path", "/", -1)).alias("line"))
