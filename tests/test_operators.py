@@ -11,7 +11,7 @@ from leafmill.operators import links, naming, search, snapshots, trees
 from leafmill.sinks import files as sinks
 from leafmill.sources import files as sources
 from leafmill.sources import git
-from leafmill.streaming.changes import latest_changes, read_changes, read_latest, start_latest
+from leafmill.streaming.changes import ChangeState, latest_changes, read_changes, read_latest, start_latest
 
 
 def value(spark, column):
@@ -63,7 +63,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = spark.range(200).select((F.col("id") % 7).alias("k"), F.col("id").alias("seq"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     start_latest(read_changes(spark, str(tmp_path / "in"), rows.schema), "k", ("seq",), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    found = read_latest(spark, str(tmp_path / "out"), 3).select("k", "v")
+    found = read_latest(spark, str(tmp_path / "out")).select("k", "v")
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in latest_changes(rows, "k", ("seq",), ("v",)).collect()}
 
 
@@ -72,8 +72,60 @@ def test_stream_prunes_what_the_tree_holds(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     tree = spark.createDataFrame([(1, 5), (2, 4)], "k long, version long")
     start_latest(read_changes(spark, str(tmp_path / "in"), rows.schema), "k", ("version",), str(tmp_path / "out"), str(tmp_path / "ck"), tree, "version").awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out") + "/state-*")
-    assert {r["k"] for r in found.collect()} == {2, 4}
+    assert {r["k"] for r in read_latest(spark, str(tmp_path / "out")).collect()} == {2, 4}
+
+
+def folder_rows(spark, path, kind):
+    return sum(spark.read.parquet(str(p)).count() for p in path.glob(f"{kind}-*"))
+
+
+def test_change_state_writes_what_a_batch_touches(spark, tmp_path):
+    """1,000 keys, then batches of 10: each is written as 10 rows, buckets rarely again; a batch that comes again changes nothing."""
+    schema = "k long, seq long, v string"
+    state = ChangeState(spark, str(tmp_path / "s"), "k", ("seq",), spark.createDataFrame([], schema).schema, n_buckets=4)
+    state.merge(spark.range(1000).selectExpr("id as k", "0L as seq", "'first' as v"), 0)
+    assert folder_rows(spark, tmp_path / "s", "base") == 1000
+    for batch in (1, 2):
+        state.merge(spark.range(10).selectExpr("id * 7 as k", f"{batch}L as seq", f"'b{batch}' as v"), batch)
+        assert spark.read.parquet(str(tmp_path / "s" / f"delta-{batch:010d}")).count() == 10 and not (tmp_path / "s" / f"base-{batch:010d}").exists()
+    before = sorted(map(tuple, state.read().collect()))
+    state.merge(spark.range(10).selectExpr("id as k", "9L as seq", "'again' as v"), 2)
+    assert state.version() == 2 and sorted(map(tuple, state.read().collect())) == before
+    assert len(before) == 1000 and {r[0] for r in before if r[2] == "b2"} == {k * 7 for k in range(10)}
+    state.merge(spark.createDataFrame([(5, -1, "late"), (None, 3, "null key"), (2000, 1, "new"), (2000, 2, "newer")], schema), 3)
+    found = {r["k"]: r["v"] for r in ChangeState.open(spark, str(tmp_path / "s")).read().collect()}
+    assert found[5] == "first" and found[None] == "null key" and found[2000] == "newer" and len(found) == 1002
+    state.merge(spark.range(600).selectExpr("id as k", "10L as seq", "'more' as v"), 4)
+    state.merge(spark.range(600).selectExpr("id as k", "11L as seq", "'most' as v"), 5)
+    assert {r["k"]: r["v"] for r in state.read().collect()} == found | {k: "most" for k in range(600)}
+    assert (tmp_path / "s" / "base-0000000005").exists() and not (tmp_path / "s" / "delta-0000000001").exists()
+
+
+def test_change_state_after_a_cut_off_batch_and_pruning(spark, tmp_path):
+    schema = "k long, version long, trashed boolean"
+    state = ChangeState(spark, str(tmp_path / "s"), "k", ("version",), spark.createDataFrame([], schema).schema, n_buckets=3)
+    state.merge(spark.createDataFrame([(k, 5, False) for k in range(20)], schema), 0)
+    spark.createDataFrame([(1, 9, False, False, 0)], f"{schema}, __gone boolean, __bucket int").write.partitionBy("__bucket").parquet(str(tmp_path / "s" / "delta-0000000001"))  # no manifest
+    assert {r["version"] for r in state.read().collect()} == {5}
+    state.merge(spark.createDataFrame([(1, 6, False)], schema), 1)
+    assert {r["k"]: r["version"] for r in state.read().collect()} == {k: 6 if k == 1 else 5 for k in range(20)}
+    state.prune(spark.createDataFrame([(1, 5), (2, 5), (3, 7)], "k long, version long"), "version")
+    assert {r["k"] for r in state.read().collect()} == set(range(20)) - {2, 3}
+    state.merge(spark.createDataFrame([(2, 8, False)], schema), 2)
+    assert {r["k"] for r in state.read().collect()} == set(range(20)) - {3}
+    assert state.read(state.version() - 1).count() == 18
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    first = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("seq"))
+    first.repartition(2).write.parquet(str(tmp_path / "in"))
+    run = lambda: start_latest(read_changes(spark, str(tmp_path / "in"), first.schema), "k", ("seq",), str(tmp_path / "out"), str(tmp_path / "ck"), n_buckets=4).awaitTermination()
+    run()
+    more = spark.range(100, 130).select((F.col("id") % 5).alias("k"), F.col("id").alias("seq"))
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    run()
+    assert {tuple(r) for r in read_latest(spark, str(tmp_path / "out")).collect()} == {tuple(r) for r in latest_changes(first.union(more), "k", ("seq",), ("seq",)).collect()}
 
 
 RELATIVE = [
