@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.running import running_last, running_sum
+
 
 def latest_by(log: DataFrame, key: str, order: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
     """The values of each key's last row. Aggregated before the shuffle, so a hot key costs a row per task."""
@@ -70,6 +72,41 @@ def strongest_status(changes: DataFrame, key: str, status: str, order: tuple[str
     return changes.groupBy(key).agg(F.get(F.array(*[F.lit(s) for s in order]), (best - 1).cast("int")).alias("status"), F.count("*").alias("n_rows"))
 
 
+def job_schedule(calls: DataFrame, drive: str, order: str) -> DataFrame:
+    """drive, order and outcome of the calls that schedule a job, under the rules that hold between jobs of one drive.
+
+    ``calls`` have drive, order (unique in a drive), op (schedule, start or finish), type and payload. A job is active
+    from its scheduling to its finish. A scheduled ``sync_all`` is dropped while one is active, else all waiting jobs
+    of the drive make way for it; a ``sync`` is dropped while a ``sync_all`` or a ``sync`` of its payload is active; a
+    ``run_action`` is never dropped; of other types one job is active at a time. Outcomes: ``dropped``; ``replaced`` by
+    a later sync_all while waiting; ``started`` or ``finished`` (without a start), what came next; ``waiting``.
+
+    The state of a slot (a payload of sync or run_action, another type as a whole) before a call follows from the
+    last start or finish in the slot, the last call in it, and how many times the drive's waiting jobs had made way by
+    then. These are last values and sums over ranges of (drive, order), so no task folds the history of a drive.
+    """
+    whole = F.col("type") == "sync_all"
+    rows = running_last(calls.select(drive, order, "op", "type", "payload"), (drive,), (order,), {"__all": F.when(whole, F.col("op"))})
+    free = F.col("__all").isNull() | (F.col("__all") == "finish")
+    scheduled = F.col("op") == "schedule"
+    rows = running_sum(rows.withColumn("__taken", whole & scheduled & free), (drive,), (order,), F.col("__taken").cast("long"), "__flush")
+    blocked = scheduled & F.when(whole, ~F.col("__taken")).otherwise((F.col("type") == "sync") & ~free)
+    rows = rows.withColumn("__blocked", blocked).withColumn("__slot", F.when(F.col("type").isin("sync", "run_action"), F.coalesce("payload", F.lit(""))))
+    slot, move = (drive, "type", "__slot"), F.when(~scheduled, F.struct("op", F.col("__flush").alias("flush")))
+    live = running_last(rows.where("not __blocked"), slot, (order,), {"__moved": move, "__before": F.struct("op", F.col("__flush").alias("flush"))})
+    running = F.coalesce(F.col("__moved.op") == "start", F.lit(False))
+    waits = F.coalesce((F.col("__before.op") == "schedule") & (F.col("__before.flush") == F.col("__flush")), F.lit(False))
+    live = live.withColumn("__kept", ~scheduled | whole | (F.col("type") == "run_action") | ~(running | waits))
+    back = live.withColumn("__back", -F.col(order))
+    ahead = running_last(back, slot, ("__back",), {"__next": move}).where(scheduled)
+    last = rows.groupBy(drive).agg(F.max("__flush").alias("__last_flush"))
+    in_time = whole | (F.col("__next.flush") == F.col("__flush"))
+    then = F.when(F.col("__next").isNotNull() & in_time, F.when(F.col("__next.op") == "start", "started").otherwise("finished"))
+    fate = F.coalesce(then, F.when(~whole & (F.col("__last_flush") > F.col("__flush")), F.lit("replaced")), F.lit("waiting"))
+    judged = ahead.join(last, drive).select(drive, order, F.when(F.col("__kept"), fate).otherwise("dropped").alias("outcome"))
+    return judged.unionByName(rows.where("__blocked").select(drive, order, F.lit("dropped").alias("outcome")))
+
+
 def active_dedupe(calls: DataFrame, drive: str, kind: str, payload: str, order: str, ended: str) -> DataFrame:
     """Calls that schedule a job: of calls of one drive, kind and payload, those made when no scheduled one is active.
 

@@ -98,3 +98,42 @@ def rewrite_links(links: DataFrame, paths: DataFrame, unknown: Column) -> DataFr
     named = links.join(first, "target", "left").select("source", "position", F.col("path").isNotNull().cast("long").alias("known"), F.coalesce("path", unknown).alias("link"))
     rows = F.array_sort(F.collect_list(F.struct("position", "link")))
     return named.groupBy("source").agg(F.count("*").alias("n_links"), F.sum("known").alias("n_known"), F.array_join(F.transform(rows, lambda x: x["link"]), " ").alias("links"))
+
+
+#: An invisible anchor with the blanks and line ends that go with it.
+ANCHOR = r'\n? ?<a id="([^"]*)"></a>\n?'
+#: Fixed value: a link to a place in a document.
+PLACE_LINK = r"gdoc:[A-Za-z0-9_-]+#[^'\")\s]*"
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """id, position and link (``gdoc:id#name``) of the anchors that stand in the texts of documents (id, text)."""
+    found = docs.where("id is not null").select("id", F.posexplode(F.regexp_extract_all("text", F.lit(ANCHOR), 1)).alias("position", "name"))
+    return found.select("id", "position", F.concat(F.lit(LINK_SCHEME), "id", F.lit("#"), "name").alias("link"))
+
+
+def place_links(docs: DataFrame) -> DataFrame:
+    """link: the places of documents that any text links to, each once. A place that a third of all links name costs a
+    row a task."""
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(PLACE_LINK), 0)).alias("link")).distinct()
+
+
+def unreferenced(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """The anchors to whose place nothing links."""
+    return found.join(linked.select("link"), "link", "left_anti").select("id", "position", "link")
+
+
+def sweep_anchors(docs: DataFrame, found: DataFrame, dropped: DataFrame) -> DataFrame:
+    """id, text and n_dropped of documents (id, text; ids are unique) without those of their anchors that are ``dropped``.
+
+    ``found`` are all anchors, ``dropped`` some of them. A line end beside an anchor stays as one line end; a blank
+    before it goes. The texts are joined once, with one list of marks a document as long as its anchors, and taken
+    apart and put together inside the row.
+    """
+    gone = dropped.select("id", "position", F.lit(True).alias("gone"))
+    marks = found.join(gone, ["id", "position"], "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", F.coalesce("gone", F.lit(False)).alias("gone")))).alias("__marks"))
+    rows = docs.join(marks, "id", "left")
+    parts = F.arrays_zip(F.split("text", ANCHOR).alias("gap"), F.regexp_extract_all("text", F.lit(ANCHOR), 0).alias("anchor"), F.col("__marks").alias("mark"))
+    kept = F.transform(parts, lambda x: F.concat(x["gap"], F.when(x["mark"]["gone"], F.when(F.contains(x["anchor"], F.lit("\n")), "\n").otherwise("")).otherwise(F.coalesce(x["anchor"], F.lit("")))))
+    n_dropped = F.size(F.filter("__marks", lambda m: m["gone"]))
+    return rows.select("id", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"), F.when(F.col("__marks").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"))

@@ -293,9 +293,9 @@ def link_page_closure(spark, sf_dir):
     return links.closure(graph, pages.agg(F.min("page_id").alias("node"))).select("node")
 
 
-@_query(f"{_WALK} SELECT id, path, depth FROM walk WHERE path = 'ASIA/CHINA'")
+@_query(f"{_WALK} SELECT id, path, depth FROM walk WHERE path = 'ASIA/NATION_12'")
 def tree_find_path(spark, sf_dir):
-    return trees.find_by_path(_nodes(spark, sf_dir), "ASIA/CHINA")
+    return trees.find_by_path(_nodes(spark, sf_dir), "ASIA/NATION_12")
 
 
 @_query(f"{_WALK} SELECT w.id, 'r' || r_regionkey AS top FROM walk w JOIN region ON r_name = split_part(path, '/', 1)")

@@ -120,7 +120,7 @@ def tree_root(spark, sf_dir):
 
 
 @_query("""
-    SELECT lower(r_name) || '/' || lower(replace(n_name, ' ', '-')) || '/' || s.slug AS path, CAST(2 AS BIGINT) AS depth
+    SELECT lower(replace(r_name, ' ', '-')) || '/' || lower(replace(n_name, ' ', '-')) || '/' || s.slug AS path, CAST(2 AS BIGINT) AS depth
     FROM (SELECT *, lower(trim(regexp_replace(s_name, '[^A-Za-z0-9_.]+', '-', 'g'))) AS slug FROM supplier) s JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey % 3 = 0
 """)
 def tree_upload_plan(spark, sf_dir):

@@ -21,6 +21,24 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def tree_lines(walk: DataFrame, names: DataFrame) -> DataFrame:
+    """at and value: the lines of a nested tree (an array of items with ``children``), two for each node of a tour.
+
+    ``at`` follows from the tour's numbers, so a file of any size is written by ranges of it, and no line holds a subtree.
+    """
+    item = F.to_json(F.struct("id", "name"))
+    opened = F.concat(F.when(F.col("place") > 1, ",").otherwise(""), F.expr("substring(item, 1, length(item) - 1)"), F.lit(',"children":['))
+    rows = walk.join(names.select("id", "name"), "id").withColumn("item", item)
+    both = rows.select((2 * F.col("pre") - F.col("depth")).alias("at"), opened.alias("value")).unionByName(rows.select((2 * F.col("last") + 1 - F.col("depth")).alias("at"), F.lit("]}").alias("value")))
+    ends = walk.agg((2 * F.count("*")).alias("at"), F.lit("]").alias("value")).unionByName(walk.sparkSession.createDataFrame([(-1, "[")], "at long, value string"))
+    return both.unionByName(ends)
+
+
+def write_tree(walk: DataFrame, names: DataFrame, path: str) -> None:
+    """The tree of a tour (``trees.tour``) with the nodes' names; the files, one after the other, are one JSON text."""
+    tree_lines(walk, names).repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
 def write_logs(lines: DataFrame, by_job: str, daily: str) -> None:
     """Lines with a jobId by job, all others by day."""
     lines.where("jobId is not null").withColumn("job", F.col("jobId")).write.mode("append").partitionBy("job").json(by_job)
@@ -57,11 +75,13 @@ def redirect_page(title: Column, target: Column) -> Column:
     return F.concat(front_matter({"title": title, "redirectTo": checked}), F.lit("Redirecting to "), checked, F.lit("\n"))
 
 
-def directory_map(files: DataFrame, folder: str) -> DataFrame:
-    """folder and yaml: the file map of each folder, by real name; files have real_name, id and file_name."""
+def directory_map(files: DataFrame, folder: str, folder_id: str | None = None) -> DataFrame:
+    """folder and yaml: the file map of each folder, by real name; files have real_name, id and file_name, and their
+    folder's id in the column ``folder_id``, if it is named."""
     entry = F.concat(F.lit("  "), quoted(F.col("real_name")), F.lit(":\n    id: "), quoted(F.col("id")), F.lit("\n    fileName: "), quoted(F.col("file_name")), F.lit("\n"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("real_name", entry.alias("entry")))), lambda x: x["entry"]), "")
-    return files.groupBy(folder).agg(F.concat(F.lit("type: 'directory'\nfileMap:\n"), rows).alias("yaml"))
+    own = F.coalesce(F.concat(F.lit("id: "), quoted(F.max(folder_id)), F.lit("\n")), F.lit("")) if folder_id else F.lit("")
+    return files.groupBy(folder).agg(F.concat(F.lit("type: 'directory'\n"), own, F.lit("fileMap:\n"), rows).alias("yaml"))
 
 
 def error_pages(log: DataFrame, file: str, order: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from parity import compare
 
-from leafmill.plans.view_queries import ORACLE_SQL, QUERIES
+from leafmill.plans.deep_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
