@@ -54,6 +54,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _LAST_ID = (1 << 63) - 1
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,14 +177,16 @@ def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _three_bytes(numbers: np.ndarray) -> bytes:
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _pack(numbers: np.ndarray, n_bytes: int) -> bytes:
+    """Numbers of at most ``n_bytes`` bytes, byte by byte and compressed: sorted ones are better given as differences."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n_bytes]
+    return _ZSTD.compress(np.ascontiguousarray(planes.T).tobytes(), asbytes=True)
 
 
-def _numbers(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
-    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel().astype(np.int64)
+def _unpack(data: bytes, n: int, n_bytes: int) -> np.ndarray:
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :n_bytes] = np.frombuffer(_ZSTD.decompress(data, n * n_bytes, asbytes=True), np.uint8).reshape(n_bytes, n).T
+    return wide.view("<u8").ravel()
 
 
 def _deal(extended: list[np.ndarray], n_groups: int):
@@ -218,7 +221,8 @@ def _deal(extended: list[np.ndarray], n_groups: int):
                 own = np.flatnonzero(np.bincount(np.searchsorted(used, chunk.doc[at]), minlength=len(used)))
                 sent, again = at[chunk.sent[at]], at[chunk.again[at]]
                 documents = (ids[used[own]].tobytes(), prints[used[own]].tobytes(), first[own].tobytes(), begin[own].tobytes())
-                rows.append((int(group[at[0]]), *documents, chunk.label[sent].tobytes(), _three_bytes(chunk.place[sent] - base), _three_bytes(chunk.place[again] - base)))
+                steps = np.diff(chunk.label[sent], prepend=np.uint64(0))  # sorted by label
+                rows.append((int(group[at[0]]), *documents, len(sent), _pack(steps, 8), _pack(chunk.place[sent] - base, 3), len(again), _pack(chunk.place[again] - base, 3)))
                 if len(rows) == 256:
                     yield _batch(rows)
                     rows = []
@@ -228,27 +232,27 @@ def _deal(extended: list[np.ndarray], n_groups: int):
     return run
 
 
-_DEALT = "grp long, ids binary, prints binary, firsts binary, begins binary, labels binary, places binary, again binary"
+_DEALT = "grp long, ids binary, prints binary, firsts binary, begins binary, n_sent long, labels binary, places binary, n_again long, again binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.binary()] * 7]
+    kinds = [pa.int64() if c.endswith("long") else pa.binary() for c in _DEALT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _DEALT.split(", ")])
 
 
 def repeats_of_subtree(table: pa.Table) -> pa.Table:
     """ids, prints and starts (32-bit numbers) of the suffixes of one group whose window starts earlier too."""
     ids, prints, labels, docs, starts, gone_docs, gone_starts, n = [], [], [], [], [], [], [], 0
-    for row in zip(*(table.column(c).to_pylist() for c in ("ids", "prints", "firsts", "begins", "labels", "places", "again")), strict=True):
+    for row in zip(*(table.column(c).to_pylist() for c in ("ids", "prints", "firsts", "begins", "n_sent", "labels", "places", "n_again", "again")), strict=True):
         own, own_prints, first, begin = (np.frombuffer(x, np.int64) for x in row[:4])
-        for data, to_docs, to_starts in ((row[5], docs, starts), (row[6], gone_docs, gone_starts)):
-            place = _numbers(data)
+        for size, data, to_docs, to_starts in ((row[4], row[6], docs, starts), (row[7], row[8], gone_docs, gone_starts)):
+            place = _unpack(data, size, 3).astype(np.int64)
             d = np.searchsorted(first, place, "right") - 1
             to_docs.append((d + n).astype(np.uint32))
             to_starts.append((place - first[d] + begin[d]).astype(np.uint32))
         ids.append(own)
         prints.append(own_prints)
-        labels.append(np.frombuffer(row[4], np.uint64))
+        labels.append(np.cumsum(_unpack(row[5], row[4], 8), dtype=np.uint64))
         n += len(own)
     ids, prints, labels, docs, starts = (np.concatenate(x) for x in (ids, prints, labels, docs, starts))
     order = np.argsort(labels, kind="stable")
@@ -285,12 +289,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return dealt.repartition(n_groups, "grp").groupBy("grp").applyInArrow(repeats_of_subtree, "id long, print long, starts binary")
 
 
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, id, print, text) with the text's size and the text compressed, for the shuffle."""
+    for batch in batches:
+        texts = [t.as_buffer() for t in batch.column(3)]
+        packed = [_ZSTD.compress(t, asbytes=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t.size for t in texts], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "id", "print", "size", "text"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("first", pa.int64()), ("n_words", pa.int64())]))
     for batch in batches:
         out = []
-        for doc_id, text, starts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words = (text or b"").split()
+        for doc_id, size, text, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            words = _ZSTD.decompress(text, size, asbytes=True).split()
             if not starts:
                 out.append((doc_id, len(words), 0, b" ".join(words), []))
                 continue
@@ -318,6 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("print"), "text")
     told = cut(repeated_windows(rows.select("id", "print", "text")).groupBy("id", "print").agg(F.collect_set("starts").alias("starts")))
-    whole = rows.join(told, ["id", "print"], "left").select("doc_id", "text", "starts")
+    packed = rows.mapInArrow(in_slices(_compress), "doc_id long, id long, print long, size long, text binary")
+    whole = packed.join(told, ["id", "print"], "left").select("doc_id", "size", "text", "starts")
     removed = whole.mapInArrow(in_slices(_remove), "doc_id long, n_words long, n_removed long, kept binary, repeats array<struct<first:long,n_words:long>>")
     return removed.withColumn("kept", F.col("kept").cast("string"))

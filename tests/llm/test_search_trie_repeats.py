@@ -207,5 +207,5 @@ def test_common_passage_sends_one_suffix_a_block(spark):
     text = " ".join(f"p{k}" for k in range(40)).encode()
     batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(range(3000)), pa.array([b"%d " % k + text for k in range(3000)])], names=["id", "print", "text"])
     rows = [r for b in suffix_trees._deal([__import__("numpy").zeros(0, "uint64")] * 20, 4)([batch]) for r in b.to_pylist()]
-    assert sum(len(r["labels"]) // 8 for r in rows) == 3000 + 21  # one window a document is its own
-    assert sum(len(r["again"]) // 3 for r in rows) == 2999 * 21
+    assert sum(r["n_sent"] for r in rows) == 3000 + 21  # one window a document is its own
+    assert sum(r["n_again"] for r in rows) == 2999 * 21
