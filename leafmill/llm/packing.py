@@ -8,7 +8,9 @@ fits but room is left, a piece is cut to fill the room exactly, as examples may
 
 Packing is local to a task's rows, in groups of bounded size, so it needs no shuffle and no task sees
 more than its own partition. What a partition's last groups leave over is closed at powers of two, where
-sequences need no padding; all other sequences are full unless a limit on segments or loss closes them.
+sequences need no padding; all other sequences are full unless a limit on segments or loss closes them. A limit on
+segments pads where examples are short: with ``segments`` pieces of a few tokens each a sequence holds no more.
+``PLAIN`` has none of its own (as many segments as tokens), for data where segments are not masked apart.
 
 Ids are those of ``tokenizers`` with byte_bpe_50k.json, made by tiktoken from the same ranks; the added token
 <|endoftext|> in a text is one id, as there.
@@ -36,8 +38,8 @@ from leafmill.llm.session import in_slices, ship_package
 PRETOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 PIECE_SCHEMA = "doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long, loss_tokens long"
 
-#: Fixed: the added token of byte_bpe_50k.json, which ``tokenizers`` finds in any text, by the file name of its ranks.
-ADDED_TOKENS = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
+#: Fixed: the added token of byte_bpe_50k.json, which ``tokenizers`` finds in any text, by the number of ranks before it.
+ADDED_TOKENS = {50256: {"<|endoftext|>": 50256}}
 
 _encoders: dict[str, object] = {}
 
@@ -52,17 +54,19 @@ class PackingLimits:
     group: int = 2048
 
 
+PLAIN = PackingLimits(segments=1024)
+
+
 def encoder(path: str):
     """The byte-level BPE of a ``*.tiktoken`` rank file, with the added tokens that its JSON form has."""
     if path not in _encoders:
         import base64
-        from os.path import basename
 
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS.get(basename(path), {}))
+        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=PRETOKEN_PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS.get(len(ranks), {}))
     return _encoders[path]
 
 

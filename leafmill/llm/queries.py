@@ -25,13 +25,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    from leafmill.llm.packing import pack_examples
+    from leafmill.llm.packing import PLAIN, pack_examples
 
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json
-    pieces = pack_examples(_table(spark, sf_dir, "documents"), tokenizer_path)
+    pieces = pack_examples(_table(spark, sf_dir, "documents"), tokenizer_path, PLAIN)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
