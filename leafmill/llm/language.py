@@ -5,9 +5,12 @@ that were seen to write words in that script. Each word is scored per language b
 inside the word (with its ends marked), and Viterbi with a switching penalty labels every word, so spans
 of mixed-language text come out with their ends. The predicted language holds most words of the path.
 
-Counts for the model come from at most ``max_training_rows`` labelled rows (chosen by a hash of the id), so it
-has no more languages than that. It has ``4 * 2 ** bits`` numbers a language and ``MAX_NUMBERS`` in all: from 33
-languages on, the buckets of each are halved as their number doubles.
+Counts for the model come from at most ``max_training_rows`` labelled rows (chosen by a hash of the id); what is
+collected is bounded by their texts. It has ``4 * 2 ** bits`` numbers a language, 1 MB with the default, whatever
+the number of languages.
+
+The score is the share of lettered words that are of the predicted language and of a script that some learnt language
+writes: a text in scripts that none of them writes scores 0.
 
 Cases: ``und`` with score 0 for a null text, a text without a letter (Unicode category L; ``½`` is none), and
 all texts when nothing could be learnt; rows of a null language teach nothing; repeated rows are predicted row
@@ -18,7 +21,7 @@ language.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,6 @@ SCRIPT_RANGES = (
 SCRIPTS = ["none", "latin", "other", *dict.fromkeys(s for _, _, s in SCRIPT_RANGES if s != "latin")]
 ORDERS = (1, 2, 3, 4)
 _LETTER = regex.compile(r"\p{L}")
-#: Numbers in a model; with more languages each gets fewer buckets, so that no language is left out.
-MAX_NUMBERS = 1 << 23
 _CHUNK_CHARS = 6 << 20
 
 
@@ -171,10 +172,8 @@ def train(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), id_c
     if total > settings.max_training_rows:
         share = settings.max_training_rows / total
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * share))
-    n_languages = rows.select("lang").distinct().count()
-    settings = replace(settings, bits=min(settings.bits, max(1, int(np.log2(MAX_NUMBERS / len(ORDERS) / max(1, n_languages))))))
     counted = rows.select("lang", "text").mapInArrow(in_slices(_count_batches(settings.bits), 4096), "lang string, bucket long, n long")
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_NUMBERS counts
+    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # of at most max_training_rows texts
     languages = tuple(sorted(sums["lang"].unique()))
     table = np.zeros((len(ORDERS) << settings.bits, len(languages)), dtype=np.float64)
     scripts = np.zeros((len(SCRIPTS), len(languages)))
@@ -252,18 +251,19 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         scores, script = word_scores(words, model)
         path = viterbi(scores, words.place, words.offsets, model.settings.switch_penalty)
         lettered = script[words.place] > 0 if len(words.place) else np.zeros(0, bool)
+        written = lettered & model.writes.any(axis=1)[script[words.place]] if len(words.place) else lettered
         n_langs = len(model.languages)
         for k, text in enumerate(texts):
             a, b = words.offsets[k], words.offsets[k + 1]
             if not text or a == b or not _LETTER.search(text):
                 yield "und", 0.0, ""
                 continue
-            own, real = path[a:b], lettered[a:b]
-            votes = np.bincount(own[real] if real.any() else own, minlength=n_langs)
+            own, real, learnt = path[a:b], lettered[a:b], written[a:b]
+            votes = np.bincount(own[learnt] if real.any() else own, minlength=n_langs)
             edges = np.flatnonzero(np.diff(own)) + 1
             bounds = [0, *edges.tolist(), len(own)]
             spans = ",".join(f"{model.languages[own[i]]}:{i}:{j}" for i, j in zip(bounds, bounds[1:], strict=False))
-            yield model.languages[votes.argmax()], float(votes.max() / votes.sum()), spans
+            yield model.languages[votes.argmax()], float(votes.max() / (real.sum() or b - a)), spans
 
     def run(batches):
         for batch in batches:
