@@ -95,9 +95,13 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judge_candidates(found: DataFrame, max_live_owners: int = MAX_LIVE_OWNERS, max_live_docs: int = MAX_LIVE_DOCS) -> DataFrame:
-    """The candidates with n_docs, n_owners and ``live`` of their values."""
+    """The candidates with n_docs, n_owners and ``live`` of their values.
+
+    What is known of the values is written first: a join with an aggregate's own output could not be split for a value
+    that many candidates have.
+    """
     live = (F.col("n_owners") <= max_live_owners) & (F.col("n_docs") <= max_live_docs)
-    return found.join(ownership(found), "value_hash").withColumn("live", live)
+    return found.join(cut(ownership(found)), "value_hash").withColumn("live", live)
 
 
 def _joined(spans: Column, kinds: tuple[Kind, ...]) -> Column:
@@ -135,7 +139,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     owner = F.col(owner_col).cast("string") if owner_col in docs.columns else F.lit(None).cast("string")
     key = F.sha2(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), owner.alias("o"), F.col(text_col).alias("t"))), 256)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), owner.alias("owner"), F.col(text_col).alias("text"), key.alias("key"))
+    keyed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), owner.alias("owner"), F.col(text_col).alias("text"), key.alias("key"))
     matches = find_matches(keyed.withColumn("both", F.struct("key", "id")), "both", "text", "owner", kinds)
     found = cut(candidates(cut(matches.where(F.size("matches") > 0)), kinds))
     judged = judge_candidates(found.withColumn("key", F.col("doc_id.key")).withColumn("doc_id", F.col("doc_id.id")), max_live_owners, max_live_docs)
