@@ -239,8 +239,9 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     # written first, as a join with an aggregate's own output could not be split for a component of many nodes
     first = cut(components.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("first")))
     by_node = components.join(first, "component").select("node", "first")
-    member = signed.where("weight > 0").select("doc_id", F.col("whole").alias("node")).join(classes.select("node", "doc"), "node").join(by_node, "node", "left")
-    named = member.select("doc_id", F.coalesce("first", "doc").alias("class_id")).unionByName(signed.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+    known = cut(classes.select("node", "doc").join(by_node, "node", "left").select("node", F.coalesce("first", "doc").alias("class_id")))
+    member = signed.where("weight > 0").select("doc_id", F.col("whole").alias("node")).join(known, "node").select("doc_id", "class_id")
+    named = member.unionByName(signed.where("weight = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
