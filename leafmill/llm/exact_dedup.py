@@ -8,9 +8,10 @@ Two texts are equal when they are identical after every character of ``[\\x20\\x
    capacity, and buckets that need no split share directory cells. Entries, counted by key, are written to the
    shared folder by bucket; each owner task has a range of buckets, in the order of their keys.
 3. Keys with one entry are done. The entries of a key with more form a chain, and only their texts are read
-   again. They go to the owners of their buckets, where texts of one chain are told apart by comparing the
-   normalised bytes themselves: these decide what is equal. Copies are combined before they are sent, so a group
-   of any size costs one text a task.
+   again. The index finds these candidates; texts of one chain are told apart by grouping on the normalised bytes
+   themselves, which decide what is equal. Spark deals the groups by bucket, key and bytes, so the texts of a bucket
+   may be compared by several tasks. Copies are combined before they are sent, so a group of any size costs one text
+   a task.
 4. The classes so found go back to the rows. Classes with over a 100,000th of all rows, of which there are fewer
    than 100,000, are broadcast, so no task gathers the copies of one text.
 
