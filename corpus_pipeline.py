@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.exact_dedup import exact_dedup
 from leafmill.llm.minhash import near_duplicates
-from leafmill.llm.packing import pack_examples
+from leafmill.llm.packing import PLAIN, pack_examples
 from leafmill.llm.secrets import redact_secrets
 from leafmill.llm.session import cut, drop_scratch, held_out, scratch_path
 from leafmill.llm.toxicity import drop_toxic, train
@@ -31,11 +31,15 @@ from leafmill.llm.toxicity import drop_toxic, train
 ROW_KEY, TEXT_HASH = "__row_key", "__text_hash"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for each text: its doc_id, or a number above all ids where an id has more texts.
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
-    Rows that repeat both id and text become one row.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row (the whole row) and a key of its own for each text: its doc_id, or a number above all ids where
+    an id has more texts. Rows that repeat both id and text become one row.
     """
+    docs = docs.select("doc_id", "text", F.struct(*[_column(c).alias(c) for c in docs.columns]).alias("row"))
     ids = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if ids.isEmpty():
         return docs.withColumn(ROW_KEY, F.col("doc_id"))
@@ -45,15 +49,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     above = docs.agg(F.max("doc_id")).first()[0] + 1
     keyed = texts.withColumn("number", F.lit(above) + F.monotonically_increasing_id()).join(first, "doc_id")
     keys = keyed.select("doc_id", TEXT_HASH, F.when(F.col(TEXT_HASH) == F.col("first"), F.col("doc_id")).otherwise(F.col("number")).alias(ROW_KEY))
-    rows = cut(repeated.dropDuplicates(["doc_id", TEXT_HASH]).join(keys, ["doc_id", TEXT_HASH]).select(*docs.columns, ROW_KEY))
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").alias(ROW_KEY)).unionByName(rows)
+    rows = cut(repeated.dropDuplicates(["doc_id", TEXT_HASH]).join(keys, ["doc_id", TEXT_HASH]).select("doc_id", "text", "row", ROW_KEY))
+    return docs.join(ids, "doc_id", "left_anti").withColumn(ROW_KEY, F.col("doc_id")).unionByName(rows)
 
 
 def _without_copies(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFrame:
     """The rows of docs that ``judge`` keeps, text by text."""
     keyed = _keyed(docs)
-    dropped = judge(keyed, id_col=ROW_KEY).where("not kept").select(F.col("doc_id").alias(ROW_KEY))
-    return keyed.join(dropped, ROW_KEY, "left_anti").select(docs.columns)
+    dropped = judge(keyed.drop("row"), id_col=ROW_KEY).where("not kept").select(F.col("doc_id").alias(ROW_KEY))
+    return keyed.join(dropped, ROW_KEY, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 1024 tokens that hold every document."""
     import public_tokenizers
 
-    return pack_examples(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_examples(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), PLAIN)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("secrets", secrets), ("packing", packing)]
