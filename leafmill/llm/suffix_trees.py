@@ -11,13 +11,15 @@ node of the suffix tree of all documents, and the windows of such a node are the
    the window and its place. A window that a block holds again is sent once, the rest of its places only to
    be reported, so a passage in any number of documents costs a group one suffix a block.
 3. A group is a subtree that fits in memory: its suffixes sorted by label, so the leaves of each deep node stand
-   together. The leaf that starts first stays; the others are reported by document.
-4. Reports go back to their documents, hot ones through a join that adaptive execution can split; windows that
-   follow each other make one maximal repeat, whose words are removed.
+   together. The leaf that starts first stays; the others are reported to the block that sent them, in one row a block
+   and group.
+4. Reports of a block meet in one task, where windows that follow each other make one run; runs go back to their
+   documents, those of repeated rows through a join that adaptive execution can split, and make maximal repeats,
+   whose words are removed.
 
 Edges of a subtree below its prefix are compared by label: a 64-bit label of the window inside a group, of windows
-that share the group's prefix. With n suffixes in a group of 2**22 the chance that two of different words have one
-label is about 2**-21 a group.
+that share the group's prefix. In a group of 2**21 suffixes the chance that two of different words have one label is about
+2**-23.
 
 Cases: null, empty and short texts repeat nothing; a document is what has its doc_id, so rows that repeat an id and
 a window's start are level and none is removed for the other; a null id counts as the largest id; very long texts
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,9 @@ from leafmill.llm.wordhash import mix, span_hashes
 
 WINDOW = 20
 #: Suffixes of one group, about; a prefix with over an eighth of that is extended.
-GROUP_SUFFIXES = 1 << 22
+GROUP_SUFFIXES = 1 << 21
+#: Groups of small tables, which one task each would not keep a cluster busy.
+LEAST_GROUPS = 64
 #: Prefixes that a block holds less often aren't extended there.
 BLOCK_FLOOR = 8
 #: Most prefixes that are broadcast as extended ones, 8 bytes each; beyond that only the most frequent are extended.
@@ -54,6 +59,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _LAST_ID = (1 << 63) - 1
+_ROW_BITS = 32  # of a block's number, above which its task's stands
 _ZSTD = pa.Codec("zstd", 1)
 
 
@@ -193,7 +199,8 @@ def _deal(extended: list[np.ndarray], n_groups: int):
     """Rows for the groups; ``extended`` are the sorted prefixes by their number of words (from 1) that are too frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, prints in chunks(batches):
+        first_block = TaskContext.get().partitionId() << _ROW_BITS if TaskContext.get() else 0
+        for block, (chunk, ids, prints) in enumerate(chunks(batches), first_block):
             among = np.flatnonzero(chunk.sent | chunk.again)
             group = np.zeros(len(chunk.place), dtype=np.int64)
             walk = chunk.prefixes(among)
@@ -222,7 +229,7 @@ def _deal(extended: list[np.ndarray], n_groups: int):
                 sent, again = at[chunk.sent[at]], at[chunk.again[at]]
                 documents = (ids[used[own]].tobytes(), prints[used[own]].tobytes(), first[own].tobytes(), begin[own].tobytes())
                 steps = np.diff(chunk.label[sent], prepend=np.uint64(0))  # sorted by label
-                rows.append((int(group[at[0]]), *documents, len(sent), _pack(steps, 8), _pack(chunk.place[sent] - base, 3), len(again), _pack(chunk.place[again] - base, 3)))
+                rows.append((int(group[at[0]]), block, *documents, len(sent), _pack(steps, 8), _pack(chunk.place[sent] - base, 3), len(again), _pack(chunk.place[again] - base, 3)))
                 if len(rows) == 256:
                     yield _batch(rows)
                     rows = []
@@ -232,7 +239,7 @@ def _deal(extended: list[np.ndarray], n_groups: int):
     return run
 
 
-_DEALT = "grp long, ids binary, prints binary, firsts binary, begins binary, n_sent long, labels binary, places binary, n_again long, again binary"
+_DEALT = "grp long, block long, ids binary, prints binary, firsts binary, begins binary, n_sent long, labels binary, places binary, n_again long, again binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,28 +247,36 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _DEALT.split(", ")])
 
 
+_REPORTS = "block long, ids binary, prints binary, counts binary, n_starts long, starts binary"
+
+
 def repeats_of_subtree(table: pa.Table) -> pa.Table:
-    """ids, prints and starts (32-bit numbers) of the suffixes of one group whose window starts earlier too."""
-    ids, prints, labels, docs, starts, gone_docs, gone_starts, n = [], [], [], [], [], [], [], 0
-    for row in zip(*(table.column(c).to_pylist() for c in ("ids", "prints", "firsts", "begins", "n_sent", "labels", "places", "n_again", "again")), strict=True):
-        own, own_prints, first, begin = (np.frombuffer(x, np.int64) for x in row[:4])
-        for size, data, to_docs, to_starts in ((row[4], row[6], docs, starts), (row[7], row[8], gone_docs, gone_starts)):
+    """The suffixes of one group whose window starts earlier too, a row for each block that sent some.
+
+    A row has the documents' ids and prints, how many suffixes each has, and these suffixes' starts in that order.
+    """
+    blocks, bases, ids, prints, labels, docs, starts, n = [], [0], [], [], [], [], [], 0
+    gone_docs, gone_starts = [], []
+    for row in zip(*(table.column(c).to_pylist() for c in ("block", "ids", "prints", "firsts", "begins", "n_sent", "labels", "places", "n_again", "again")), strict=True):
+        own, own_prints, first, begin = (np.frombuffer(x, np.int64) for x in row[1:5])
+        for size, data, to_docs, to_starts in ((row[5], row[7], docs, starts), (row[8], row[9], gone_docs, gone_starts)):
             place = _unpack(data, size, 3).astype(np.int64)
             d = np.searchsorted(first, place, "right") - 1
             to_docs.append((d + n).astype(np.uint32))
             to_starts.append((place - first[d] + begin[d]).astype(np.uint32))
         ids.append(own)
         prints.append(own_prints)
-        labels.append(np.cumsum(_unpack(row[5], row[4], 8), dtype=np.uint64))
+        labels.append(np.cumsum(_unpack(row[6], row[5], 8), dtype=np.uint64))
         n += len(own)
+        blocks.append(row[0])
+        bases.append(n)
     ids, prints, labels, docs, starts = (np.concatenate(x) for x in (ids, prints, labels, docs, starts))
     order = np.argsort(labels, kind="stable")
-    labels, docs, starts = labels[order], docs[order], starts[order]
-    same = labels[1:] == labels[:-1]
+    labels = labels[order]
     deep = np.zeros(len(labels), dtype=bool)
-    deep[1:] |= same
-    deep[:-1] |= same
-    labels, docs, starts = labels[deep], docs[deep], starts[deep]
+    deep[1:] |= labels[1:] == labels[:-1]
+    deep[:-1] |= labels[1:] == labels[:-1]
+    labels, docs, starts = labels[deep], docs[order[deep]], starts[order[deep]]
     order = np.lexsort((starts, ids[docs], labels))
     labels, docs, starts = labels[order], docs[order], starts[order]
     fresh = np.ones(len(labels), dtype=bool)
@@ -270,23 +285,54 @@ def repeats_of_subtree(table: pa.Table) -> pa.Table:
     gone = (ids[docs] != ids[docs[leader]]) | (starts != starts[leader])
     docs, starts = np.concatenate([docs[gone], *gone_docs]), np.concatenate([starts[gone], *gone_starts])
     order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order]
-    bounds = np.flatnonzero(np.diff(docs.astype(np.int64), prepend=-1, append=-1)) if len(docs) else np.zeros(0, np.int64)
-    told = docs[bounds[:-1]]
-    spans = [starts[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return pa.table({"id": ids[told], "print": prints[told], "starts": pa.array(spans, pa.binary())})
+    docs, starts = docs[order].astype(np.int64), starts[order]
+    told, counts = np.unique(docs, return_counts=True)
+    at_doc, at_start = np.searchsorted(told, bases), np.searchsorted(docs, bases)
+    out = []
+    for k, block in enumerate(blocks):
+        a, b, c, d = at_doc[k], at_doc[k + 1], at_start[k], at_start[k + 1]
+        if a < b:
+            out.append((block, ids[told[a:b]].tobytes(), prints[told[a:b]].tobytes(), counts[a:b].astype(np.int64).tobytes(), int(d - c), _pack(starts[c:d], 4)))
+    return _table(out, _REPORTS)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.table({name: pa.array(x, pa.int64() if kind == "long" else pa.binary()) for (name, kind), x in zip(fields, columns, strict=True)})
+
+
+def runs_of_block(table: pa.Table) -> pa.Table:
+    """id, print and runs (first window, number of windows) of each document of one block's reports."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("ids", "prints", "counts", "n_starts", "starts")), strict=True))
+    counts = [np.frombuffer(r[2], np.int64) for r in rows]
+    ids, prints = (np.concatenate([np.repeat(np.frombuffer(r[k], np.int64), n) for r, n in zip(rows, counts, strict=True)]) for k in (0, 1))
+    starts = np.concatenate([_unpack(r[4], r[3], 4).astype(np.int64) for r in rows])
+    order = np.lexsort((starts, prints, ids))
+    ids, prints, starts = ids[order], prints[order], starts[order]
+    other = np.ones(len(ids), dtype=bool)
+    other[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
+    opens = other.copy()
+    opens[1:] |= starts[1:] > starts[:-1] + 1
+    first = np.flatnonzero(opens)
+    end = np.append(first[1:] - 1, len(starts) - 1)
+    runs = np.stack([starts[first], starts[end] - starts[first] + 1], axis=1)
+    by_doc = np.flatnonzero(other[first])
+    bounds = np.append(by_doc, len(first))
+    return _table([(int(ids[first[a]]), int(prints[first[a]]), runs[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], "id long, print long, runs binary")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """id, print and starts: the windows of documents (id, print, text) that start earlier too, in one row or more."""
+    """id, print and runs: the windows of documents (id, print, text) that start earlier too, in one row a block."""
     spark = docs.sparkSession
     counts = cut(docs.mapInArrow(in_slices(_count_prefixes), "words long, prefix long, n long").groupBy("words", "prefix").agg(F.sum("n").alias("n")))
     total = counts.where("words = 0").agg(F.sum("n")).first()[0] or 0
-    n_groups = max(1, math.ceil(total / GROUP_SUFFIXES))
+    n_groups = max(LEAST_GROUPS, math.ceil(total / GROUP_SUFFIXES))
     often = counts.where(f"words > 0 and n > {GROUP_SUFFIXES // 8}").orderBy(F.desc("n")).limit(MOST_PREFIXES).collect()  # bounds only what is broadcast
     extended = [np.sort(np.array([r["prefix"] for r in often if r["words"] == n], dtype=np.int64).view(np.uint64)) for n in range(1, WINDOW + 1)]
     dealt = docs.mapInArrow(in_slices(_deal(extended, n_groups)), _DEALT)
-    return dealt.repartition(n_groups, "grp").groupBy("grp").applyInArrow(repeats_of_subtree, "id long, print long, starts binary")
+    reports = dealt.repartition(n_groups, "grp").groupBy("grp").applyInArrow(repeats_of_subtree, _REPORTS)
+    return reports.groupBy("block").applyInArrow(runs_of_block, "id long, print long, runs binary")
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,15 +347,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("first", pa.int64()), ("n_words", pa.int64())]))
     for batch in batches:
         out = []
-        for doc_id, size, text, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for doc_id, size, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             words = _ZSTD.decompress(text, size, asbytes=True).split()
-            if not starts:
+            if not runs:
                 out.append((doc_id, len(words), 0, b" ".join(words), []))
                 continue
-            at = np.unique(np.concatenate([np.frombuffer(s, np.uint32) for s in starts])).astype(np.int64)
-            opens = np.flatnonzero(np.diff(at, prepend=-WINDOW - 1) > WINDOW)
-            first = at[opens]
-            after = np.append(at[opens[1:] - 1], at[-1]) + WINDOW
+            parts = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 2) for r in runs])
+            parts = parts[np.argsort(parts[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(parts.sum(axis=1) + WINDOW - 1)
+            opens = np.flatnonzero(np.append(True, parts[1:, 0] > reach[:-1]))
+            first, after = parts[opens, 0], reach[np.append(opens[1:] - 1, len(parts) - 1)]
             kept, done = [], 0
             for a, b in zip(first.tolist(), after.tolist(), strict=True):
                 kept += words[done:a]
@@ -329,8 +376,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("print"), "text")
-    told = cut(repeated_windows(rows.select("id", "print", "text")).groupBy("id", "print").agg(F.collect_set("starts").alias("starts")))
+    told = cut(repeated_windows(rows.select("id", "print", "text")).groupBy("id", "print").agg(F.collect_set("runs").alias("runs")))
     packed = rows.mapInArrow(in_slices(_compress), "doc_id long, id long, print long, size long, text binary")
-    whole = packed.join(told, ["id", "print"], "left").select("doc_id", "size", "text", "starts")
+    whole = packed.join(told, ["id", "print"], "left").select("doc_id", "size", "text", "runs")
     removed = whole.mapInArrow(in_slices(_remove), "doc_id long, n_words long, n_removed long, kept binary, repeats array<struct<first:long,n_words:long>>")
     return removed.withColumn("kept", F.col("kept").cast("string"))

@@ -176,6 +176,7 @@ def test_repeats_equal_plain_version(spark, monkeypatch, sizes):
 
     if sizes:
         monkeypatch.setattr(suffix_trees, "GROUP_SUFFIXES", sizes[0])
+        monkeypatch.setattr(suffix_trees, "LEAST_GROUPS", 1)
         monkeypatch.setattr(suffix_trees, "BLOCK_BYTES", sizes[1])
         monkeypatch.setattr(suffix_trees, "CHUNK_WINDOWS", sizes[2])
         monkeypatch.setattr(suffix_trees, "_PIECE", 100)
