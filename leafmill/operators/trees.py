@@ -131,6 +131,28 @@ def below(walk: DataFrame, id_: str) -> DataFrame:
     return walk.join(top, F.col("pre").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
 
 
+def effective(nodes: DataFrame, props: str = "props") -> DataFrame:
+    """id and props: each node's properties with those of the nodes above it where it has none of its own.
+
+    ``props`` is a map of text by path (``font.size``), so that nested properties are inherited one by one. Pointer
+    doubling: a round puts what the pointed-to node has gathered below what the row has, so rounds grow with the
+    logarithm of the depth. Nodes that no root reaches, on or below a cycle, have no row.
+    """
+    rounds = Rounds(nodes.sparkSession, "effective")
+    state = rounds.put(nodes.select("id", F.col("parent").alias("up"), F.coalesce(props, F.expr("cast(map() as map<string,string>)")).alias("props")))
+    for _ in range(math.ceil(math.log2(state.count() + 1)) + 1):
+        ahead = state.where("up is not null")
+        if ahead.isEmpty():
+            break
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("props").alias("__props"))
+        own = F.map_keys("props")
+        whole = F.map_concat(F.map_filter("__props", lambda k, _: ~F.array_contains(own, k)), "props")
+        moved = rounds.put(state.where("up is null").unionByName(ahead.join(above, "up").select("id", F.col("__up").alias("up"), whole.alias("props"))))
+        rounds.drop(state)
+        state = moved
+    return state.where("up is null").select("id", "props")
+
+
 def contents(nodes: DataFrame) -> DataFrame:
     """path and line: a bullet per node, three spaces per level; order by path to read them."""
     return tree_paths(nodes).select("path", F.concat(F.repeat(F.lit("   "), F.col("depth").cast("int")), F.lit("* "), F.substring_index("path", "/", -1)).alias("line"))
@@ -151,8 +173,8 @@ def contents_page(nodes: DataFrame) -> DataFrame:
 
 def menu(nodes: DataFrame, start: int = 30, step: int = 10) -> DataFrame:
     """id, parent and weight; weights rise in steps by (parent, id), per parent."""
-    place = F.row_number().over(Window.partitionBy("parent").orderBy("id")).cast("long")
-    return nodes.select("id", "parent", (F.lit(start) + step * (place - 1)).alias("weight"))
+    placed = running_sum(nodes, ("parent",), ("id",), F.lit(1).cast("long"), "__place")
+    return placed.select("id", "parent", (F.lit(start) + step * (F.col("__place") - 1)).alias("weight"))
 
 
 def bullet_menu(lines: DataFrame, doc: str, line_no: str, line: str, start: int = 10, step: int = 10) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import events, links, running, snapshots, trees, variants
+from leafmill.operators import events, links, ordering, running, trees, variants
+from leafmill.operators.term_index import TermIndex
 from leafmill.plans.queries import _query, _table
 from leafmill.plans.view_queries import ORACLE_SQL, QUERIES  # noqa: F401
 from leafmill.sinks import files as sinks
@@ -66,12 +67,12 @@ def tree_below(spark, sf_dir):
     WITH RECURSIVE {_MARKETS}, steps AS (
         SELECT 2 * pre - depth AS "at", CASE WHEN place > 1 THEN ',' ELSE '' END || '{{"id":"' || id || '","name":"' || name || '","children":[' AS value FROM looked
         UNION ALL SELECT 2 * last + 1 - depth, ']}}' FROM looked UNION ALL SELECT -1, '[' UNION ALL SELECT 2 * count(*), ']' FROM looked
-    ) SELECT "at", value FROM steps
+    ) SELECT "at" AS line_at, value FROM steps
 """)
 def sink_tree_lines(spark, sf_dir):
-    """The lines of a nested tree file, in the order of ``at``."""
+    """The lines of a nested tree file, in the order of ``line_at``."""
     nodes = _markets(spark, sf_dir)
-    return sinks.tree_lines(trees.tour(nodes), nodes)
+    return sinks.tree_lines(trees.tour(nodes), nodes).withColumnRenamed("at", "line_at")
 
 
 # jobs and changes
@@ -192,3 +193,81 @@ def text_inline_images(spark, sf_dir):
     json = F.concat(F.lit('{"body":{"content":[{"p":['), F.when(F.col("p_size") % 2 == 0, F.concat(element(0), F.lit(","), element(1))).otherwise('{"textRun":"x"}'), F.lit("]}]}}"))
     part = _table(spark, sf_dir, "part").select("p_partkey", json.alias("json"))
     return variants.inline_images(variants.traverse(part, "p_partkey", F.col("json")), "p_partkey")
+
+
+# orders and numbers
+
+_NAMED = "CASE p_size % 4 WHEN 0 THEN 'É' WHEN 1 THEN 'e' WHEN 2 THEN 'Z' ELSE 'étage' END || CASE p_partkey % 3 WHEN 0 THEN upper(replace(p_name, ' ', '')) ELSE lower(replace(p_name, ' ', '')) END"
+#: How the names of these queries sort without case: letters without marks, then the marks.
+_SORTED = "strip_accents(lower(name)), lower(name)"
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.when(F.col("p_size") % 4 == 0, "É").when(F.col("p_size") % 4 == 1, "e").when(F.col("p_size") % 4 == 2, "Z").otherwise("étage")
+    bare = F.replace("p_name", F.lit(" "), F.lit(""))
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(head, F.when(F.col("p_partkey") % 3 == 0, F.upper(bare)).otherwise(F.lower(bare))).alias("name"))
+
+
+@_query(f"SELECT p_partkey, row_number() OVER (ORDER BY p_size % 5 <> 0, {_SORTED}, p_partkey) AS place FROM (SELECT *, {_NAMED} AS name FROM part)")
+def sync_listing_collated(spark, sf_dir):
+    """Folders first, then names with accents and in any case as a reader sorts them."""
+    return ordering.listing_order(_named(spark, sf_dir), (), F.col("p_size") % 5 == 0, "name", "p_partkey").select("p_partkey", "place")
+
+
+@_query(f"SELECT id, row_number() OVER (PARTITION BY parent ORDER BY p_size % 3 <> 0, {_SORTED}, id) AS place FROM (SELECT *, p_partkey AS id, p_size % 7 AS parent, {_NAMED} AS name FROM part)")
+def tree_contents_collated(spark, sf_dir):
+    """Places among siblings in a table of contents."""
+    nodes = _named(spark, sf_dir).select(F.col("p_partkey").alias("id"), (F.col("p_size") % 7).alias("parent"), "name", F.when(F.col("p_size") % 3 == 0, "directory").otherwise("md").alias("kind"))
+    return ordering.contents_order(nodes).select("id", "place")
+
+
+@_query(f"SELECT path, row_number() OVER (ORDER BY strip_accents(lower(path)), lower(path), path = upper(path), path) AS place FROM (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN lower(name) ELSE upper(name) END AS path FROM (SELECT *, {_NAMED} AS name FROM part))")
+def git_change_order(spark, sf_dir):
+    """Changed paths as a reader sorts them: of paths that differ in case alone the lower one first."""
+    paths = _named(spark, sf_dir).select(F.when(F.col("p_partkey") % 2 == 0, F.lower("name")).otherwise(F.upper("name")).alias("path")).distinct()
+    return ordering.change_order(paths, "path")
+
+
+@_query("""
+    WITH items AS (SELECT user_id, event_id, event_type, 1 + event_id % 3 AS level, event_id % 5 = 0 AND event_id % 4 <> 0 AS starts FROM events), placed AS (
+        SELECT i.*, (SELECT max(r.event_id) FROM items r WHERE r.user_id = i.user_id AND r.event_type = i.event_type AND r.starts AND r.level <= i.level AND r.event_id <= i.event_id) AS since FROM items i
+    )
+    SELECT a.event_id, count(*) AS number FROM placed a JOIN items b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.level = a.level AND b.event_id <= a.event_id AND (a.since IS NULL OR b.event_id >= a.since) GROUP BY ALL
+""")
+def text_list_numbers(spark, sf_dir):
+    """Events as list items of a document a user: numbers by style and level, with lists that start anew or go on."""
+    key = F.col("event_id")
+    items = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("style"), (1 + key % 3).cast("int").alias("level"), (key % 5 == 0).alias("opens"), (key % 4 == 0).alias("continues"))
+    return ordering.list_numbers(items, "user_id", "event_id").select("event_id", "number")
+
+
+@_query("""
+    SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'c' ELSE CASE WHEN n_nationkey % 3 = 0 THEN 'n' ELSE r_name END END AS color, coalesce(CASE WHEN c_custkey % 5 = 0 THEN '9' END, CASE WHEN n_nationkey % 2 = 0 THEN '10' END) AS size
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+""")
+def tree_effective(spark, sf_dir):
+    """What customers inherit from their nation and region, property by property."""
+    number = F.substring("id", 2, 20).cast("long")
+    kind = F.substring("id", 1, 1)
+    color = F.when(kind == "r", F.col("name")).when((kind == "n") & (number % 3 == 0), "n").when((kind == "c") & (number % 2 == 0), "c")
+    size = F.when((kind == "n") & (number % 2 == 0), "10").when((kind == "c") & (number % 5 == 0), "9")
+    props = F.map_from_entries(F.filter(F.array(F.struct(F.lit("text.color").alias("k"), color.alias("v")), F.struct(F.lit("text.size").alias("k"), size.alias("v"))), lambda e: e["v"].isNotNull()))
+    found = trees.effective(_markets(spark, sf_dir).select("id", "parent", props.alias("props")))
+    return found.where("id like 'c%'").select("id", F.col("props")["text.color"].alias("color"), F.col("props")["text.size"].alias("size"))
+
+
+# the stored index
+
+
+@_query("""
+    WITH words AS (SELECT p_partkey, p_brand, unnest(string_split(lower(p_name), ' ')) AS word FROM part)
+    SELECT CAST(p_partkey AS VARCHAR) AS ref, count(*) AS score FROM words WHERE starts_with(word, 'p') OR word = '7' GROUP BY p_partkey
+""")
+def search_stored(spark, sf_dir):
+    """An index of two segments, of which the second brings some documents anew, merged and searched by prefix and term."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.lit(None).cast("string").alias("id"), F.col("p_name").alias("title"))
+    index = TermIndex(spark, f"{running.shared_dir(spark).rstrip('/')}/term-index-{uuid.uuid4().hex}", 500)
+    index.add(part.withColumn("title", F.when(F.col("p_partkey") % 2 == 0, "p old words").otherwise(F.col("title"))), "p_partkey", "id", "title")
+    index.add(part.where("p_partkey % 2 = 0"), "p_partkey", "id", "title")
+    index.merge()
+    return index.search("p* 7")

@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import events, links, trees, variants
+from leafmill.operators import events, links, ordering, trees, variants
 from leafmill.operators.running import running_last, running_sums
+from leafmill.operators.term_index import TermIndex
 from leafmill.sinks import files as sinks
 from leafmill.sources import files as sources
 
@@ -155,3 +156,46 @@ def test_traverse_skips_what_is_empty(spark):
     rows = variants.traverse(docs, "k", F.col("t"))
     assert {(r["k"], r["path"], r["value"]) for r in rows.collect()} == {(1, "", None), (1, "a", None), (1, "a[4]", "false"), (1, "a[5]", "0"), (1, "a[6]", None), (1, "a[6].c", "gdoc:x"), (4, "", None), (5, "", "7")}
     assert variants.traverse(docs.limit(0), "k", F.col("t")).count() == 0
+
+
+def test_list_numbers_reset_go_on_and_nest(spark):
+    rows = [  # doc, at, style, level, opens, continues, number
+        ("d", 1, "a", 1, True, False, 1), ("d", 2, "a", 2, True, False, 1), ("d", 3, "a", 2, False, False, 2), ("d", 4, "a", 1, False, False, 2), ("d", 5, "a", 2, True, False, 1),
+        ("d", 6, "b", 1, True, False, 1), ("d", 7, "a", 1, True, True, 3), ("d", 8, "a", 2, True, True, 2), ("d", 9, "a", 1, True, False, 1), ("d", 10, "a", 2, False, False, 1),
+        ("d", 11, "b", 1, False, None, 2), ("d", 12, None, 1, None, None, 1), ("e", 1, "a", 3, False, False, 1), ("e", 2, "a", None, False, False, None),
+    ]
+    items = spark.createDataFrame([r[:6] for r in rows], "doc string, at long, style string, level int, opens boolean, continues boolean")
+    found = {(r["doc"], r["at"]): r["number"] for r in ordering.list_numbers(items, "doc", "at").collect()}
+    assert found == {r[:2]: r[6] for r in rows}
+
+
+def test_effective_properties_of_a_deep_chain_and_a_cycle(spark):
+    rows = [(0, None, {"a": "0", "b": "0"})] + [(i, i - 1, {"a": str(i)} if i % 100 == 0 else {}) for i in range(1, 1000)] + [(2000, 2001, {"a": "x"}), (2001, 2000, {}), (2002, 2001, {}), (3000, None, None)]
+    found = {r["id"]: r["props"] for r in trees.effective(spark.createDataFrame(rows, "id long, parent long, props map<string,string>")).collect()}
+    assert set(found) == {*range(1000), 3000} and found[3000] == {}
+    assert all(found[i] == {"a": str(i // 100 * 100), "b": "0"} for i in range(1000))
+
+
+def test_collated_orders(spark):
+    names = ["b", "Éa", "ea", "Eb", "éa", "Z", "a", None]
+    files = spark.createDataFrame([(i, n, i % 2 == 0) for i, n in enumerate(names)], "k long, name string, folder boolean")
+    placed = sorted(ordering.listing_order(files, (), F.col("folder"), "name", "k").collect(), key=lambda r: r["place"])
+    assert [r["name"] for r in placed] == ["a", "b", "ea", "éa", None, "Éa", "Eb", "Z"]
+    diff = spark.createDataFrame([("b.assets/x.png",), ("b.md",), ("B.md",), ("a.md",), ("b.assets/a.png",), ("é.md",), ("f.md",)], "path string")
+    assert [r["path"] for r in sorted(ordering.diff_order(diff, "path").collect(), key=lambda r: r["place"])] == ["a.md", "b.md", "b.assets/a.png", "b.assets/x.png", "B.md", "é.md", "f.md"]
+
+
+def test_stored_index_opens_only_the_files_of_a_range(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"/p{i}", f"id_{i}", f"alpha w{i:03d} {'zebra' if i % 10 == 0 else 'yak'}") for i in range(200)], "path string, id string, title string")
+    index = TermIndex(spark, str(tmp_path / "index"), 100)
+    index.add(nodes, "path", "id", "title")
+    every = index.dictionary().count()
+    assert every >= 8 and 1 <= len(index.files_for("w01", "w02")) <= 2 and len(index.files_for("zebra", None)) <= 2 and index.files_for("~", None) == []
+    assert {r["ref"] for r in index.look_up("w01*").collect()} == {f"/p{i}" for i in range(10, 20)}
+    assert {r["ref"] for r in index.look_up("zebra").collect()} == {f"/p{i}" for i in range(0, 200, 10)} and index.look_up("nothing").count() == 0
+    index.add(spark.createDataFrame([("/p10", "id_10", "now other"), ("/new", None, "zebra")], "path string, id string, title string"), "path", "id", "title")
+    want = {f"/p{i}" for i in range(0, 200, 10) if i != 10} | {"/new"}
+    assert {r["ref"] for r in index.search("zebra").collect()} == want and len(index.segments()) == 2
+    index.merge()
+    assert {r["ref"] for r in index.search("zebra").collect()} == want and len(index.segments()) == 1 and index.look_up("w010").count() == 0
+    assert index.search(": ").count() == 0 and TermIndex(spark, str(tmp_path / "none")).search("x").count() == 0
