@@ -11,11 +11,24 @@ from leafmill.functions.text import slug
 
 #: Letters and signs that no decomposition takes to ASCII.
 SPELLED = {
-    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D",
-    "$": "dollar", "%": "percent", "<": "less", ">": "greater", "|": "or", "¢": "cent", "£": "pound", "¤": "currency", "¥": "yen", "€": "euro",
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "dj", "Đ": "DJ", "ł": "l", "Ł": "L", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D", "ı": "i",
+    "$": "dollar", "%": "percent", "<": "less", ">": "greater", "|": "or", "¢": "cent", "£": "pound", "¤": "currency", "¥": "yen", "€": "euro", "©": "(c)", "®": "(r)", "ª": "a", "º": "o",
 }
 #: Spellings that a language has of its own.
-SPELLED_IN = {"de": {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "AE", "Ö": "OE", "Ü": "UE", "%": "prozent", "|": "oder"}}
+SPELLED_IN = {
+    "bg": {"Й": "Y", "Ц": "Ts", "Щ": "Sht", "Ъ": "A", "Ь": "Y", "й": "y", "ц": "ts", "щ": "sht", "ъ": "a", "ь": "y"},
+    "de": {"Ä": "AE", "ä": "ae", "Ö": "OE", "ö": "oe", "Ü": "UE", "ü": "ue", "ß": "ss", "%": "prozent", "&": "und", "|": "oder", "∑": "summe", "∞": "unendlich", "♥": "liebe"},
+    "es": {"%": "por ciento", "&": "y", "<": "menor que", ">": "mayor que", "|": "o", "¢": "centavos", "£": "libras", "¤": "moneda", "₣": "francos", "∑": "suma", "∞": "infinito", "♥": "amor"},
+    "fr": {"%": "pourcent", "&": "et", "<": "plus petit", ">": "plus grand", "|": "ou", "¢": "centime", "£": "livre", "¤": "devise", "₣": "franc", "∑": "somme", "∞": "infini", "♥": "amour"},
+    "pt": {"%": "porcento", "&": "e", "<": "menor", ">": "maior", "|": "ou", "¢": "centavo", "∑": "soma", "£": "libra", "∞": "infinito", "♥": "amor"},
+    "uk": {"И": "Y", "и": "y", "Й": "Y", "й": "y", "Ц": "Ts", "ц": "ts", "Х": "Kh", "х": "kh", "Щ": "Shch", "щ": "shch", "Г": "H", "г": "h"},
+    "vi": {"Đ": "D", "đ": "d"},
+    "da": {"Ø": "OE", "ø": "oe", "Å": "AA", "å": "aa", "%": "procent", "&": "og", "|": "eller", "$": "dollar", "<": "mindre end", ">": "større end"},
+    "nb": {"&": "og", "Å": "AA", "Æ": "AE", "Ø": "OE", "å": "aa", "æ": "ae", "ø": "oe"},
+    "it": {"&": "e"},
+    "nl": {"&": "en"},
+    "sv": {"&": "och", "Å": "AA", "Ä": "AE", "Ö": "OE", "å": "aa", "ä": "ae", "ö": "oe"},
+}
 
 
 def transliterated(text: Column, locale: str | None = None) -> Column:
@@ -41,3 +54,19 @@ def transliterated(text: Column, locale: str | None = None) -> Column:
 def slug_unicode(name: Column, locale: str | None = None) -> Column:
     """The slug of a name in any of the languages that decompose to ASCII letters."""
     return F.regexp_replace(slug(transliterated(name, locale)), r"[#*+~()'\"!:@]", "")
+
+
+def slugify(text: Column, locale: str | None = None, replacement: str = "-", remove: str | None = None, lower: bool = False, strict: bool = False, trim: bool = True) -> Column:
+    """A slug: signs spelled out as the locale does, what ``remove`` matches taken out, blanks as ``replacement``.
+
+    ``remove`` is by default what is neither a letter, digit or blank nor one of ``$*_+~.()'"!-:@``; ``strict`` leaves
+    letters and digits alone. A one-letter ``replacement`` in the text counts as a blank, also at its ends with ``trim``.
+    Letters of scripts that neither decompose nor have a spelling are removed as other signs are.
+    """
+    spaced = F.translate(text, replacement, " ") if len(replacement) == 1 else text
+    spelled = transliterated(F.replace(spaced, F.lit("&"), F.lit("and")) if "&" not in SPELLED_IN.get(locale or "", {}) else spaced, locale)
+    kept = F.regexp_replace(spelled, remove or r"""[^A-Za-z0-9_\s$*+~.()'"!\-:@]+""", "")
+    kept = F.regexp_replace(kept, r"[^A-Za-z0-9\s]", "") if strict else kept
+    kept = F.regexp_replace(kept, r"^\s+|\s+$", "") if trim else kept
+    joined = F.regexp_replace(kept, r"\s+", replacement.replace("\\", "\\\\").replace("$", "\\$"))
+    return F.lower(joined) if lower else joined

@@ -27,6 +27,15 @@ def log_page(log: DataFrame, order: tuple[str, ...], where: Column, descending:
     return log.where(where).orderBy(*keys).offset(offset).limit(limit)
 
 
+def default_range(at: str, now: Column, descending: bool, since: Column | None = None, until: Column | None = None) -> Column:
+    """Whether a row's time lies in a range, both ends included. Without any bound a descending page ends now, and an
+    ascending one begins now."""
+    if since is None and until is None:
+        since, until = (None, now) if descending else (now, None)
+    fits = F.lit(True) if since is None else F.col(at) >= since
+    return fits if until is None else fits & (F.col(at) <= until)
+
+
 def trailing_count(log: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """The rows with ``n_recent``: rows of the key in the ``seconds`` up to the row, itself included.
 

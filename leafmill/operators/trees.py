@@ -11,8 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.paths import url_to_id
 from leafmill.functions.text import path_parts
-from leafmill.operators.running import Rounds, cut, running_sum
+from leafmill.operators.running import Rounds, cut, running_last, running_sum, running_sums
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
@@ -177,6 +178,24 @@ def menu(nodes: DataFrame, start: int = 30, step: int = 10) -> DataFrame:
     return placed.select("id", "parent", (F.lit(start) + step * (F.col("__place") - 1)).alias("weight"))
 
 
+def legacy_menu(items: DataFrame, doc: str, at: str, start: int = 30, step: int = 10) -> DataFrame:
+    """doc, identifier, name, weight and parent of the items of nested lists (doc, at, level from 0, text, url).
+
+    An item is named by the id in its url, or ``header_1``, ``header_2``, ... where it has none; weights rise over all
+    items of a document; the parent is the last item a level up before it. Of items of one name the last stays.
+    Items without text are left out. Counts and parents are sums and last values over ranges, so a document of any
+    length is spread over tasks.
+    """
+    shown = items.where("trim(text) <> ''").withColumn("__id", F.when(F.col("url").isNotNull(), url_to_id(F.col("url"))))
+    counted = running_sums(shown, (doc,), (at,), {"__n": F.lit(1).cast("long"), "__headers": F.col("url").isNull().cast("long")})
+    named = counted.withColumn("identifier", F.when(F.col("url").isNull(), F.concat(F.lit("header_"), F.col("__headers").cast("string"))).otherwise(F.col("__id")))
+    own = named.select(doc, at, "identifier", F.trim("text").alias("name"), (F.lit(start) + step * (F.col("__n") - 1)).alias("weight"), F.col("level").alias("__level"), F.lit(True).alias("__own"))
+    asked = own.unionByName(own.withColumn("__level", F.col("__level") + 1).withColumn("__own", F.lit(False)))
+    found = running_last(asked, (doc, "__level"), (at,), {"parent": F.when(~F.col("__own"), F.coalesce("identifier", F.lit("null")))}).where("__own")
+    last = found.groupBy(doc, "identifier").agg(F.max_by(F.struct("name", "weight", "parent"), at).alias("x"))
+    return last.select(doc, "identifier", "x.name", "x.weight", "x.parent")
+
+
 def bullet_menu(lines: DataFrame, doc: str, line_no: str, line: str, start: int = 10, step: int = 10) -> DataFrame:
     """doc, identifier, name, weight and parent of the linked bullets of Markdown navigation documents.
 

@@ -120,7 +120,7 @@ def menu_json(menu: DataFrame) -> DataFrame:
 def encrypted(text: Column, key: bytes, iv: bytes) -> Column:
     """AES-CBC with a fixed vector, in base64, without the vector in front."""
     whole = F.aes_encrypt(F.encode(text, "UTF-8"), F.lit(key), F.lit("CBC"), F.lit("PKCS"), F.lit(iv))
-    return F.base64(F.substring(whole, 17, 2_147_483_647))
+    return F.translate(F.base64(F.substring(whole, 17, 2_147_483_647)), "\r\n", "")  # long codes come in lines
 
 
 def decrypted(code: Column, key: bytes, iv: bytes) -> Column:

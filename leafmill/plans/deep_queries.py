@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import paths as P
 from leafmill.operators import events, links, ordering, running, trees, variants
 from leafmill.operators.term_index import TermIndex
 from leafmill.plans.queries import _query, _table
@@ -256,6 +257,54 @@ def tree_effective(spark, sf_dir):
     return found.where("id like 'c%'").select("id", F.col("props")["text.color"].alias("color"), F.col("props")["text.size"].alias("size"))
 
 
+@_query("""
+    WITH items AS (SELECT user_id, event_id, event_id % 3 AS level, trim(event_type) AS name, CASE WHEN event_id % 4 <> 0 THEN 'x' || event_id % 30 END AS link FROM events WHERE event_id % 11 <> 0),
+    named AS (
+        SELECT *, 30 + 10 * (row_number() OVER w - 1) AS weight, coalesce(link, 'header_' || count(*) FILTER (link IS NULL) OVER w) AS identifier FROM items WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+    ), placed AS (SELECT n.*, (SELECT arg_max(p.identifier, p.event_id) FROM named p WHERE p.user_id = n.user_id AND p.level = n.level - 1 AND p.event_id < n.event_id) AS parent FROM named n)
+    SELECT user_id, identifier, arg_max(name, event_id) AS name, arg_max(weight, event_id) AS weight, arg_max(coalesce(parent, ''), event_id) AS parent FROM placed GROUP BY user_id, identifier
+""")
+def tree_legacy_menu(spark, sf_dir):
+    """Events as items of nested lists, a document a user."""
+    key = F.col("event_id")
+    url = F.when(key % 4 != 0, F.concat(F.lit("https://drive.google.com/open?id=x"), (key % 30).cast("string")))
+    items = _table(spark, sf_dir, "events").select("user_id", "event_id", (key % 3).alias("level"), F.when(key % 11 != 0, F.concat(F.lit(" "), "event_type")).otherwise(" ").alias("text"), url.alias("url"))
+    return trees.legacy_menu(items, "user_id", "event_id").withColumn("parent", F.coalesce("parent", F.lit("")))
+
+
+@_query(r"""
+    SELECT event_id, 'a b' || event_type AS shell, 'a\"b' || event_type AS log, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS time, CASE WHEN event_id % 3 > 0 THEN CAST(epoch_ms(ts) // 1000 * 1000 AS BIGINT) END AS ms FROM events
+""")
+def text_safe(spark, sf_dir):
+    """Texts made safe for a command and a log, and times from epoch seconds and to milliseconds."""
+    bad = F.concat(F.lit('a; |"b'), "event_type")
+    time = F.when(F.col("event_id") % 3 > 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("no time")
+    rows = _table(spark, sf_dir, "events")
+    return rows.select(
+        "event_id", P.shell_safe(bad).alias("shell"), P.log_safe(F.concat(F.lit('a\n"\rb'), "event_type")).alias("log"),
+        F.date_format(P.time_of_seconds(F.col("event_id").cast("string")), "yyyy-MM-dd HH:mm:ss").alias("time"), P.millis_of(time).alias("ms"),
+    )
+
+
+@_query("""
+    SELECT p_partkey, lower(replace(p_name, ' ', '_')) || '_und_' || p_size || '_prozent_oder_gruen' AS de, replace(p_name, ' ', '-') || '-y-' || p_size || '-por-ciento-o-grun' AS es, replace(p_name, ' ', '') || 'and' || p_size || 'percentorgrun' AS strict FROM part
+""")
+def name_slugify(spark, sf_dir):
+    """Slugs in two languages and without any sign but letters and digits."""
+    from leafmill.functions.unicode import slugify
+
+    size = F.col("p_size").cast("string")
+    name = F.concat(F.lit(" "), "p_name", F.lit(" & "), size, F.lit(" % | grün ^ "))
+    return _table(spark, sf_dir, "part").select("p_partkey", slugify(name, "de", "_", lower=True).alias("de"), slugify(name, "es").alias("es"), slugify(F.replace(name, F.lit(" "), F.lit("")), strict=True).alias("strict"))
+
+
+@_query("SELECT event_id FROM (SELECT event_id, ts FROM events WHERE ts <= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 100)")
+def event_default_page(spark, sf_dir):
+    """A descending page without bounds ends now; here now is given."""
+    fits = events.default_range("ts", F.lit("2024-01-10").cast("timestamp_ntz"), True)
+    return events.log_page(_table(spark, sf_dir, "events"), ("ts", "event_id"), fits, True, 0, 100).select("event_id")
+
+
 # the stored index
 
 

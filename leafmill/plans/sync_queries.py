@@ -119,10 +119,10 @@ def path_parts_of_files(spark, sf_dir):
 
 @_query(r"""
     SELECT doc_id, lower(trim(regexp_replace(head, '[^A-Za-z0-9_]+', ' ', 'g'))) AS words, rtrim(translate(to_base64(encode(head)), '+/', '-_'), '=') AS code, head AS back
-    FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS head FROM documents)
+    FROM (SELECT doc_id, coalesce(text, '') AS head FROM documents)
 """)
 def text_codes(spark, sf_dir):
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    head = F.coalesce("text", F.lit(""))
     return _table(spark, sf_dir, "documents").select("doc_id", F.replace(P.anchor(head), F.lit("-"), F.lit(" ")).alias("words"), P.base64_url(head).alias("code"), P.unbase64_url(P.base64_url(head)).alias("back"))
 
 
@@ -472,7 +472,7 @@ _CODES = "CASE l_returnflag WHEN 'R' THEN 'A' WHEN 'N' THEN 'M' ELSE 'D' END"
 
 
 def _git_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    line = _table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    line = _table(spark, sf_dir, "lineitem")
     code = F.when(F.col("l_returnflag") == "R", "A").when(F.col("l_returnflag") == "N", "M").otherwise("D")
     path = F.concat(F.lit("d/"), F.col("l_partkey").cast("string"))
     named = line.select((F.col("l_orderkey") % 10).alias("doc"), F.concat(code, F.lit("\t"), path, F.lit(".md")).alias("line"))
@@ -480,7 +480,7 @@ def _git_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return named, short
 
 
-_GIT = f"""src AS (SELECT *, l_orderkey % 10 AS doc, 'd/' || l_partkey || '.md' AS path FROM lineitem WHERE l_orderkey % 5 = 0),
+_GIT = f"""src AS (SELECT *, l_orderkey % 10 AS doc, 'd/' || l_partkey || '.md' AS path FROM lineitem),
     both_ AS (SELECT doc, path, CASE {_CODES} WHEN 'A' THEN 'N' ELSE {_CODES} END AS state, 0 AS att FROM src
               UNION ALL SELECT doc, path, CASE WHEN l_linenumber % 3 = 0 OR l_linenumber % 2 = 1 THEN 'M' ELSE 'N' END, CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END FROM src)"""
 

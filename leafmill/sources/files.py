@@ -115,8 +115,14 @@ def read_logs(spark: SparkSession, path: str, since: datetime | None = None, unt
 
 
 def read_job_log(spark: SparkSession, path: str, job: str) -> DataFrame:
-    """The lines of one job, from logs written by job (a partition column ``job``)."""
-    return spark.read.json(path).where(F.col("job") == job)
+    """The lines of one job, from logs written by job (a partition column ``job``); none where the job wrote none.
+
+    Only the job's own folder is opened, with a fixed schema.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/job={job}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], f"{LOG}, job string")
+    return spark.read.schema(LOG).json(place.toString()).withColumn("job", F.lit(job))
 
 
 def split_front_matter(text: Column) -> Column:
