@@ -25,6 +25,11 @@ def back_links(links: DataFrame) -> DataFrame:
     return pairs.groupBy("target").agg(F.count("*").alias("n_sources"), F.sum("n").alias("n_links"))
 
 
+def distinct_links(links: DataFrame) -> DataFrame:
+    """source, target and first: the distinct targets of each source, with their first place."""
+    return links.groupBy("source", "target").agg(F.min("position").alias("first"))
+
+
 def latest_links(links: DataFrame, key: str, order: str, values: tuple[str, ...]) -> DataFrame:
     """Upsert by key: the values of the last row of each key."""
     return links.groupBy(key).agg(*[F.max_by(v, order).alias(v) for v in values])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.paths import LINK_SCHEME, OPEN_ADDRESS, absolute_document_path, url_to_id
 from leafmill.functions.text import url_hash
+from leafmill.operators.running import cut
 
 MARKDOWN_LINK = r"\[([^\]]+)\]\(([^)]+?)\)"
 SVG_LINK = r'(xlink:href=")([^"]*)'
@@ -60,15 +61,20 @@ def header_map(documents: DataFrame, headers: str) -> DataFrame:
 
 
 def uploaded_links(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """path and html of pages (path, html) whose relative links go to the uploaded documents (path, id)."""
-    rows = pages.select("path", "html", F.posexplode(F.concat(F.regexp_extract_all("html", F.lit(HTML_LINK), 2), F.array(F.lit(None).cast("string")))).alias("at", "href"))
-    named = rows.withColumn("target", absolute_document_path(F.col("path"), F.col("href"))).join(ids.select(F.col("path").alias("target"), "id"), "target", "left")
-    href = F.coalesce(F.concat(F.lit(OPEN_ADDRESS), F.col("id")), F.col("href"))
-    grouped = named.groupBy("path", "html").agg(F.array_sort(F.collect_list(F.struct("at", href.alias("href")))).alias("links"))
-    befores = F.regexp_extract_all("html", F.lit(HTML_LINK), 1)
+    """path and html of pages (path, html) whose relative links go to the uploaded documents (path, id).
+
+    Links are looked up by page number, place and target alone; a page's text is shuffled once, to meet its links.
+    """
+    numbered = cut(pages.select("path", "html").withColumn("__page", F.monotonically_increasing_id()))
+    rows = numbered.select("__page", "path", F.posexplode(F.regexp_extract_all("html", F.lit(HTML_LINK), 2)).alias("at", "href"))
+    targets = rows.select("__page", "at", absolute_document_path(F.col("path"), F.col("href")).alias("target"))
+    found = targets.join(ids.select(F.col("path").alias("target"), "id"), "target", "left").groupBy("__page", "at").agg(F.max("id").alias("id"))
+    links = found.groupBy("__page").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("links"))
+    befores, hrefs = (F.regexp_extract_all("html", F.lit(HTML_LINK), n) for n in (1, 2))
     gaps = F.split("html", re.sub(r"(?<!\\)\((?!\?)", "(?:", HTML_LINK), -1)
-    made = F.zip_with(F.concat(befores, F.array(F.lit(""))), "links", lambda before, x: F.concat(before, F.coalesce(x["href"], F.lit(""))))
-    return grouped.select("path", F.array_join(F.zip_with(gaps, made, lambda gap, link: F.concat(gap, F.coalesce(link, F.lit("")))), "").alias("html"))
+    parts = F.arrays_zip(gaps.alias("gap"), befores.alias("before"), hrefs.alias("href"), F.coalesce("links", F.array().cast("array<string>")).alias("id"))
+    whole = F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(x["before"], F.lit("")), F.coalesce(F.concat(F.lit(OPEN_ADDRESS), x["id"]), x["href"], F.lit(""))))
+    return numbered.join(links, "__page", "left").select("path", F.array_join(whole, "").alias("html"))
 
 
 def rewrite_rules(tag: Column, href: Column, label: Column, rules: tuple[tuple[str, str, str | None, str], ...]) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.paths import url_to_id
@@ -196,22 +196,23 @@ def legacy_menu(items: DataFrame, doc: str, at: str, start: int = 30, step: int
     return last.select(doc, "identifier", "x.name", "x.weight", "x.parent")
 
 
-def bullet_menu(lines: DataFrame, doc: str, line_no: str, line: str, start: int = 10, step: int = 10) -> DataFrame:
+def bullet_menu(lines: DataFrame, doc: str, line_no: str, line: str, start: int = 10, step: int = 10, depth: int = 12) -> DataFrame:
     """doc, identifier, name, weight and parent of the linked bullets of Markdown navigation documents.
 
-    A bullet's level is its indent in threes; its parent is the last linked bullet before it one level up. Weights
-    rise over the linked bullets of a document. A document is one group: navigation pages are short.
+    A bullet's level is its indent in threes; its parent is the last linked bullet before it of a lower level, if that is
+    one level up. Weights rise over the linked bullets of a document. Both are last values and sums over ranges of
+    (doc, line), so a document of any length is read by many tasks. Levels from ``depth`` on end the job.
     """
     level = F.floor(F.length(F.regexp_extract(line, r"^( *)\* ", 1)) / 3).cast("int")
+    level = F.when(level < depth, level).otherwise(F.raise_error(F.lit(f"bullets nested in {depth} levels or more")).cast("int"))
     link = F.regexp_extract(line, r"^ *\* \[([^\]]*)\]\(([^)]*)\)", 2)
     name = F.regexp_extract(line, r"^ *\* \[([^\]]*)\]\(([^)]*)\)", 1)
-    rows = lines.select(doc, line_no, level.alias("level"), link.alias("identifier"), name.alias("name")).where("identifier <> ''")
-    by_doc = Window.partitionBy(doc).orderBy(line_no)
-    before = F.collect_list(F.struct("level", "identifier")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    up = F.filter(before, lambda x: x["level"] < F.col("level"))
-    nearest = F.get(up, F.size(up) - 1)
-    weight = (F.lit(start) + step * (F.row_number().over(by_doc) - 1)).cast("long")
-    return rows.withColumn("weight", weight).withColumn("parent", F.when(nearest["level"] == F.col("level") - 1, nearest["identifier"])).select(doc, "identifier", "name", "weight", "parent")
+    rows = lines.select(doc, line_no, link.alias("identifier"), name.alias("name"), level.alias("level")).where("identifier <> ''")
+    at_level = {f"__last{n}": F.when(F.col("level") == n, F.struct(F.col(line_no).alias("at"), F.col("level").alias("level"), F.col("identifier").alias("id"))) for n in range(depth)}
+    found = running_last(rows, (doc,), (line_no,), at_level)
+    nearest = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(c)) for n, c in enumerate(at_level)]))
+    placed = running_sum(found.withColumn("parent", F.when(nearest["level"] == F.col("level") - 1, nearest["id"])), (doc,), (line_no,), F.lit(1).cast("long"), "__n")
+    return placed.select(doc, "identifier", "name", (F.lit(start) + step * (F.col("__n") - 1)).alias("weight"), "parent")
 
 
 def change_tree(paths: DataFrame, path: str) -> DataFrame:

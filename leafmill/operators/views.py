@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,30 @@ def remote_predicate(folder: str | None = None, since: str | None = None) -> Col
     return fits
 
 
+def find(rows: DataFrame, **values: object) -> DataFrame:
+    """The rows whose columns have the given values, of which null is one; filters reach the scan."""
+    fits = F.lit(True)
+    for name, value in values.items():
+        fits = fits & (F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return rows.where(fits)
+
+
+def with_repeats(*lists: DataFrame) -> DataFrame:
+    """The rows of all lists, one after the other; rows that several have are repeated."""
+    return functools.reduce(DataFrame.unionByName, lists)
+
+
+def without_repeats(*lists: DataFrame) -> DataFrame:
+    """The rows that any list has, each once; repeats go inside tasks before they are sent."""
+    return with_repeats(*lists).distinct()
+
+
+def counted(owners: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key and ``name`` of each owner: how many rows have its key, 0 for none. A frequent key is one row a task."""
+    found = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    return owners.select(key).join(found, key, "left").select(key, F.coalesce("__n", F.lit(0)).alias(name))
+
+
 def without_nulls(params: Column) -> Column:
     """A map without the keys whose value is null."""
     return F.map_filter(params, lambda k, v: v.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import events, links, naming, search, snapshots, trees
+from leafmill.operators import events, links, naming, search, snapshots, trees, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -257,8 +257,8 @@ def job_without_repeats(spark, sf_dir):
 
 @_query("SELECT n_nationkey, count(c_custkey) AS n_jobs FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def job_counts(spark, sf_dir):
-    counts = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    return _table(spark, sf_dir, "nation").join(counts, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n_jobs"))
+    jobs = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
+    return views.counted(_table(spark, sf_dir, "nation"), jobs, "n_nationkey", "n_jobs")
 
 
 @_query("SELECT user_id, count(*) AS n_lines FROM events GROUP BY user_id HAVING bool_and(value < 4 * user_id)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import texts, views
+from leafmill.operators import links, texts, views
 from leafmill.plans.queries import _LINKS, _links, _nodes, _query, _table
 from leafmill.plans.sync_queries import ORACLE_SQL, QUERIES, _SHAPED, _shaped  # noqa: F401
 
@@ -170,13 +170,13 @@ def git_asset_folders(spark, sf_dir):
 @_query("SELECT path FROM (SELECT 'a' || p_partkey AS path FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'a' || p_partkey FROM part WHERE p_size % 3 = 0)")
 def git_union_with_repeats(spark, sf_dir):
     part = _table(spark, sf_dir, "part").withColumn("path", F.concat(F.lit("a"), F.col("p_partkey").cast("string")))
-    return part.where("p_size % 2 = 0").select("path").unionByName(part.where("p_size % 3 = 0").select("path"))
+    return views.with_repeats(part.where("p_size % 2 = 0").select("path"), part.where("p_size % 3 = 0").select("path"))
 
 
 @_query("SELECT DISTINCT p_brand AS pattern FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT p_brand FROM part WHERE p_size % 3 = 0")
 def git_ignore_list(spark, sf_dir):
     part = _table(spark, sf_dir, "part").withColumnRenamed("p_brand", "pattern")
-    return part.where("p_size % 2 = 0").select("pattern").unionByName(part.where("p_size % 3 = 0").select("pattern")).distinct()
+    return views.without_repeats(part.where("p_size % 2 = 0").select("pattern"), part.where("p_size % 3 = 0").select("pattern"))
 
 
 @_query("SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events WHERE event_id % 3 = 0 GROUP BY user_id")
@@ -241,7 +241,7 @@ def name_slug_unicode(spark, sf_dir):
 
 @_query("SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_type = 'view'")
 def event_find(spark, sf_dir):
-    return _table(spark, sf_dir, "events").where((F.col("user_id") == 7) & (F.col("event_type") == "view")).select("event_id", "event_type")
+    return views.find(_table(spark, sf_dir, "events"), user_id=7, event_type="view").select("event_id", "event_type")
 
 
 @_query("SELECT event_id FROM (SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 25)")
@@ -255,5 +255,5 @@ def event_second_page(spark, sf_dir):
 @_query(f"WITH {_LINKS} SELECT source, string_agg(target, ' ' ORDER BY first) AS targets FROM (SELECT source, target, min(position) AS first FROM links GROUP BY source, target) GROUP BY source")
 def link_distinct(spark, sf_dir):
     """The distinct links of each document, in the order of their first place."""
-    first = _links(spark, sf_dir).groupBy("source", "target").agg(F.min("position").alias("first"))
+    first = links.distinct_links(_links(spark, sf_dir))
     return first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "target"))), lambda x: x["target"]), " ").alias("targets"))

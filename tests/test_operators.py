@@ -98,7 +98,10 @@ def test_change_state_writes_what_a_batch_touches(spark, tmp_path):
     state.merge(spark.range(600).selectExpr("id as k", "10L as seq", "'more' as v"), 4)
     state.merge(spark.range(600).selectExpr("id as k", "11L as seq", "'most' as v"), 5)
     assert {r["k"]: r["v"] for r in state.read().collect()} == found | {k: "most" for k in range(600)}
-    assert (tmp_path / "s" / "base-0000000005").exists() and not (tmp_path / "s" / "delta-0000000001").exists()
+    assert (tmp_path / "s" / "base-0000000005").exists() and (tmp_path / "s" / "delta-0000000001").exists()  # the version before names it
+    assert state.read(4).count() == 1002
+    state.merge(spark.createDataFrame([(1, 12, "last")], schema), 6)
+    assert not (tmp_path / "s" / "delta-0000000001").exists() and {r["k"]: r["v"] for r in state.read().collect()} == found | {k: "last" if k == 1 else "most" for k in range(600)}
 
 
 def test_change_state_after_a_cut_off_batch_and_pruning(spark, tmp_path):
