@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.running import running_last, running_sum
+from leafmill.operators.running import Rounds, cut, running_last, running_sum
 
 
 def latest_by(log: DataFrame, key: str, order: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
@@ -51,9 +54,14 @@ def trailing_count(log: DataFrame, key: str, at: str, seconds: int) -> DataFrame
 
 
 def durations(log: DataFrame, key: str, order: tuple[str, ...], at: str) -> DataFrame:
-    """The rows with ``seconds`` to the key's next row, to a tenth; null for its last."""
-    following = F.lead(F.unix_micros(F.col(at).cast("timestamp"))).over(Window.partitionBy(key).orderBy(*order))
-    return log.withColumn("seconds", F.round((following - F.unix_micros(F.col(at).cast("timestamp"))) / 1e6, 1))
+    """The rows with ``seconds`` to the key's next row, to a tenth; null for its last. The order is unique in a key.
+
+    Rows are numbered and looked up backwards over ranges, so a frequent key is spread over tasks.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    numbered = running_sum(log, (key,), order, F.lit(-1).cast("long"), "__back")
+    found = running_last(numbered, (key,), ("__back",), {"__next": F.struct(micros.alias("micros"))})
+    return found.select(*log.columns, F.round((F.col("__next.micros") - micros) / 1e6, 1).alias("seconds"))
 
 
 def archive(log: DataFrame, key: str, order: tuple[str, ...], keep: int = 100) -> DataFrame:
@@ -63,10 +71,12 @@ def archive(log: DataFrame, key: str, order: tuple[str, ...], keep: int = 100) -
 
 
 def without_repeats(calls: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], at: str, gap_seconds: int) -> DataFrame:
-    """Calls whose key was not called in the ``gap_seconds`` before."""
+    """Calls whose key was not called in the ``gap_seconds`` before. The order is unique in a key; the call before is a last
+    value over ranges, so a frequent key is spread over tasks."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    since = micros - F.lag(micros).over(Window.partitionBy(*keys).orderBy(*order))
-    return calls.withColumn("__since", since).where(F.col("__since").isNull() | (F.col("__since") > gap_seconds * 1_000_000)).drop("__since")
+    found = running_last(calls, keys, order, {"__before": F.struct(micros.alias("micros"))})
+    since = micros - F.col("__before.micros")
+    return found.where(since.isNull() | (since > gap_seconds * 1_000_000)).select(*calls.columns)
 
 
 def all_pass(lines: DataFrame, key: str, passes: Column) -> DataFrame:
@@ -119,19 +129,30 @@ def job_schedule(calls: DataFrame, drive: str, order: str) -> DataFrame:
 def active_dedupe(calls: DataFrame, drive: str, kind: str, payload: str, order: str, ended: str) -> DataFrame:
     """Calls that schedule a job: of calls of one drive, kind and payload, those made when no scheduled one is active.
 
-    A call is active from its order to its ``ended``; a dropped call blocks nothing. Groups are one drive's calls of
-    one kind and payload, folded in order.
+    A call is active from its order to its ``ended`` (null: for ever); a dropped call blocks nothing. Each call points to
+    the one that would be taken after it, the first at or after its end; those that the first call of its group leads to
+    are taken. The pointers are last values over ranges, going back in time, and the way along them is found by pointer
+    doubling, so no task folds the calls of a group.
     """
-    row = F.struct(F.col(order).alias("at"), F.col(ended).alias("ended"))
-    grouped = calls.groupBy(drive, kind, payload).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(None).cast(calls.schema[ended].dataType).alias("until"), F.array().cast(f"array<{calls.schema[order].dataType.simpleString()}>").alias("taken"))
-
-    def step(state: Column, x: Column) -> Column:
-        free = state["until"].isNull() | (x["at"] >= state["until"])
-        return F.when(free, F.struct(x["ended"].alias("until"), F.concat(state["taken"], F.array(x["at"])).alias("taken"))).otherwise(state)
-
-    taken = F.aggregate("rows", start, step, lambda s: s["taken"])
-    return grouped.select(drive, kind, payload, F.explode(taken).alias(order))
+    group = (drive, kind, payload)
+    rounds = Rounds(calls.sparkSession, "active")
+    rows = cut(calls.select(*group, F.col(order).alias("__at"), F.col(ended).alias("__end")).withColumn("__row", F.monotonically_increasing_id()))
+    placed = rounds.put(running_sum(rows, group, ("__at", "__end", "__row"), F.lit(1).cast("long"), "__n").drop("__row"))
+    events_ = placed.select(*group, F.col("__at").alias("__t"), F.lit(1).alias("__call"), F.col("__n").alias("__id")).unionByName(placed.where("__end is not null").select(*group, F.col("__end").alias("__t"), F.lit(0).alias("__call"), F.col("__n").alias("__id")))
+    timed = running_sum(events_, group, ("__t", "__call", "__id"), F.lit(-1).cast("long"), "__back")
+    ahead = running_last(timed, group, ("__back",), {"__first": F.when(F.col("__call") == 1, F.col("__id"))}).where("__call = 0")
+    jumps = rounds.put(ahead.select(*group, F.col("__id").alias("__n"), F.greatest("__first", F.col("__id") + 1).alias("__to")).where("__first is not null"))
+    taken = rounds.put(placed.where("__n = 1").select(*group, "__n"))
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group])
+    for _ in range(math.ceil(math.log2(placed.count() + 1)) + 1):
+        if jumps.isEmpty():
+            break
+        led = taken.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.__n") == F.col("b.__n"))).select(*[F.col(f"a.{g}") for g in group], F.col("b.__to").alias("__n"))
+        more = rounds.put(taken.unionByName(led))
+        twice = rounds.put(jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.__to") == F.col("b.__n"))).select(*[F.col(f"a.{g}") for g in group], "a.__n", "b.__to"))
+        rounds.drop(taken, jumps)
+        taken, jumps = more, twice
+    return placed.alias("a").join(taken.alias("b"), same("a", "b") & (F.col("a.__n") == F.col("b.__n")), "left_semi").select(*group, F.col("__at").alias(order))
 
 
 def last_finished(jobs: DataFrame, key: str, order: str, state: str, started: str, finished: str) -> DataFrame:

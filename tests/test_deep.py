@@ -199,3 +199,16 @@ def test_stored_index_opens_only_the_files_of_a_range(spark, tmp_path):
     index.merge()
     assert {r["ref"] for r in index.search("zebra").collect()} == want and len(index.segments()) == 1 and index.look_up("w010").count() == 0
     assert index.search(": ").count() == 0 and TermIndex(spark, str(tmp_path / "none")).search("x").count() == 0
+
+
+def test_active_calls_equal_a_fold(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), "k", rng.choice(["p", None]), at, rng.choice([None] + [at + rng.randint(0, 9)] * 30)) for at in sorted(rng.randint(0, 300) for _ in range(250))]
+    want, until = [], {}
+    for d, k, p, at, end in sorted(rows, key=lambda r: (r[3], r[4] is not None, r[4] or 0)):
+        if (d, p) not in until or (until[d, p] is not None and at >= until[d, p]):
+            until[d, p] = end
+            want.append((d, k, p, at))
+    frame = spark.createDataFrame(rows, "drive long, kind string, payload string, at long, ended long").repartition(3)
+    assert sorted(map(tuple, events.active_dedupe(frame, "drive", "kind", "payload", "at", "ended").collect()), key=str) == sorted(want, key=str)
+    assert events.active_dedupe(frame.limit(0), "drive", "kind", "payload", "at", "ended").count() == 0
