@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.paths import NATIVE, media_extension
 from leafmill.functions.text import MAX_NAME, append_conflict, slug, strip_conflict
 from leafmill.operators.running import cut, running_sum
+from leafmill.operators.trees import tree_paths
 
 #: What stands for an id that is not known yet.
 TO_FILL = "TO_FILL"
@@ -132,3 +133,17 @@ def without_path(log: DataFrame, path: str, removed: str) -> DataFrame:
     """The log without the rows of one path."""
     return log.where(~F.col(path).eqNullSafe(F.lit(removed)))
 
+
+
+def delete_path(nodes: DataFrame, log: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, parent, name) and log (with path) without what lies at a path or below it."""
+    inside = lambda c: F.coalesce((F.col(c) == path) | F.col(c).startswith(path + "/"), F.lit(False))
+    doomed = tree_paths(nodes).where(inside("path")).select("id")
+    return nodes.join(doomed, "id", "left_anti"), log.where(~inside("path"))
+
+
+def transform_tasks(local: DataFrame, remote: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Local rows with the values of the remote row of their id, null where it is gone; of rows of one id the last version
+    counts."""
+    newest = remote.groupBy("id").agg(F.max_by(F.struct(*values), "version").alias("__remote"))
+    return local.join(newest, "id", "left").select(*local.columns, *[F.col(f"__remote.{v}").alias(v) for v in values])

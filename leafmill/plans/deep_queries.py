@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import paths as P
-from leafmill.operators import events, links, ordering, running, trees, variants
+from leafmill.operators import events, links, naming, ordering, running, search, trees, variants
 from leafmill.operators.term_index import TermIndex
-from leafmill.plans.queries import _query, _table
+from leafmill.plans.queries import _LINKS, _links, _nodes, _query, _table
 from leafmill.plans.view_queries import ORACLE_SQL, QUERIES  # noqa: F401
 from leafmill.sinks import files as sinks
 from leafmill.sources import files as sources
@@ -320,3 +320,126 @@ def search_stored(spark, sf_dir):
     index.add(part.where("p_partkey % 2 = 0"), "p_partkey", "id", "title")
     index.merge()
     return index.search("p* 7")
+
+
+# files that Spark writes and reads again
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{running.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_size % 2 = 0 AS trashed, 'f' || p_size AS parent FROM part")
+def source_listing(spark, sf_dir):
+    """Folder listings, a JSON array a file, read with a fixed schema."""
+    item = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") % 2 == 0).alias("trashed"), F.array(F.concat(F.lit("f"), F.col("p_size").cast("string"))).alias("parents"), F.lit("x").alias("more"))
+    pages = _table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 40).alias("page")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    pages.select("value").write.option("maxRecordsPerFile", 1).text(path := _folder(spark, "listing"))
+    return sources.read_listing(spark, path).select("id", "name", "trashed", F.get("parents", F.lit(0)).alias("parent"))
+
+
+@_query("SELECT DISTINCT CAST(p_size + 1 AS BIGINT) AS size FROM part")
+def source_file_sizes(spark, sf_dir):
+    """Sizes of files, whose contents are not read."""
+    _table(spark, sf_dir, "part").select(F.repeat(F.lit("x"), F.col("p_size").cast("int")).alias("value")).distinct().write.option("maxRecordsPerFile", 1).text(path := _folder(spark, "sizes"))
+    return sources.read_metadata(spark, path).where("path like '%/part-%' and size > 0").select("size")
+
+
+@_query("""
+    WITH log AS (SELECT event_id, 'id' || user_id AS id, event_type FROM events WHERE user_id % 10 <> 3), firsts AS (SELECT id, min(event_id) AS first FROM log GROUP BY id)
+    SELECT row_number() OVER (ORDER BY event_id) AS place, event_id, l.id FROM log l JOIN firsts f ON f.id = l.id WHERE event_type <> 'view' OR event_id = first
+""")
+def event_file_order(spark, sf_dir):
+    """An event table written in several files, read in their order, and appended anew under the rules of the log."""
+    event = F.when(F.col("event_type") == "view", "touched").otherwise("created")
+    id_ = F.when(F.col("user_id") % 10 == 3, "TO_FILL").otherwise(F.concat(F.lit("id"), F.col("user_id").cast("string")))
+    log = _table(spark, sf_dir, "events").select(F.concat(F.lit("/"), F.col("event_id").cast("string")).alias("filePath"), F.lit(1).cast("long").alias("mtime"), id_.alias("id"), F.lit("md").alias("type"), event.alias("event"), F.col("event_id").alias("seq"))
+    sinks.write_events(log, path := _folder(spark, "events"))
+    placed = running.running_sum(sources.read_events(spark, path, append=True), (), ("seq",), F.lit(1).cast("long"), "place")
+    return placed.select("place", F.expr("cast(substring(filePath, 2) as bigint)").alias("event_id"), "id")
+
+
+@_query(f"""WITH {_LINKS} SELECT CAST(source AS VARCHAR) AS source, 'page; "' || source || '"' AS name, target AS dest FROM links WHERE target <> ''""")
+def link_file(spark, sf_dir):
+    """A link table written and read again; values hold the separator and quotes."""
+    name = F.concat(F.lit('page; "'), F.col("source").cast("string"), F.lit('"'))
+    rows = _links(spark, sf_dir).where("target <> ''").select(F.col("source").cast("string").alias("source"), name.alias("name"), F.col("target").alias("dest"))
+    sinks.write_links(rows, path := _folder(spark, "links"))
+    return sources.read_links(spark, path)
+
+
+@_query("""
+    SELECT 'm' || event_id AS message, CASE WHEN event_id % 3 = 0 THEN 'j1' END AS job, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events WHERE event_id % 3 <> 0 OR user_id % 5 = 1
+""")
+def sink_job_logs(spark, sf_dir):
+    """Lines with a job by job, all others by day; one job's lines and the daily ones read again."""
+    job = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("j"), (F.col("user_id") % 5).cast("string")))
+    lines = _table(spark, sf_dir, "events").select(F.lit("info").alias("level"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), job.alias("jobId"))
+    sinks.write_logs(lines, by_job := _folder(spark, "by-job"), daily := _folder(spark, "daily"))
+    own = sources.read_job_log(spark, by_job, "j1").unionByName(sources.read_job_log(spark, by_job, "j9"))
+    days = spark.read.schema("message string, day string").json(daily)
+    return own.select("message", "job", F.lit(None).cast("string").alias("day")).unionByName(days.select("message", F.lit(None).cast("string").alias("job"), "day"))
+
+
+# pages, names and look-ups
+
+
+@_query("""
+    SELECT p_partkey, '---' || chr(10) || 'title: ''' || replace(p_name, ' ', '''''') || '''' || chr(10) || 'redirectTo: ''../p' || p_size || '.md''' || chr(10) || '---' || chr(10)
+        || 'Redirecting to ../p' || p_size || '.md' || chr(10) AS page FROM part
+""")
+def sink_redirect_pages(spark, sf_dir):
+    target = F.concat(F.lit("../p"), F.col("p_size").cast("string"), F.lit(".md"))
+    return _table(spark, sf_dir, "part").select("p_partkey", sinks.redirect_page(F.replace("p_name", F.lit(" "), F.lit("'")), target).alias("page"))
+
+
+@_query("""
+    SELECT CASE p_size % 5 WHEN 0 THEN 'n' || p_partkey || '.md' WHEN 1 THEN 'n' || p_partkey || '.svg' WHEN 2 THEN 'n' || p_partkey || '.png' ELSE 'n' || p_partkey END AS real_name,
+        CASE p_size % 5 WHEN 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'conflict' ELSE 'binary' END WHEN 1 THEN 'drawing' WHEN 2 THEN 'binary' ELSE 'directory' END AS kind,
+        CASE WHEN p_size % 5 = 0 AND p_partkey % 3 < 2 THEN 'i' || p_partkey ELSE 'TO_FILL' END AS id
+    FROM part WHERE p_size % 5 < 4
+""")
+def sync_scan_directory(spark, sf_dir):
+    """A folder's files as typed rows; reserved names, assets and debug files are left out."""
+    kind, key = F.col("p_size") % 5, F.col("p_partkey").cast("string")
+    name = F.concat(F.lit("/a/n"), key)
+    path = F.when(kind == 0, F.concat(name, F.lit(".md"))).when(kind == 1, F.concat(name, F.lit(".svg"))).when(kind == 2, F.concat(name, F.lit(".png"))).when(kind == 3, F.concat(name, F.lit("/")))
+    odd = F.when(F.col("p_partkey") % 3 == 0, F.lit("/a/toc.md")).when(F.col("p_partkey") % 3 == 1, F.concat(name, F.lit(".assets"))).otherwise(F.concat(name, F.lit(".debug.xml")))
+    header = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, "type: 'conflict'\n")
+    text = F.coalesce(F.concat(F.lit("---\nid: 'i"), key, F.lit("'\n"), header, F.lit("---\nbody")), F.lit("no header"))
+    files = _table(spark, sf_dir, "part").select(F.coalesce(path, odd).alias("path"), ((kind == 3) | ((kind == 4) & (F.col("p_partkey") % 3 == 1))).alias("is_dir"), text.alias("text"))
+    return sources.scan_directory(files, ("toc.md",))
+
+
+@_query("SELECT p_partkey, CAST(1 AS BIGINT) AS score FROM part WHERE p_partkey = 17")
+def search_by_id(spark, sf_dir):
+    """A query without hits, of over ten letters, is looked up as an id without its dashes."""
+    part = _table(spark, sf_dir, "part")
+    ids = part.select("p_partkey", F.concat(F.lit("Doc_id-long-"), F.col("p_partkey").cast("string")).alias("id_text"))
+    return search.search(search.postings(part, "p_partkey", "p_name"), "p_partkey", "docid-long_17", ids)
+
+
+@_query("""SELECT doc_id, '"' || coalesce(text, '') || '''' || chr(10) || '"''' AS text FROM documents""")
+def text_quotes(spark, sf_dir):
+    curly = F.concat(F.lit("“"), F.coalesce("text", F.lit("")), F.lit("’\u000b”‘"))
+    return _table(spark, sf_dir, "documents").select("doc_id", P.straight_quotes(curly).alias("text"))
+
+
+@_query("""
+    WITH kept AS (SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA')
+    SELECT 's' || s_suppkey AS id, 'node' AS kind FROM kept UNION ALL SELECT 'n' || n_nationkey, 'node' FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA'
+    UNION ALL SELECT 'r' || r_regionkey, 'node' FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 's' || s_suppkey, 'log' FROM kept
+""")
+def tree_delete_path(spark, sf_dir):
+    """A folder that is deleted goes with all below it, and so do the log rows of their paths."""
+    nodes = _nodes(spark, sf_dir)
+    log = trees.tree_paths(nodes).where("id like 's%'").select("id", "path")
+    left, rows = naming.delete_path(nodes, log, "ASIA")
+    return left.select("id", F.lit("node").alias("kind")).unionByName(rows.select("id", F.lit("log").alias("kind")))
+
+
+@_query("SELECT c_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS state, max(o_orderkey) AS version FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def name_transform_tasks(spark, sf_dir):
+    """Local files with the last remote row of their id."""
+    remote = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("state"))
+    return naming.transform_tasks(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), remote, ("state", "version"))

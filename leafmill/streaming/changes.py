@@ -149,9 +149,11 @@ class ChangeState:
         self.merge(state.join(pending_changes(state, tree, self.key, version).select(self.key), self.key, "left_anti"), None, F.lit(True))
 
 
-def start_latest(changes: DataFrame, key: str, order: tuple[str, ...], path: str, checkpoint: str, tree: DataFrame | None = None, version: str | None = None, n_buckets: int = 64) -> StreamingQuery:
+def start_latest(changes: DataFrame, key: str, order: tuple[str, ...], path: str, checkpoint: str, tree: DataFrame | None = None, version: str | None = None, n_buckets: int = 64, every: str | None = None) -> StreamingQuery:
     """Merge each batch into the last change of every key, a ``ChangeState`` in ``path``, until the input is used up.
 
+    With ``every`` (``3 seconds``) the input is polled for ever instead; a poll begins when the one before has ended.
+
     With ``tree`` (a batch table of key and version), a key ends whose last change it holds already, or that it
     lacks and that is trashed.
     """
@@ -165,7 +167,8 @@ def start_latest(changes: DataFrame, key: str, order: tuple[str, ...], path: str
             batch, gone = batch.join(known, key, "left").select(*schema.fieldNames(), held.alias("__held")), F.col("__held")
         ChangeState(batch.sparkSession, path, key, order, schema, n_buckets).merge(batch, number, gone)
 
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    timing = {"processingTime": every} if every else {"availableNow": True}
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**timing).start()
 
 
 def read_latest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

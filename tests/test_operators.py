@@ -119,6 +119,19 @@ def test_change_state_after_a_cut_off_batch_and_pruning(spark, tmp_path):
     assert state.read(state.version() - 1).count() == 18
 
 
+def test_stream_polls(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1), (2, 1)], "k long, seq long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = start_latest(read_changes(spark, str(tmp_path / "in"), rows.schema), "k", ("seq",), str(tmp_path / "out"), str(tmp_path / "ck"), n_buckets=2, every="1 second")
+    try:
+        stream.processAllAvailable()
+        spark.createDataFrame([(1, 2)], "k long, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    assert {tuple(r) for r in read_latest(spark, str(tmp_path / "out")).collect()} == {(1, 2), (2, 1)}
+
+
 def test_stream_goes_on_after_a_restart(spark, tmp_path):
     first = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("seq"))
     first.repartition(2).write.parquet(str(tmp_path / "in"))
