@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.session import cut, in_slices, ship_package
+from leafmill.llm.session import cut, dropping_shuffles, in_slices, ship_package
 from leafmill.llm.wordhash import mix, span_hashes
 
 WINDOW = 20
@@ -376,7 +376,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), F.xxhash64("text").alias("print"), "text")
-    told = cut(repeated_windows(rows.select("id", "print", "text")).groupBy("id", "print").agg(F.collect_set("runs").alias("runs")))
+    with dropping_shuffles(docs.sparkSession):  # the suffixes go before the texts are shuffled
+        told = cut(repeated_windows(rows.select("id", "print", "text")).groupBy("id", "print").agg(F.collect_set("runs").alias("runs")))
     packed = rows.mapInArrow(in_slices(_compress), "doc_id long, id long, print long, size long, text binary")
     whole = packed.join(told, ["id", "print"], "left").select("doc_id", "size", "text", "runs")
     removed = whole.mapInArrow(in_slices(_remove), "doc_id long, n_words long, n_removed long, kept binary, repeats array<struct<first:long,n_words:long>>")
