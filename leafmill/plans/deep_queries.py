@@ -273,7 +273,7 @@ def tree_legacy_menu(spark, sf_dir):
 
 
 @_query(r"""
-    SELECT event_id, 'a b' || event_type AS shell, 'a\"b' || event_type AS log, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS time, CASE WHEN event_id % 3 > 0 THEN CAST(epoch_ms(ts) // 1000 * 1000 AS BIGINT) END AS ms FROM events
+    SELECT event_id, 'a b' || event_type AS shell, 'a\"b' || event_type AS log, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS time, CASE WHEN event_id % 3 > 0 THEN CAST(epoch_us(ts) // 1000000 * 1000 AS BIGINT) END AS ms FROM events
 """)
 def text_safe(spark, sf_dir):
     """Texts made safe for a command and a log, and times from epoch seconds and to milliseconds."""
