@@ -6,8 +6,8 @@ inside the word (with its ends marked), and Viterbi with a switching penalty lab
 of mixed-language text come out with their ends. The predicted language holds most words of the path.
 
 Counts for the model come from at most ``max_training_rows`` labelled rows (chosen by a hash of the id); what is
-collected is bounded by their texts. It has ``4 * 2 ** bits`` numbers a language, 1 MB with the default, whatever
-the number of languages.
+collected is bounded by their texts. It has ``4 * 2 ** bits`` numbers a language, 1 MB with the default (three
+times that on the driver while it learns), whatever the number of languages.
 
 The score is the share of lettered words that are of the predicted language and of a script that some learnt language
 writes: a text in scripts that none of them writes scores 0.

@@ -74,14 +74,14 @@ def test_language_without_letters_and_empty(spark):
 
 
 def test_language_keeps_hundreds_of_languages(spark):
-    from leafmill.llm.language import MAX_NUMBERS, ORDERS, predict, train
+    from leafmill.llm.language import ORDERS, LanguageSettings, predict, train
 
     dice = random.Random(2)
     words = ["".join(dice.choices(string.ascii_lowercase, k=6)) for _ in range(3000)]
     rows = [(k, " ".join(words[k * 10 : k * 10 + 10] * 3), f"l{k:03d}") for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = train(docs)
-    assert len(model.languages) == 300 and model.table.size <= MAX_NUMBERS and model.table.shape[0] == len(ORDERS) << model.settings.bits
+    assert len(model.languages) == 300 and model.table.shape == (len(ORDERS) << LanguageSettings().bits, 300)
     assert sum(r["lang_pred"] == f"l{r['doc_id']:03d}" for r in predict(docs, model).collect()) >= 290
 
 
