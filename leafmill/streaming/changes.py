@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from leafmill.operators.snapshots import pending_changes
 
-_BUCKET, _GONE = "__bucket", "__gone"
+_BUCKET, _GONE, _MERGE = "__bucket", "__gone", "__merge"
 _MANIFEST = "bucket int, base string, n_base long, deltas array<string>, n_deltas long"
 _BATCH = -1  # the manifest's row that has the stream's last batch as n_base
 
@@ -39,7 +39,7 @@ def latest_changes(changes: DataFrame, key: str, order: tuple[str, ...], values:
 class ChangeState:
     """The last change of every ``key`` by ``order``, in the folder ``path`` of a shared file system.
 
-    Null keys are one key. Of changes of equal order any may stay. At most ``n_buckets`` rows of manifests pass
+    Null keys are one key. Of changes of equal order the one merged later stays, of one merge's any may. At most ``n_buckets`` rows of manifests pass
     through the driver; ``n_buckets`` should let a bucket's rows fit a task.
     """
 
@@ -63,7 +63,7 @@ class ChangeState:
 
     @property
     def _stored(self) -> StructType:
-        return StructType([*self.schema.fields]).add(_GONE, "boolean")
+        return StructType([*self.schema.fields]).add(_GONE, "boolean").add(_MERGE, "long")
 
     def _folder(self, kind: str, version: int) -> str:
         return f"{self.path.rstrip('/')}/{kind}-{version:010d}"
@@ -93,11 +93,11 @@ class ChangeState:
             return self.spark.createDataFrame([], self._stored)
         rest = [f.name for f in self._stored.fields if f.name != self.key]
         rows = self.spark.read.schema(self._stored).parquet(*folders)
-        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("row")).select(self.key, "row.*").select(*self._stored.fieldNames())
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.struct(*self.order, _MERGE)).alias("row")).select(self.key, "row.*").select(*self._stored.fieldNames())
 
     def read(self, version: int | None = None) -> DataFrame:
         """The state of a version (the last one). Versions before the last two have no files left."""
-        return self._read(self.manifest(self.version() if version is None else version)).where(f"not {_GONE}").drop(_GONE)
+        return self._read(self.manifest(self.version() if version is None else version)).where(f"not {_GONE}").drop(_GONE, _MERGE)
 
     def _write(self, rows: DataFrame, folder: str) -> dict[int, int]:
         placed = rows.withColumn(_BUCKET, self._bucket())
@@ -116,7 +116,7 @@ class ChangeState:
         if last < 0:
             self._describe()
         rest = [f.name for f in self._stored.fields if f.name != self.key]
-        marked = changes.withColumn(_GONE, F.lit(False) if gone is None else F.coalesce(gone, F.lit(False)))
+        marked = changes.withColumn(_GONE, F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).withColumn(_MERGE, F.lit(last + 1).cast("long"))
         newest = marked.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("row")).select(self.key, "row.*").select(*self._stored.fieldNames())
         delta = self._folder("delta", last + 1)
         live = {b: dict(m) for b, m in before.items()}

@@ -119,6 +119,16 @@ def test_change_state_after_a_cut_off_batch_and_pruning(spark, tmp_path):
     assert state.read(state.version() - 1).count() == 18
 
 
+def test_change_state_ends_keys_by_changes_of_the_same_order(spark, tmp_path):
+    """A later change of the same order wins, in whatever order the files are read: here the later, larger file comes first."""
+    schema = "k long, seq long, v string"
+    state = ChangeState(spark, str(tmp_path / "s"), "k", ("seq",), spark.createDataFrame([], schema).schema, n_buckets=1)
+    state.merge(spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], schema), 0)
+    state.merge(spark.range(1, 5000).selectExpr("id as k", "5L as seq", "concat('later', id) as v"), 1, F.col("k") == 1)
+    found = {r["k"]: r["v"] for r in state.read().where("k < 4").collect()}
+    assert found == {2: "later2", 3: "later3"}
+
+
 def test_stream_polls(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1), (2, 1)], "k long, seq long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
