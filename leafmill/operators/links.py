@@ -55,6 +55,22 @@ def closure(links: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> Dat
     raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
 
 
+def closure_by_name(links: DataFrame, names: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """node and distance as ``closure`` gives them, where a link (source, name) leads to all nodes of the name.
+
+    ``names`` has node and name; a node can have several, null ones count as none. Links to a name and nodes of it are
+    never paired, as that would cost their product: names are closed over names, and a node is as far as the nearest
+    name that it links to.
+    """
+    named = names.where("name is not null").select("node", "name")
+    pairs = cut(links.select("source", "name").distinct().join(named.select("name").distinct(), "name", "left_semi").select("source", "name"))
+    between = pairs.join(named.select(F.col("node").alias("source"), F.col("name").alias("__own")), "source").select(F.col("__own").alias("source"), F.col("name").alias("target"))
+    first = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
+    reached = closure(between, named.join(first, "node", "left_semi").select("name"), max_rounds).select(F.col("node").alias("name"), "distance")
+    led = pairs.join(reached, "name").select(F.col("source").alias("node"), (F.col("distance") + 1).alias("distance"))
+    return led.unionByName(first.withColumn("distance", F.lit(0).cast("long"))).groupBy("node").agg(F.min("distance").alias("distance"))
+
+
 def document_links(links: DataFrame) -> DataFrame:
     """source, target and n_target_links of links (source, target) between documents: the scheme and the hash are taken off.
 

@@ -286,11 +286,10 @@ def link_rewrite_relative(spark, sf_dir):
 
 @_query(f"WITH {_LINKS}, graph AS (SELECT DISTINCT l.source, p.page_id AS target FROM links l JOIN (SELECT page_id, '/' || split_part(split_part(url, '://', 2), '/', 2) AS path FROM pages) p ON p.path = l.target), reach AS (WITH RECURSIVE r(node) AS (SELECT min(page_id) FROM pages UNION SELECT g.source FROM r JOIN graph g ON g.target = r.node) SELECT node FROM r) SELECT node FROM reach")
 def link_page_closure(spark, sf_dir):
-    rest = F.get(F.split("url", "://"), 1)
     pages = _table(spark, sf_dir, "pages")
-    path = pages.select(F.col("page_id").alias("page"), F.concat(F.lit("/"), F.coalesce(F.get(F.split(rest, "/"), 1), F.lit(""))).alias("target"))
-    graph = _links(spark, sf_dir).join(path, "target").select("source", F.col("page").alias("target"))
-    return links.closure(graph, pages.agg(F.min("page_id").alias("node"))).select("node")
+    path = F.concat(F.lit("/"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2)))
+    found = _links(spark, sf_dir).select("source", F.col("target").alias("name"))
+    return links.closure_by_name(found, pages.select(F.col("page_id").alias("node"), path.alias("name")), pages.agg(F.min("page_id").alias("node"))).select("node")
 
 
 @_query(f"{_WALK} SELECT id, path, depth FROM walk WHERE path = 'ASIA/NATION_12'")

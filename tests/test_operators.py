@@ -75,6 +75,28 @@ def test_stream_prunes_what_the_tree_holds(spark, tmp_path):
     assert {r["k"] for r in read_latest(spark, str(tmp_path / "out")).collect()} == {2, 4}
 
 
+def test_closure_by_name_pairs_no_links_with_nodes(spark):
+    """As the closure over paired links, nodes of several and of no names included; a name of many links and nodes costs their sum."""
+    links_ = spark.createDataFrame([(2, "a"), (3, "b"), (4, "c"), (1, "c"), (9, "c"), (5, "none"), (6, None), (7, "b"), (8, "d")], "source long, name string")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (2, "x"), (3, "c"), (7, "c"), (4, "d"), (6, None), (8, "z")], "node long, name string")
+    seeds = spark.createDataFrame([(1,)], "id long")
+    want = links.closure(links_.join(names, "name").select("source", F.col("node").alias("target")), seeds)
+    got = {tuple(r) for r in links.closure_by_name(links_, names, seeds).select("node", "distance").collect()}
+    assert got == {tuple(r) for r in want.select("node", "distance").collect()} == {(1, 0), (2, 1), (3, 2), (7, 2), (4, 3), (9, 3), (8, 4)}
+    many = spark.range(1, 300_001)
+    found = links.closure_by_name(many.select(F.col("id").alias("source"), F.lit("hub").alias("name")), many.select(F.col("id").alias("node"), F.lit("hub").alias("name")), seeds)
+    assert found.count() == 300_000 and found.agg(F.max("distance")).first()[0] == 1
+
+
+def test_page_closure_of_odd_urls(spark, tmp_path):
+    from leafmill.plans.deep_queries import ORACLE_SQL, QUERIES
+    from parity import compare
+
+    pages = [(0, "https://h/en/1", ""), (1, None, '<a href="/en">'), (2, "no scheme", None), (3, "https://h", '<a href="/">'), (4, "https://h/fr?q", '<a href="/en">'), (5, "https://h/fr", '<a href="/en">'), (6, "a://b/d://e/f", '<a href="/fr">'), (7, "x://y", '<a href="/d:">'), (8, "x://y/z", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    compare(spark, QUERIES["link_page_closure"], ORACLE_SQL["link_page_closure"], str(tmp_path))
+
+
 def folder_rows(spark, path, kind):
     return sum(spark.read.parquet(str(p)).count() for p in path.glob(f"{kind}-*"))
 
