@@ -14,9 +14,26 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
 
 
+#: Characters of the texts whose terms a task counts.
+PART_CHARS = 1_000_000
+
+
+def _counted(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """term, the keys and tf of the tokens of texts (keys and ``__text``).
+
+    Nearly every term of a row is a group of its own, so counting before the shuffle saves nothing and holds all of them;
+    rows are dealt before they are taken apart, and terms before they are counted, by so many partitions that a task's
+    share stays the same whatever the input's size and the files it comes in.
+    """
+    chars = texts.agg(F.sum(F.length("__text").cast("long"))).first()[0] or 0  # one row
+    parts = 1 + max(chars // PART_CHARS, min(texts.sparkSession.sparkContext.defaultParallelism, chars // 50_000))
+    terms = texts.repartition(parts, *keys, "__text").select(*keys, F.explode(tokens(F.col("__text"))).alias("term"))
+    return terms.repartition(parts, "term", *keys).groupBy("term", *keys).agg(F.count("*").alias("tf"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """term, key and tf."""
-    return docs.select(F.col(key), F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    return _counted(docs.select(F.col(key), F.col(text).alias("__text")), [key])
 
 
 def query_terms(query: str) -> list[str]:
@@ -55,8 +72,8 @@ def field_postings(nodes: DataFrame, ref: str, id_col: str, title: str) -> DataF
         F.struct(F.lit("id2").alias("field"), F.translate(F.col(id_col).cast("string"), "_-", "").alias("text")),
         F.struct(F.lit("title").alias("field"), F.col(title).alias("text")),
     )
-    each = nodes.select(F.col(ref).alias("ref"), F.inline(fields)).where("text is not null")
-    return each.select("ref", "field", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "field", "ref").agg(F.count("*").alias("tf"))
+    each = nodes.select(F.col(ref).alias("ref"), F.inline(fields)).where("text is not null").withColumnRenamed("text", "__text")
+    return _counted(each, ["field", "ref"])
 
 
 def bm25(index: DataFrame, key: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -97,6 +97,24 @@ def test_page_closure_of_odd_urls(spark, tmp_path):
     compare(spark, QUERIES["link_page_closure"], ORACLE_SQL["link_page_closure"], str(tmp_path))
 
 
+def largest_share(df):
+    """Rows of the largest partition of a result, and all its rows."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes), sum(sizes)
+
+
+def test_postings_keep_tasks_small(spark, monkeypatch):
+    """One file of many rows and one frequent term: dealt before rows are taken apart, so by the texts' size."""
+    monkeypatch.setattr(search, "PART_CHARS", 10_000, raising=False)
+    docs = spark.range(6000).selectExpr("id % 5000 as k", "concat('id_', id) as n", "concat('red red t', id % 5000) as t").coalesce(1)
+    found = search.field_postings(docs, "k", "n", "t")
+    most, total = largest_share(found)
+    assert most <= total / 8
+    got = {(r["ref"], r["term"]): r["tf"] for r in found.where("field = 'title'").collect()}
+    assert got == {(k, t): n * (2 if k < 1000 else 1) for k in range(5000) for t, n in (("red", 2), (f"t{k}", 1))}
+    assert search.postings(docs.withColumnRenamed("k", "text"), "text", "t").where("term = 'red'").agg(F.sum("tf")).first()[0] == 12_000
+
+
 def folder_rows(spark, path, kind):
     return sum(spark.read.parquet(str(p)).count() for p in path.glob(f"{kind}-*"))
 
