@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.running import Rounds, cut, running_last, running_sum
+from leafmill.operators.running import Rounds, cut, parts_of, running_last, running_sum
 
 
 def latest_by(log: DataFrame, key: str, order: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
@@ -143,16 +142,20 @@ def active_dedupe(calls: DataFrame, drive: str, kind: str, payload: str, order:
     ahead = running_last(timed, group, ("__back",), {"__first": F.when(F.col("__call") == 1, F.col("__id"))}).where("__call = 0")
     jumps = rounds.put(ahead.select(*group, F.col("__id").alias("__n"), F.greatest("__first", F.col("__id") + 1).alias("__to")).where("__first is not null"))
     taken = rounds.put(placed.where("__n = 1").select(*group, "__n"))
-    same = lambda a, b: functools.reduce(lambda x, y: x & y, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group])
+    parts = parts_of(placed)
+    # groups are structs, which join by plain equality, nulls included; so both sides can be dealt before the join
+    keyed = lambda df, n: df.select(F.struct(*group).alias("__group"), F.col(n).alias("__n"), *[c for c in df.columns if c not in (*group, n)]).repartition(parts, "__group", "__n")
+    out = [F.col(f"__group.{g}") for g in group]
     for _ in range(math.ceil(math.log2(placed.count() + 1)) + 1):
         if jumps.isEmpty():
             break
-        led = taken.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.__n") == F.col("b.__n"))).select(*[F.col(f"a.{g}") for g in group], F.col("b.__to").alias("__n"))
+        led = keyed(taken, "__n").join(keyed(jumps, "__n"), ["__group", "__n"]).select(*out, F.col("__to").alias("__n"))
         more = rounds.put(taken.unionByName(led))
-        twice = rounds.put(jumps.alias("a").join(jumps.alias("b"), same("a", "b") & (F.col("a.__to") == F.col("b.__n"))).select(*[F.col(f"a.{g}") for g in group], "a.__n", "b.__to"))
+        behind = keyed(jumps.withColumnRenamed("__n", "__from"), "__to")
+        twice = rounds.put(behind.join(keyed(jumps, "__n"), ["__group", "__n"]).select(*out, F.col("__from").alias("__n"), "__to"))
         rounds.drop(taken, jumps)
         taken, jumps = more, twice
-    return placed.alias("a").join(taken.alias("b"), same("a", "b") & (F.col("a.__n") == F.col("b.__n")), "left_semi").select(*group, F.col("__at").alias(order))
+    return keyed(placed, "__n").join(keyed(taken, "__n"), ["__group", "__n"], "left_semi").select(*out, F.col("__at").alias(order))
 
 
 def last_finished(jobs: DataFrame, key: str, order: str, state: str, started: str, finished: str) -> DataFrame:

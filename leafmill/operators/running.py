@@ -51,22 +51,37 @@ class Rounds:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a task that sorts or groups them.
+PART_ROWS = 400_000
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many partitions keep the rows of a task at PART_ROWS, whatever the input's size; few for a small one.
+
+    The planner's own choice goes by compressed bytes and a set number of partitions, so a task would grow with the input.
+    """
+    n = df.count()
+    return 1 + max(n // PART_ROWS, min(df.sparkSession.sparkContext.defaultParallelism, n // 20_000))
+
+
 def _over_ranges(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], values: dict[str, Column], whole: Callable[[str], Column], upto: int, join: Callable[[Column, Column], Column]) -> DataFrame:
     """A running aggregate by ranges of (keys, order): ``whole`` aggregates a column, ``join`` puts what earlier ranges
     of the group hold before what the range holds up to ``upto`` rows from the row."""
     number = {name: f"__value{i}" for i, name in enumerate(values)}
-    dealt = cut(df.select("*", *[values[n].alias(c) for n, c in number.items()]).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    parts = parts_of(df)
+    dealt = cut(df.select("*", *[values[n].alias(c) for n, c in number.items()]).repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()))
     ordered = F.struct(*order)
     in_range = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), ordered)) if whole is last_value else whole(c)
-    summed = dealt.groupBy(*keys, "__part").agg(*[in_range(c).alias(c) for c in number.values()])
+    summed = dealt.repartitionById(parts, F.col("__part")).groupBy(*keys, "__part").agg(*[in_range(c).alias(c) for c in number.values()])
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = summed.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), *[whole(c).over(before).alias(f"__before{c}") for c in number.values()])
-    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    same = F.col("__part") == F.col("__p")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    rows = dealt.select("*", *[whole(c).over(inside).alias(f"__inside{c}") for c in number.values()])
-    return rows.join(offsets, same).select(*df.columns, *[join(F.col(f"__before{c}"), F.col(f"__inside{c}")).alias(n) for n, c in number.items()])
+    by_group = summed.repartition(parts, *keys) if keys else summed
+    offsets = by_group.select(*keys, "__part", *[whole(c).over(before).alias(f"__before{c}") for c in number.values()])
+    # what earlier ranges hold comes as the first row of the range, so no join is needed
+    both = dealt.withColumn("__real", F.lit(1)).unionByName(offsets.withColumn("__real", F.lit(0)), allowMissingColumns=True).repartitionById(parts, F.col("__part"))
+    inside = Window.partitionBy(*keys, "__part").orderBy("__real", *order).rowsBetween(Window.unboundedPreceding, upto)
+    found = [(n, F.first(f"__before{c}").over(inside).alias(f"__first{c}"), whole(c).over(inside).alias(f"__inside{c}")) for n, c in number.items()]
+    rows = both.select("__real", *df.columns, *[c for _, first, own in found for c in (first, own)]).where("__real = 1")
+    return rows.select(*df.columns, *[join(F.col(f"__first{c}"), F.col(f"__inside{c}")).alias(n) for n, c in number.items()])
 
 
 def last_value(name: str) -> Column:

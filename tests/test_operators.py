@@ -103,6 +103,44 @@ def largest_share(df):
     return max(sizes), sum(sizes)
 
 
+def test_running_sums_keep_tasks_small(spark, monkeypatch):
+    """A task's rows don't grow with the input: in one large group, in many small ones, without keys; nulls are a group."""
+    from leafmill.operators import running
+
+    monkeypatch.setattr(running, "PART_ROWS", 1000, raising=False)
+    rows = spark.range(20_000).selectExpr("case when id % 4 = 0 then null when id < 18000 then 'hub' else cast(id as string) end as g", "id as at", "id % 3 as v")
+    for keys in (("g",), ()):
+        found = running.running_sum(rows, keys, ("at",), F.col("v"), "sum")
+        most, total = largest_share(found)
+        assert total == 20_000 and most <= 3000
+        wanted = {}
+        for r in found.orderBy("at").collect():
+            g = r["g"] if keys else 0
+            wanted[g] = wanted.get(g, 0) + r["v"]
+            assert r["sum"] == wanted[g]
+    before = running.running_last(rows, ("g",), ("at",), {"b": F.when(F.col("v") == 1, F.col("at"))})
+    last = {}
+    for r in before.orderBy("at").collect():
+        assert r["b"] == last.get(r["g"])
+        last[r["g"]] = r["at"] if r["v"] == 1 else last.get(r["g"])
+
+
+def test_active_dedupe_keeps_tasks_small(spark, monkeypatch):
+    from leafmill.operators import events, running
+
+    monkeypatch.setattr(running, "PART_ROWS", 1000, raising=False)
+    calls = spark.range(12_000).selectExpr("case when id % 3 = 0 then null else id % 400 end as d", "'k' as kind", "cast(null as string) as p", "id as at", "case when id = 11000 then null else id + id * 7 % 900 end as until")
+    found = events.active_dedupe(calls, "d", "kind", "p", "at", "until")
+    most, total = largest_share(found)
+    until, want = {}, []
+    for d, at, end in sorted(((r["d"], r["at"], r["until"]) for r in calls.collect()), key=lambda r: r[1]):
+        if at >= until.get(d, 0):
+            until[d] = float("inf") if end is None else end
+            want.append((d, at))
+    assert sorted((r["at"], str(r["d"])) for r in found.collect()) == sorted((at, str(d)) for d, at in want)
+    assert total == len(want) and most <= total / 3
+
+
 def test_postings_keep_tasks_small(spark, monkeypatch):
     """One file of many rows and one frequent term: dealt before rows are taken apart, so by the texts' size."""
     monkeypatch.setattr(search, "PART_CHARS", 10_000, raising=False)
