@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.running import running_sum
+from leafmill.operators.running import parts_of, running_sum
 
 
 def block_of(lines: DataFrame, header: Column, doc: str = "doc") -> DataFrame:
@@ -17,6 +17,11 @@ def block_of(lines: DataFrame, header: Column, doc: str = "doc") -> DataFrame:
     return running_sum(lines, (doc,), ("no",), header.cast("int"), "block")
 
 
+def dealt_blocks(lines: DataFrame, header: Column) -> DataFrame:
+    """The lines of blocks, dealt by block to as many partitions as the lines ask for."""
+    return block_of(lines, header).where("block > 0").repartition(parts_of(lines), "doc", "block")
+
+
 def name_status(lines: DataFrame) -> DataFrame:
     """doc, path and state (N, M, D) of ``diff --name-status`` lines; other lines are no changes."""
     state = F.when(F.col("line").rlike(r"^A\s"), "N").when(F.col("line").rlike(r"^M\s"), "M").when(F.col("line").rlike(r"^D\s"), "D")
@@ -48,7 +53,7 @@ def unstaged_count(named: DataFrame, status_lines: DataFrame) -> DataFrame:
 
 def diff_files(lines: DataFrame) -> DataFrame:
     """doc, block, old_file, new_file and n_changed of each file of a diff; a missing side has the other's name."""
-    blocks = block_of(lines, F.col("line").startswith("diff --git ")).where("block > 0")
+    blocks = dealt_blocks(lines, F.col("line").startswith("diff --git "))
     old, new = F.max(F.when(F.col("line").startswith("--- a/"), F.expr("substring(line, 7)"))), F.max(F.when(F.col("line").startswith("+++ b/"), F.expr("substring(line, 7)")))
     changed = F.count_if(F.col("line").rlike(r"^[+-](?!\+\+ |-- )"))
     return blocks.groupBy("doc", "block").agg(F.coalesce(old, new).alias("old_file"), F.coalesce(new, old).alias("new_file"), changed.alias("n_changed"))
@@ -56,7 +61,7 @@ def diff_files(lines: DataFrame) -> DataFrame:
 
 def commits(lines: DataFrame) -> DataFrame:
     """doc, id, author, seconds and message of a log's commits; a message is its lines, trimmed, in order."""
-    blocks = block_of(lines, F.col("line").startswith("commit ")).where("block > 0")
+    blocks = dealt_blocks(lines, F.col("line").startswith("commit "))
     kind = F.when(F.col("line").startswith("commit "), "commit").when(F.col("line").startswith("Author: "), "author").when(F.col("line").startswith("Date: "), "date").when(F.trim("line") != "", "text")
     rows = blocks.withColumn("kind", kind)
     text = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("no", F.trim("line").alias("line")))))

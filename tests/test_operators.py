@@ -125,6 +125,17 @@ def test_running_sums_keep_tasks_small(spark, monkeypatch):
         last[r["g"]] = r["at"] if r["v"] == 1 else last.get(r["g"])
 
 
+def test_diff_files_keep_tasks_small(spark, monkeypatch):
+    from leafmill.operators import running
+
+    monkeypatch.setattr(running, "PART_ROWS", 1000, raising=False)
+    text = "case id % 4 when 0 then 'diff --git x y' when 1 then '--- a/o' || id div 4 when 2 then '+++ b/n' || id div 4 else '+x' end as line"
+    found = git.diff_files(spark.range(20_000).selectExpr("'d' as doc", "id as no", text))
+    most, total = largest_share(found)
+    assert total == 5000 and most <= total / 8
+    assert found.where("old_file = concat('o', block - 1) and new_file = concat('n', block - 1) and n_changed = 1").count() == 5000
+
+
 def test_active_dedupe_keeps_tasks_small(spark, monkeypatch):
     from leafmill.operators import events, running
 
