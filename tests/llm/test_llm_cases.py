@@ -1,5 +1,6 @@
 """Brute-force comparisons, limits and edge cases of the corpus operators."""
 
+import itertools
 import math
 import random
 import re
@@ -198,6 +199,49 @@ def test_unigram_viterbi_equals_all_segmentations(spark):
         assert b"".join(spelled.get(i, bytes([i % 256])) for i in found[k]).decode() == word and abs(score - best(word)[0]) < 1e-9, t
 
 
+def test_sentencepiece_words_and_parts_equal_plain_cutting(pieces):
+    import pyarrow as pa
+
+    from leafmill.llm.sentencepiece_lattice import _Splitter
+
+    model, dice = pieces[0], random.Random(4)
+    alone, pairs = model.alone().decode(), {p.replace("▁", " ") for p in model.neighbours()}
+    texts = [None, "", " ", "a▁b", "  7 8", "9\n\n x"] + ["".join(dice.choices("aehtñ文😀\x00.7\n  ▁", k=dice.randrange(60))) for _ in range(300)] + [None, ""]
+    splitter = _Splitter(model)
+    words, at = splitter.words(pa.array(["left out", *texts]).slice(1))
+    parts, of_word = splitter.parts(words)
+    words, parts = words.to_pylist(), parts.to_pylist()
+    for k, text in enumerate(texts):
+        whole = " " + text.replace("▁", " ") if text else ""
+        assert words[at[k] : at[k + 1]] == re.findall(f" *[^ {alone}]+|[{alone}]| +", whole), text
+    for k, word in enumerate(words):
+        cuts = [0, *(j for j in range(1, len(word)) if word[j - 1 : j + 1] not in pairs), len(word)]
+        assert parts[of_word[k] : of_word[k + 1]] == [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], word
+
+
+def test_sentencepiece_encodes_parts_of_several_rows_once(spark, pieces):
+    from leafmill.llm.sentencepiece_lattice import _Splitter, frequent_parts
+
+    spelled = ["".join(x) for x in itertools.islice(itertools.product("aeinorst", repeat=6), 260_000)]
+    texts = [" ".join(spelled[k : k + 20_000]) for k in range(0, len(spelled), 20_000)] * 2
+    splitter = _Splitter(pieces[0])
+    found = frequent_parts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), splitter)
+    assert found.where("times >= 2").count() == found.count() >= 260_000
+
+
+def test_sentencepiece_holds_a_piece_against_its_last_merge(pieces):
+    from leafmill.llm.sentencepiece_lattice import NEVER, merge_tree, spines
+
+    model = pieces[0]
+    left, ids = merge_tree(model), {k: p for p, k, _ in model.pieces}
+    ranks = {p: int(-score) for p, _, score in model.pieces}
+    for k, right_used, left_used in spines(model)[:3000]:
+        piece = ids[k]
+        assert len(right_used) == len(left_used) == len(piece) and right_used[-1] == left_used[-1] == NEVER
+        if n := left[piece]:
+            assert right_used[len(piece) - n - 1] == left_used[n - 1] == ranks[piece]
+
+
 # near-dedup
 
 
